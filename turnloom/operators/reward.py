@@ -14,7 +14,7 @@ from turnloom.functions.template import CHATML, ChatTemplate
 from turnloom.operators.judge import selected, with_verdicts
 from turnloom.operators.pool import with_constraints
 from turnloom.operators.rules import RuleBook
-from turnloom.operators.turns import with_running_total
+from turnloom.operators.turns import blocked_running_total
 
 
 def _explode_lists(paired: DataFrame) -> DataFrame:
@@ -61,8 +61,8 @@ def checks_from_records(samples: DataFrame, template: ChatTemplate = CHATML) ->
 
 
 def number_responses(found: DataFrame) -> DataFrame:
-    """Spans per step to one row per response, numbered through the sample."""
-    offset = with_running_total(
+    """Spans per step of long samples to one row per response, numbered through the sample."""
+    offset = blocked_running_total(
         found, "sample_id", "turn_ix", F.size("spans").cast("bigint"), "_before"
     )
     return offset.select(
@@ -71,7 +71,9 @@ def number_responses(found: DataFrame) -> DataFrame:
 
 
 def checks_from_turns(responses: DataFrame, lists: DataFrame, samples: DataFrame) -> DataFrame:
-    """Checks of ``responses(sample_id, turn_ix, response)`` against
+    """The same from turn tables, for samples of any length.
+
+    Pairs ``responses(sample_id, turn_ix, response)`` with
     ``lists(sample_id, turn_ix, verifier)``, both numbered from 0 without gaps.
 
     The pairing is a full outer join by a unique key, so a row without a partner tells
@@ -110,13 +112,15 @@ def score_checks(
     for helpfulness, which can only turn a pass into a fail. Other constraints take the
     judge's verdict. Missing verdicts pass, failing rules do not.
     """
-    named = with_constraints(checks, index, **limits)
+    placeholder = F.when(F.col("content_template"), F.col("placeholder"))
+    held = book.all_hold(F.col("response"), F.col("rules"), placeholder)
+    # Rules run before the verdicts are joined, so the join need not carry the texts.
+    named = with_constraints(checks, index, **limits).withColumn("rules_ok", held)
     if judgements is None:
         named = named.withColumn("verdict", F.lit(True))
     else:
         named = with_verdicts(named, judgements)
-    placeholder = F.when(F.col("content_template"), F.col("placeholder"))
-    hard_ok = book.all_hold(F.col("response"), F.col("rules"), placeholder)
+    hard_ok = F.col("rules_ok")
     if rate > 0:
         asked = selected(["sample_id", "turn_ix", "ver_ix"], rate, seed)
         hard_ok = hard_ok & (~asked | F.col("verdict"))

@@ -2,8 +2,9 @@
 
 ``prompts(sample_id, turn_ix, role, content)`` holds the turns the user side sends and
 ``outputs(sample_id, turn_ix, text, finish_reason [, token_ids, logprobs])`` what the
-model answered to each. One step of a trajectory is an output and the rendered prompt
-turn that follows it.
+model answered to each, both numbered from 0 without gaps. A sample of ordinary length is
+one row with both lists and is put together without a further shuffle. Very long samples
+are put together per block of turns.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.functions.arrays import repeat
+from turnloom.functions.arrays import let, repeat
 from turnloom.functions.template import CHATML, ChatTemplate, payload_flags
 from turnloom.functions.tokens import PIECES
 from turnloom.operators.turns import block_of, blocks_up_to
@@ -29,13 +30,159 @@ def status_of(finish: Column) -> Column:
     return column
 
 
+def output_fields(outputs: DataFrame) -> list[Column]:
+    """Text, finish reason, recorded tokens and log-probabilities, absent ones as NULL."""
+    tokens = (
+        F.col("token_ids")
+        if "token_ids" in outputs.columns
+        else F.lit(None).cast("array<string>")
+    )
+    logprobs = (
+        F.col("logprobs") if "logprobs" in outputs.columns else F.lit(None).cast("array<double>")
+    )
+    return [
+        F.col("text"),
+        F.col("finish_reason"),
+        tokens.alias("token_ids"),
+        logprobs.alias("logprobs"),
+    ]
+
+
+# Samples of ordinary length
+
+
+def gather_samples(prompts: DataFrame, outputs: DataFrame) -> DataFrame:
+    """One row per sample with the arrays ``prompt`` and ``outputs``; a single shuffle."""
+    ask = F.struct("role", "content")
+    answer = F.struct(*output_fields(outputs))
+    asked = prompts.select("sample_id", F.struct("turn_ix", ask.alias("item")).alias("_ask"))
+    said = outputs.select("sample_id", F.struct("turn_ix", answer.alias("item")).alias("_said"))
+    listed = lambda name: F.transform(
+        F.sort_array(F.collect_list(name)), lambda row: row["item"]
+    )
+    return (
+        asked.unionByName(said, allowMissingColumns=True)
+        .groupBy("sample_id")
+        .agg(listed("_ask").alias("prompt"), listed("_said").alias("outputs"))
+    )
+
+
+def build_trajectories(
+    samples: DataFrame,
+    template: ChatTemplate = CHATML,
+    tokenizer=PIECES,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """Trajectories of samples with the arrays ``prompt`` and ``outputs``; no shuffle.
+
+    Turns run in order up to the first output cut by length, an abort, or the last
+    prompt. After each output comes the next prompt turn, unless the run ends there.
+    Output tokens are the recorded ones where present; they are learned, and those of
+    prompt turns are not. An aborted sample keeps its status and nothing else.
+    """
+    n_turns, n_outputs = F.size("prompt"), F.size("outputs")
+    stops = F.transform("outputs", lambda o: o["finish_reason"].isin(LENGTH, ABORT))
+    cut = F.array_position(stops, F.lit(True)).cast("int")
+    n_run = F.least(n_turns, n_outputs, F.when(F.col("_cut") > 0, F.col("_cut")).otherwise(n_outputs))
+
+    def follow(data: Column) -> Column:
+        def turn(_, k):
+            more = (k + 1 < F.size(data["prompt"])) & (k + 1 != data["cut"])
+            message = F.get(data["prompt"], k + 1)
+            body = template.turn(message["role"], message["content"])
+            return F.when(more, F.concat(body, F.lit(template.generation_header))).otherwise("")
+
+        return F.transform(data["run"], turn)
+
+    bound = F.struct(
+        F.col("prompt"), F.col("_run").alias("run"), F.col("_cut").alias("cut")
+    )
+    final = F.get("_run", F.size("_run") - 1)["finish_reason"]
+    done = (F.size("_run") == n_turns) | (F.size("_run") == F.col("_cut"))
+    first = F.col("prompt")[0]
+    opening = F.concat(
+        template.opening(first["role"], first["content"]), F.lit(template.generation_header)
+    )
+    laid_out = (
+        samples.withColumn("_cut", cut)
+        .withColumn("_run", F.slice("outputs", F.lit(1), n_run))
+        .withColumn("_texts", F.transform("_run", lambda o: o["text"]))
+        .withColumn("_follows", let(bound, follow))
+        .withColumn("_finish", F.when(done & (F.size("_run") > 0), final))
+        .withColumn("_opening", opening)
+        .withColumn("_tokenised", tokenizer.many(F.col("_texts")))
+        .withColumn("_between", tokenizer.many(F.col("_follows")))
+        .withColumn(
+            "_own",
+            F.zip_with(
+                "_run", "_tokenised", lambda o, t: F.coalesce(o["token_ids"], t)
+            ),
+        )
+    )
+    tokens = F.flatten(F.zip_with("_own", "_between", lambda a, b: F.concat(a, b)))
+    mask = F.flatten(
+        F.zip_with(
+            "_own",
+            "_between",
+            lambda a, b: F.concat(repeat(1, F.size(a)), repeat(0, F.size(b))),
+        )
+    )
+    logprobs = F.flatten(
+        F.zip_with(
+            "_run",
+            "_between",
+            lambda o, b: F.when(
+                o["logprobs"].isNotNull(), F.concat(o["logprobs"], repeat(0.0, F.size(b)))
+            ).otherwise(F.array().cast("array<double>")),
+        )
+    )
+    response = F.array_join(
+        F.zip_with("_texts", "_follows", lambda text, follow: F.concat(text, follow)), ""
+    )
+    recorded = F.exists("_run", lambda o: o["logprobs"].isNotNull())
+    run = F.coalesce(F.col("_finish") != ABORT, F.lit(True))
+    payload = F.concat("_opening", "_response")
+    has_system, has_tools = payload_flags(payload)
+    joined = laid_out.select(
+        "sample_id",
+        *keep,
+        "_opening",
+        "_finish",
+        response.alias("_response"),
+        tokenizer.one(F.col("_opening")).alias("_prompt_tokens"),
+        tokens.alias("_tokens"),
+        mask.alias("_mask"),
+        F.when(recorded, logprobs).alias("_logprobs"),
+    )
+    return joined.select(
+        "sample_id",
+        *keep,
+        F.lit(0).cast("long").alias("part"),
+        F.when(run, F.col("_opening")).alias("prompt"),
+        F.when(run, F.col("_response")).alias("response"),
+        F.when(run, F.concat("_prompt_tokens", "_tokens")).alias("tokens"),
+        F.when(run, F.col("_mask")).alias("loss_mask"),
+        F.when(run, F.size("_mask")).alias("response_length"),
+        F.when(run, F.col("_logprobs")).alias("logprobs"),
+        F.coalesce(F.size("_logprobs") == F.size("_mask"), F.col("_logprobs").isNull()).alias(
+            "logprobs_match"
+        ),
+        status_of(F.col("_finish")).alias("status"),
+        F.when(run, payload).alias("payload_text"),
+        F.when(run, has_system).alias("payload_has_system"),
+        F.when(run, has_tools).alias("payload_has_tools"),
+    )
+
+
+# Very long samples
+
+
 def sample_limits(
     prompts: DataFrame, outputs: DataFrame, template: ChatTemplate = CHATML
 ) -> DataFrame:
     """Per sample: opening text, number of turns, last turn that runs, aborted or not.
 
-    The turns run in order and end after the first output cut by length, at an abort, or
-    with the last prompt turn. One aggregation over both tables, combined map-side.
+    One aggregation over both tables, combined map-side.
     """
     first = F.when(F.col("turn_ix") == 0, template.opening(F.col("role"), F.col("content")))
     events = prompts.select(
@@ -73,17 +220,15 @@ def sample_limits(
 def trajectory_steps(
     prompts: DataFrame,
     outputs: DataFrame,
+    limits: DataFrame,
     template: ChatTemplate = CHATML,
-    limits: DataFrame | None = None,
 ) -> DataFrame:
     """The steps that run: output text and, unless it is the last, the next prompt turn.
 
     Prompt turn ``k + 1`` is keyed to step ``k``, so outputs and follow-ups meet by a
-    unique key. The limits are repeated per block of turns, which splits a very long
-    sample over many tasks and leaves ordinary samples with one row.
+    unique key. The limits are repeated per block of turns, which spreads one sample over
+    many tasks.
     """
-    if limits is None:
-        limits = sample_limits(prompts, outputs, template)
     follow = prompts.filter(F.col("turn_ix") > 0).select(
         "sample_id",
         (F.col("turn_ix") - 1).alias("turn_ix"),
@@ -97,96 +242,71 @@ def trajectory_steps(
     )
     more = F.col("turn_ix") < F.col("last_ix")
     return (
-        outputs.join(follow, ["sample_id", "turn_ix"], "left")
+        outputs.select("sample_id", "turn_ix", *output_fields(outputs))
+        .join(follow, ["sample_id", "turn_ix"], "left")
         .withColumn("_block", block_of(F.col("turn_ix")))
         .join(bounds, ["sample_id", "_block"])
         .filter(F.col("turn_ix") <= F.col("last_ix"))
         .withColumn("follow_body", F.when(more, F.col("_follow")))
-        .withColumn(
-            "follow_text", F.concat("follow_body", F.lit(template.generation_header))
-        )
         .drop("_block", "_follow")
     )
 
 
-def with_step_tokens(steps: DataFrame, tokenizer=PIECES) -> DataFrame:
-    """Tokens, mask and log-probabilities of every step.
-
-    Recorded token ids are used where present, else the text is tokenised. Output tokens
-    are learned; tokens of the follow-up are not, and their log-probability is 0.
-    """
-    follow = F.when(F.col("follow_text").isNotNull(), tokenizer.one(F.col("follow_text")))
-    text_tokens = tokenizer.one(F.col("text"))
-    own = F.coalesce("token_ids", text_tokens) if "token_ids" in steps.columns else text_tokens
-    logprobs = (
-        F.col("logprobs")
-        if "logprobs" in steps.columns
-        else F.lit(None).cast("array<double>")
-    )
-    split = steps.withColumn("_own", own).withColumn("_follow", follow)
-    n_follow = F.greatest(F.size("_follow"), F.lit(0))
-    follow_tokens = F.when(F.col("_follow").isNull(), F.slice("_own", 1, 0)).otherwise(
-        F.col("_follow")
-    )
-    n_follow = F.coalesce(n_follow, F.lit(0))
-    return split.select(
-        *steps.columns,
-        F.size("_own").alias("n_output_tokens"),
-        F.concat("_own", follow_tokens).alias("tokens"),
-        F.concat(repeat(1, F.size("_own")), repeat(0, n_follow)).alias("loss_mask"),
-        F.when(logprobs.isNotNull(), F.concat(logprobs, repeat(0.0, n_follow))).alias(
-            "step_logprobs"
-        ),
-    )
-
-
-def trajectories(
+def long_trajectories(
     limits: DataFrame,
     steps: DataFrame,
+    template: ChatTemplate = CHATML,
     tokenizer=PIECES,
 ) -> DataFrame:
-    """Samples from their steps: one row per sample and block of turns.
+    """Trajectories of long samples: one row per sample and block of turns.
 
-    ``part`` 0 is the whole sample unless it has more turns than a block holds; only part
-    0 carries the prompt. Aborted samples keep their status and nothing else. Samples
-    without any output have one part with an empty response.
+    Lengths, masks and marks are those of the part; ``part`` 0 carries the prompt, and the
+    part of the last turn carries the status.
     """
-    keyed = limits.select(
-        "sample_id",
-        "opening",
-        "last_ix",
-        "aborted",
-        F.explode(blocks_up_to(F.col("last_ix"))).alias("part"),
+    follow_text = F.coalesce(
+        F.concat("follow_body", F.lit(template.generation_header)), F.lit("")
+    )
+    tokenised = (
+        steps.withColumn("_follow", follow_text)
+        .withColumn("_between", tokenizer.one(F.col("_follow")))
+        .withColumn("_own", F.coalesce("token_ids", tokenizer.one(F.col("text"))))
     )
+    n_own, n_between = F.size("_own"), F.size("_between")
     step = F.struct(
         F.col("turn_ix").alias("at"),
-        F.concat("text", F.coalesce("follow_text", F.lit(""))).alias("text"),
-        "tokens",
-        "loss_mask",
-        "step_logprobs",
+        F.concat("text", "_follow").alias("text"),
+        F.concat("_own", "_between").alias("tokens"),
+        F.concat(repeat(1, n_own), repeat(0, n_between)).alias("mask"),
+        F.when(F.col("logprobs").isNotNull(), F.concat("logprobs", repeat(0.0, n_between))).alias(
+            "logprobs"
+        ),
         F.col("finish_reason").alias("finish"),
     )
-    gathered = steps.groupBy("sample_id", block_of(F.col("turn_ix")).alias("part")).agg(
+    gathered = tokenised.groupBy("sample_id", block_of(F.col("turn_ix")).alias("part")).agg(
         F.sort_array(F.collect_list(step)).alias("_steps")
     )
-    joined = keyed.join(gathered, ["sample_id", "part"], "left")
+    parts = limits.select(
+        "sample_id",
+        "opening",
+        "last_ix",
+        "aborted",
+        F.explode(blocks_up_to(F.col("last_ix"))).alias("part"),
+    ).join(gathered, ["sample_id", "part"], "left")
     prompt = F.when(F.col("part") == 0, F.col("opening")).otherwise("")
-    prompt_tokens = tokenizer.one(prompt)
     each = lambda field: F.transform("_steps", lambda s: s[field])
-    built = joined.select(
+    known = F.filter(each("logprobs"), lambda p: p.isNotNull())
+    final = F.get(F.filter("_steps", lambda s: s["at"] == F.col("last_ix")), F.lit(0))
+    built = parts.select(
         "sample_id",
         "part",
         "aborted",
-        F.get(F.filter("_steps", lambda s: s["at"] == F.col("last_ix")), F.lit(0))["finish"].alias(
-            "_finish"
-        ),
+        final["finish"].alias("_finish"),
         prompt.alias("_prompt"),
-        prompt_tokens.alias("_prompt_tokens"),
+        tokenizer.one(prompt).alias("_prompt_tokens"),
         F.coalesce(F.array_join(each("text"), ""), F.lit("")).alias("_response"),
         F.flatten(each("tokens")).alias("_tokens"),
-        F.coalesce(F.flatten(each("loss_mask")), F.array().cast("array<int>")).alias("_mask"),
-        F.flatten(F.filter(each("step_logprobs"), lambda p: p.isNotNull())).alias("_logprobs"),
-        F.exists(each("step_logprobs"), lambda p: p.isNotNull()).alias("_has_logprobs"),
+        F.coalesce(F.flatten(each("mask")), F.array().cast("array<int>")).alias("_mask"),
+        F.when(F.size(known) > 0, F.flatten(known)).alias("_logprobs"),
     )
     run = ~F.col("aborted")
     payload = F.concat("_prompt", "_response")
@@ -194,7 +314,6 @@ def trajectories(
     tokens = F.when(F.col("_tokens").isNull(), F.col("_prompt_tokens")).otherwise(
         F.concat("_prompt_tokens", "_tokens")
     )
-    logprobs = F.when(F.col("_has_logprobs"), F.col("_logprobs"))
     return built.select(
         "sample_id",
         "part",
@@ -203,8 +322,10 @@ def trajectories(
         F.when(run, tokens).alias("tokens"),
         F.when(run, F.col("_mask")).alias("loss_mask"),
         F.when(run, F.size("_mask")).alias("response_length"),
-        F.when(run, logprobs).alias("logprobs"),
-        (logprobs.isNull() | (F.size(logprobs) == F.size("_mask"))).alias("logprobs_match"),
+        F.when(run, F.col("_logprobs")).alias("logprobs"),
+        F.coalesce(F.size("_logprobs") == F.size("_mask"), F.col("_logprobs").isNull()).alias(
+            "logprobs_match"
+        ),
         F.when(F.col("aborted"), F.lit(STATUSES[ABORT]))
         .otherwise(status_of(F.col("_finish")))
         .alias("status"),
@@ -217,7 +338,7 @@ def trajectories(
 def step_responses(
     limits: DataFrame, steps: DataFrame, template: ChatTemplate = CHATML
 ) -> DataFrame:
-    """Assistant texts of every sample, numbered as in its whole text.
+    """Assistant spans of every step, and of the opening as step -1.
 
     A step opens with the assistant header that ends the turn before it, and its
     follow-up closes with an end mark. So no span reaches beyond its step, and spans can

@@ -10,21 +10,26 @@ from pyspark.sql import functions as F
 
 from turnloom.operators.joins import MAX_BYTES, MAX_ROWS, fits_broadcast
 from turnloom.operators.order import with_dense_index
+from turnloom.session import new_path
 
 
 def vocabulary(df: DataFrame, tokens: Column, specials: tuple[str, ...], seed: int = 0) -> DataFrame:
     """Every distinct token with a dense id; the special tokens come first.
 
-    Repeats are dropped map-side, and the ids follow a hash of the token, so numbering
-    needs no global sort.
+    Repeats are dropped map-side. The distinct tokens are written out once, since they are
+    read again for numbering, measuring and lookup. Ids follow a hash of the token, so
+    numbering needs no global sort.
     """
     found = (
         df.select(F.explode(F.array_distinct(tokens)).alias("token"))
         .filter(~F.col("token").isin(*specials))
         .distinct()
     )
-    numbered = with_dense_index(found, ["token"], seed, name="id", start=len(specials))
     spark = df.sparkSession
+    path = new_path(spark, "tokens")
+    found.write.parquet(path)
+    found = spark.read.schema("token string").parquet(path)
+    numbered = with_dense_index(found, ["token"], seed, name="id", start=len(specials))
     marks = spark.createDataFrame(
         [(token, i) for i, token in enumerate(specials)], "token string, id bigint"
     )

@@ -137,7 +137,7 @@ base AS (
     coalesce(response, '') AS response, tokens, coalesce(mask, '') AS mask,
     any_known, all_known, logprobs, finish, coalesce(finish, '') <> 'abort' AS run
   FROM lim l LEFT JOIN gathered g USING (sample_id))
-SELECT sample_id,
+SELECT sample_id, CAST(0 AS BIGINT) AS part,
   CASE WHEN run THEN prompt END AS prompt,
   CASE WHEN run THEN response END AS response,
   CASE WHEN run THEN {joined(pieces('prompt'), '|')} || coalesce('|' || tokens, '') END AS tokens,

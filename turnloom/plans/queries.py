@@ -17,8 +17,8 @@ from turnloom.functions.tokens import PIECES
 from turnloom.operators import keep, lossmask, order, pool, records, reward, trajectory, vocab
 from turnloom.operators.judge import CONSTRAINT, HELPFULNESS, judge_requests
 from turnloom.operators.rules import RuleBook
-from turnloom.operators.turns import assemble, with_running_total
-from turnloom.plans.scoring import output_rewards, record_rewards
+from turnloom.operators.turns import assemble, gather, split_long, with_running_total
+from turnloom.plans.scoring import long_output_checks, long_output_parts, record_rewards
 from turnloom.plans.sft import sft_samples
 from turnloom.session import new_path
 from turnloom.sources.tables import read_dataset, read_jsonl, write_jsonl
@@ -43,9 +43,9 @@ def kept(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def ranked(spark: SparkSession, sf: str, role: str) -> DataFrame:
+def ranked(turns: DataFrame, role: str) -> DataFrame:
     """The turns of one role with their rank ``k`` inside the conversation."""
-    only = conversations(spark, sf).filter(F.col("role") == role)
+    only = turns.filter(F.col("role") == role)
     return with_running_total(only, "conv_id", "turn", F.lit(1), "k")
 
 
@@ -160,7 +160,7 @@ def prompt_heads(spark, sf):
 
 def instructions(spark, sf) -> DataFrame:
     """User turns as prompts with one constraint per turn; long prompts go on in parts."""
-    users = ranked(spark, sf, "user").withColumnRenamed("text", "content")
+    users = ranked(conversations(spark, sf), "user").withColumnRenamed("text", "content")
     gathered = assemble(users, "conv_id", "k", ["role", "content"], "prompt")
     verifier = F.transform(
         "prompt",
@@ -471,55 +471,81 @@ def multimodal_align(spark, sf):
 # Trajectories
 
 
-def recorded(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """User turns as prompts, and assistant turns as recorded outputs.
-
-    Even conversations carry recorded tokens and log-probabilities, some with a gap.
-    """
-    prompts = ranked(spark, sf, "user").select(
-        F.col("conv_id").alias("sample_id"),
-        F.col("k").alias("turn_ix"),
-        "role",
-        F.col("text").alias("content"),
-    )
-    draw = F.pmod(F.col("conv_id") * 3 + F.col("k") * 5, F.lit(13))
-    finish = (
+def drawn_finish(k: Column) -> Column:
+    draw = F.pmod(F.col("conv_id") * 3 + k * 5, F.lit(13))
+    return (
         F.when(draw == 0, trajectory.LENGTH)
         .when(draw == 1, trajectory.ABORT)
         .when(draw == 2, "other")
         .otherwise(trajectory.STOP)
     )
-    spoken = ranked(spark, sf, "assistant").withColumn("finish_reason", finish)
-    text = F.concat(
-        "text",
-        F.when(F.col("finish_reason") == trajectory.LENGTH, "").otherwise(CHATML.terminator),
-    )
-    spoken = spoken.withColumn("_text", text)
+
+
+def recorded_output(k: Column, text: Column) -> Column:
+    """An assistant turn as a recorded output.
+
+    Outputs cut by length lack the end mark. Even conversations carry recorded tokens and
+    log-probabilities, some with a gap.
+    """
+    finish = drawn_finish(k)
+    ended = F.concat(text, F.when(finish == trajectory.LENGTH, "").otherwise(CHATML.terminator))
     known = (F.pmod(F.col("conv_id"), F.lit(2)) == 0) & ~(
-        (F.pmod(F.col("conv_id"), F.lit(6)) == 0) & (F.col("k") == 1)
+        (F.pmod(F.col("conv_id"), F.lit(6)) == 0) & (k == 1)
+    )
+    tokens = F.when(known, PIECES.one(ended))
+    return F.struct(
+        ended.alias("text"),
+        finish.alias("finish_reason"),
+        tokens.alias("token_ids"),
+        F.transform(tokens, lambda _: F.lit(-0.5)).alias("logprobs"),
+    )
+
+
+def recorded_samples(turns: DataFrame) -> DataFrame:
+    """User turns as prompts and assistant turns as recorded outputs, one row per sample."""
+    spoken = gather(turns, "conv_id", "turn", ["role", "text"], "turns")
+    users = F.filter("turns", lambda m: m["role"] == "user")
+    answers = F.filter("turns", lambda m: m["role"] == "assistant")
+    prompt = F.transform(
+        users, lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))
     )
-    own = PIECES.one(F.col("_text"))
-    outputs = spoken.withColumn("_own", F.when(known, own)).select(
+    return spoken.select(
+        "conv_id",
+        F.col("conv_id").alias("sample_id"),
+        prompt.alias("prompt"),
+        F.transform(answers, lambda m, k: recorded_output(k, m["text"])).alias("outputs"),
+    ).filter(F.size("prompt") > 0)
+
+
+def recorded_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same as turn tables, and the user turns with their rank."""
+    users = ranked(turns, "user")
+    prompts = users.select(
         F.col("conv_id").alias("sample_id"),
         F.col("k").alias("turn_ix"),
-        F.col("_text").alias("text"),
-        "finish_reason",
-        F.col("_own").alias("token_ids"),
-        F.when(known, F.transform("_own", lambda _: F.lit(-0.5))).alias("logprobs"),
+        "role",
+        F.col("text").alias("content"),
     )
-    return prompts, outputs
+    outputs = (
+        ranked(turns, "assistant")
+        .withColumn("_output", recorded_output(F.col("k"), F.col("text")))
+        .select(
+            F.col("conv_id").alias("sample_id"), F.col("k").alias("turn_ix"), F.col("_output.*")
+        )
+    )
+    return prompts, outputs, users
 
 
 def trajectories(spark, sf):
-    prompts, outputs = recorded(spark, sf)
-    limits = trajectory.sample_limits(prompts, outputs)
-    steps = trajectory.with_step_tokens(
-        trajectory.trajectory_steps(prompts, outputs, limits=limits)
-    )
-    built = trajectory.trajectories(limits, steps)
+    short, long = split_long(conversations(spark, sf), "conv_id", "turn")
+    built = trajectory.build_trajectories(recorded_samples(short))
+    if long is not None:
+        prompts, outputs, _ = recorded_turns(long)
+        built = built.unionByName(long_output_parts(prompts, outputs))
     total = F.aggregate("logprobs", F.lit(0.0), lambda a, b: a + b)
     return built.select(
         "sample_id",
+        "part",
         "prompt",
         "response",
         F.array_join("tokens", "|").alias("tokens"),
@@ -571,18 +597,22 @@ def constraint_table(spark) -> DataFrame:
     return pool.constraint_index(spark.createDataFrame(ROWS, CONSTRAINTS), "ord")
 
 
-def verifier_lists(turns: DataFrame) -> DataFrame:
-    """Two constraints per turn, or none for some turns."""
-    at = F.col("conv_id") + F.col("k")
+def verifier_list(k: Column) -> Column:
+    """Two constraints for turn ``k``, or none for some turns."""
+    at = F.col("conv_id") + k
     word = F.when(F.pmod(F.col("conv_id"), F.lit(2)) == 0, "the").otherwise("que")
     check = lambda shift: F.struct(
         F.pmod(at + shift, F.lit(4)).cast("string").alias("id"), word.alias("placeholder")
     )
-    lists = F.when(F.pmod(at, F.lit(7)) == 6, F.array().cast("array<struct<id:string,placeholder:string>>"))
+    both = F.array(check(0), check(1))
+    return F.when(F.pmod(at, F.lit(7)) == 6, F.slice(both, 1, 0)).otherwise(both)
+
+
+def verifier_lists(turns: DataFrame) -> DataFrame:
     return turns.select(
         F.col("conv_id").alias("sample_id"),
         F.col("k").alias("turn_ix"),
-        lists.otherwise(F.array(check(0), check(1))).alias("verifier"),
+        verifier_list(F.col("k")).alias("verifier"),
     )
 
 
@@ -612,22 +642,40 @@ def judgements(turns: DataFrame) -> DataFrame:
     )
 
 
-def turn_checks(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Checks of the assistant turns, and the ranked turns they come from."""
-    turns = ranked(spark, sf, "assistant")
+def turn_checks(spark, sf) -> DataFrame:
+    """Checks of the assistant turns of whole rendered conversations."""
+    short, long = split_long(conversations(spark, sf), "conv_id", "turn")
+    whole = gather(short.withColumnRenamed("text", "content"), "conv_id", "turn", ["role", "content"], "messages")
+    spoken = F.filter("messages", lambda m: m["role"] == "assistant")
+    checks = reward.checks_from_records(
+        whole.select(
+            F.col("conv_id").alias("sample_id"),
+            F.lit("").alias("prompt"),
+            CHATML.render(F.col("messages")).alias("response"),
+            F.transform(spoken, lambda m, k: verifier_list(k)).alias("verifier"),
+        )
+    )
+    if long is None:
+        return checks
+    turns = ranked(long, "assistant")
     spans = turns.select(
         F.col("conv_id").alias("sample_id"),
         F.col("k").alias("turn_ix"),
         CHATML.assistant_spans(rendered())[0].alias("response"),
     )
-    every = conversations(spark, sf).select(F.col("conv_id").alias("sample_id")).distinct()
-    return reward.checks_from_turns(spans, verifier_lists(turns), every), turns
+    every = long.select(F.col("conv_id").alias("sample_id")).distinct()
+    return checks.unionByName(reward.checks_from_turns(spans, verifier_lists(turns), every))
 
 
 def scored(spark, sf, rate: float = 0.0) -> DataFrame:
-    checks, turns = turn_checks(spark, sf)
+    turns = ranked(conversations(spark, sf), "assistant")
     return reward.score_checks(
-        checks, constraint_table(spark), rule_book(), judgements(turns), rate, seed=3
+        turn_checks(spark, sf),
+        constraint_table(spark),
+        rule_book(),
+        judgements(turns),
+        rate,
+        seed=3,
     )
 
 
@@ -644,7 +692,7 @@ def constraint_index(spark, sf):
 
 
 def constraint_lookup(spark, sf):
-    checks, _ = turn_checks(spark, sf)
+    checks = turn_checks(spark, sf)
     named = pool.with_constraints(
         checks.filter(F.col("id").isNotNull()), constraint_table(spark)
     )
@@ -660,7 +708,7 @@ def constraint_lookup(spark, sf):
 
 
 def unknown_constraints(spark, sf):
-    checks, _ = turn_checks(spark, sf)
+    checks = turn_checks(spark, sf)
     known = constraint_table(spark).filter(F.col("id").isin("0", "3"))
     return pool.unknown_constraints(checks, known)
 
@@ -709,16 +757,22 @@ def turn_reward(spark, sf):
 
 def conversation_reward(spark, sf):
     """The flagship: recorded outputs to trajectories, spans, checks and rewards."""
-    prompts, outputs = recorded(spark, sf)
-    turns = ranked(spark, sf, "user")
-    return output_rewards(
-        prompts,
-        outputs.drop("token_ids", "logprobs"),
-        verifier_lists(turns),
-        constraint_table(spark),
-        rule_book(),
-        judgements(turns),
+    turns = conversations(spark, sf)
+    short, long = split_long(turns, "conv_id", "turn")
+    samples = recorded_samples(short).withColumn(
+        "verifier", F.transform("prompt", lambda m, k: verifier_list(k))
     )
+    checks = reward.checks_from_records(
+        trajectory.build_trajectories(samples, keep=("verifier",))
+    )
+    if long is not None:
+        prompts, outputs, users = recorded_turns(long)
+        checks = checks.unionByName(
+            long_output_checks(prompts, outputs, verifier_lists(users))
+        )
+    replies = judgements(ranked(turns, "user"))
+    scored = reward.score_checks(checks, constraint_table(spark), rule_book(), replies)
+    return reward.rewards(scored)
 
 
 def record_reward(spark, sf):
@@ -757,7 +811,7 @@ def _at_least(response, placeholder):
 def registered_verifier(spark, sf):
     """Constraints whose rules are registered Python functions; a bad argument fails."""
     book = RuleBook().function("ends", _ends_with_stop).function("at_least", _at_least)
-    turns = ranked(spark, sf, "assistant")
+    turns = ranked(conversations(spark, sf), "assistant")
     rules = F.array(
         F.struct(F.lit("ends").alias("kind"), F.lit(None).cast("string").alias("arg")),
         F.struct(
