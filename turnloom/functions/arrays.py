@@ -53,10 +53,14 @@ def sublist_positions(values: Column, part: Column) -> Column:
 
     def search(pair: Column) -> Column:
         span = F.size(pair["part"])
-        return F.filter(
-            indexes(F.size(pair["values"]) - span + 1),
-            lambda i: F.slice(pair["values"], i + 1, span) == pair["part"],
-        )
+        head = F.get(pair["part"], F.lit(0))
+
+        def matches(i: Column) -> Column:
+            # The first element decides most places; only then is a slice compared.
+            first = F.get(pair["values"], i).eqNullSafe(head) | (span == 0)
+            return first & (F.slice(pair["values"], i + 1, span) == pair["part"])
+
+        return F.filter(indexes(F.size(pair["values"]) - span + 1), matches)
 
     return let(F.struct(values.alias("values"), part.alias("part")), search)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from turnloom.functions.arrays import let
-from turnloom.functions.text import SPACE, quote
+from turnloom.functions.text import SPACES, quote
 
 # The chat markup and the payload marks looked for in it.
 START = "<|im_start|>"
@@ -95,10 +95,9 @@ class ChatTemplate:
 
     def assistant_spans(self, text: Column) -> Column:
         """Every assistant text between its header and the next end mark, trimmed."""
-        pattern = (
-            f"(?sU){quote(self.generation_header)}{SPACE}*(.*?){SPACE}*{quote(self.end)}"
-        )
-        return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        pattern = f"(?s){quote(self.generation_header)}(.*?){quote(self.end)}"
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        return F.transform(found, lambda span: F.btrim(span, F.lit(SPACES)))
 
 
 CHATML = ChatTemplate()

@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 # Java's Unicode whitespace class lacks the four separators U+001C..U+001F.
 SPACE = r"[\s\x1C-\x1F]"
 
+# Every whitespace character, as the class above has them.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 
 def quote(text: str) -> str:
     """A Java regex that matches ``text`` literally."""

@@ -146,20 +146,19 @@ def rewards(scored: DataFrame, on_missing: str = "error") -> DataFrame:
     """Per sample: 1.0 where everything passes, 0.0 otherwise or where turns do not pair up.
 
     All over rules, constraints and turns is a single conjunction, so one aggregation
-    settles it. An unknown constraint is an error, or a fail with ``on_missing="fail"``.
+    settles it. A constraint that is not in the table is an error, or a fail with
+    ``on_missing="fail"``; ``unknown_constraints`` lists such ids.
     """
-    unknown = F.when(F.col("known").isNull(), F.col("id"))
+    unknown = F.col("id").isNotNull() & F.col("known").isNull()
     summed = scored.groupBy("sample_id").agg(
         F.bool_and("matched").alias("_matched"),
         F.bool_and("ok").alias("_ok"),
-        F.min(unknown).alias("_unknown"),
+        F.bool_or(unknown).alias("_unknown"),
     )
     reward = F.when(F.col("_ok"), F.lit(1.0)).otherwise(F.lit(0.0))
     if on_missing == "error":
-        message = F.concat(F.lit("unknown constraint: "), F.col("_unknown"))
-        reward = F.when(
-            F.col("_unknown").isNotNull(), F.raise_error(message).cast("double")
-        ).otherwise(reward)
+        message = F.lit("a sample names a constraint that is not in the table")
+        reward = F.when(F.col("_unknown"), F.raise_error(message).cast("double")).otherwise(reward)
     return summed.select(
         "sample_id", F.when(F.col("_matched"), reward).otherwise(F.lit(0.0)).alias("reward")
     )

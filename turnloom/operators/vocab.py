@@ -13,12 +13,19 @@ from turnloom.operators.order import with_dense_index
 from turnloom.session import new_path
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows read back from a table in the shared folder."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def vocabulary(df: DataFrame, tokens: Column, specials: tuple[str, ...], seed: int = 0) -> DataFrame:
     """Every distinct token with a dense id; the special tokens come first.
 
-    Repeats are dropped map-side. The distinct tokens are written out once, since they are
-    read again for numbering, measuring and lookup. Ids follow a hash of the token, so
-    numbering needs no global sort.
+    Repeats are dropped map-side. Ids follow a hash of the token, so numbering needs no
+    global sort. Distinct tokens and the vocabulary are written out once each, since both
+    are read several times: for counts and numbers, and for measuring and lookup.
     """
     found = (
         df.select(F.explode(F.array_distinct(tokens)).alias("token"))
@@ -26,14 +33,12 @@ def vocabulary(df: DataFrame, tokens: Column, specials: tuple[str, ...], seed: i
         .distinct()
     )
     spark = df.sparkSession
-    path = new_path(spark, "tokens")
-    found.write.parquet(path)
-    found = spark.read.schema("token string").parquet(path)
+    found = _written(found, "tokens")
     numbered = with_dense_index(found, ["token"], seed, name="id", start=len(specials))
     marks = spark.createDataFrame(
         [(token, i) for i, token in enumerate(specials)], "token string, id bigint"
     )
-    return marks.unionByName(numbered)
+    return _written(marks.unionByName(numbered), "vocabulary")
 
 
 def _map_lists(lists: pa.Array, change) -> pa.Array:

@@ -481,27 +481,34 @@ def drawn_finish(k: Column) -> Column:
     )
 
 
-def recorded_output(k: Column, text: Column) -> Column:
+def recorded_output(k: Column, text: Column, tokens: bool) -> Column:
     """An assistant turn as a recorded output.
 
-    Outputs cut by length lack the end mark. Even conversations carry recorded tokens and
-    log-probabilities, some with a gap.
+    Outputs cut by length lack the end mark. On request, even conversations carry recorded
+    tokens and log-probabilities, some with a gap.
     """
     finish = drawn_finish(k)
     ended = F.concat(text, F.when(finish == trajectory.LENGTH, "").otherwise(CHATML.terminator))
+    if not tokens:
+        return F.struct(
+            ended.alias("text"),
+            finish.alias("finish_reason"),
+            F.lit(None).cast("array<string>").alias("token_ids"),
+            F.lit(None).cast("array<double>").alias("logprobs"),
+        )
     known = (F.pmod(F.col("conv_id"), F.lit(2)) == 0) & ~(
         (F.pmod(F.col("conv_id"), F.lit(6)) == 0) & (k == 1)
     )
-    tokens = F.when(known, PIECES.one(ended))
+    own = F.when(known, PIECES.one(ended))
     return F.struct(
         ended.alias("text"),
         finish.alias("finish_reason"),
-        tokens.alias("token_ids"),
-        F.transform(tokens, lambda _: F.lit(-0.5)).alias("logprobs"),
+        own.alias("token_ids"),
+        F.transform(own, lambda _: F.lit(-0.5)).alias("logprobs"),
     )
 
 
-def recorded_samples(turns: DataFrame) -> DataFrame:
+def recorded_samples(turns: DataFrame, tokens: bool) -> DataFrame:
     """User turns as prompts and assistant turns as recorded outputs, one row per sample."""
     spoken = gather(turns, "conv_id", "turn", ["role", "text"], "turns")
     users = F.filter("turns", lambda m: m["role"] == "user")
@@ -513,11 +520,11 @@ def recorded_samples(turns: DataFrame) -> DataFrame:
         "conv_id",
         F.col("conv_id").alias("sample_id"),
         prompt.alias("prompt"),
-        F.transform(answers, lambda m, k: recorded_output(k, m["text"])).alias("outputs"),
+        F.transform(answers, lambda m, k: recorded_output(k, m["text"], tokens)).alias("outputs"),
     ).filter(F.size("prompt") > 0)
 
 
-def recorded_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def recorded_turns(turns: DataFrame, tokens: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The same as turn tables, and the user turns with their rank."""
     users = ranked(turns, "user")
     prompts = users.select(
@@ -528,7 +535,7 @@ def recorded_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
     outputs = (
         ranked(turns, "assistant")
-        .withColumn("_output", recorded_output(F.col("k"), F.col("text")))
+        .withColumn("_output", recorded_output(F.col("k"), F.col("text"), tokens))
         .select(
             F.col("conv_id").alias("sample_id"), F.col("k").alias("turn_ix"), F.col("_output.*")
         )
@@ -538,9 +545,9 @@ def recorded_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def trajectories(spark, sf):
     short, long = split_long(conversations(spark, sf), "conv_id", "turn")
-    built = trajectory.build_trajectories(recorded_samples(short))
+    built = trajectory.build_trajectories(recorded_samples(short, tokens=True))
     if long is not None:
-        prompts, outputs, _ = recorded_turns(long)
+        prompts, outputs, _ = recorded_turns(long, tokens=True)
         built = built.unionByName(long_output_parts(prompts, outputs))
     total = F.aggregate("logprobs", F.lit(0.0), lambda a, b: a + b)
     return built.select(
@@ -759,14 +766,14 @@ def conversation_reward(spark, sf):
     """The flagship: recorded outputs to trajectories, spans, checks and rewards."""
     turns = conversations(spark, sf)
     short, long = split_long(turns, "conv_id", "turn")
-    samples = recorded_samples(short).withColumn(
+    samples = recorded_samples(short, tokens=False).withColumn(
         "verifier", F.transform("prompt", lambda m, k: verifier_list(k))
     )
     checks = reward.checks_from_records(
         trajectory.build_trajectories(samples, keep=("verifier",))
     )
     if long is not None:
-        prompts, outputs, users = recorded_turns(long)
+        prompts, outputs, users = recorded_turns(long, tokens=False)
         checks = checks.unionByName(
             long_output_checks(prompts, outputs, verifier_lists(users))
         )
