@@ -65,26 +65,25 @@ def sublist_positions(values: Column, part: Column) -> Column:
     return let(F.struct(values.alias("values"), part.alias("part")), search)
 
 
-def runs_of_ones(mask: Column) -> Column:
-    """Each maximal run of ones as ``struct(start, length)`` with a 0-based start."""
+def _run_bounds(bits: Column) -> tuple[Column, Column]:
+    """First and last index of every maximal run of ones."""
+    at = indexes(F.size(bits))
+    on = lambda i: F.coalesce(F.get(bits, i), F.lit(0)) == 1
+    return F.filter(at, lambda i: on(i) & ~on(i - 1)), F.filter(at, lambda i: on(i) & ~on(i + 1))
 
-    def find(bits: Column) -> Column:
-        at = indexes(F.size(bits))
-        on = lambda i: F.coalesce(F.get(bits, i), F.lit(0)) == 1
-        starts = F.filter(at, lambda i: on(i) & ~on(i - 1))
-        ends = F.filter(at, lambda i: on(i) & ~on(i + 1))
-        return F.zip_with(
-            starts, ends, lambda s, e: F.struct(s.alias("start"), (e - s + 1).alias("length"))
-        )
 
-    return let(mask, find)
+def runs_of_ones(mask: Column) -> Column:
+    """Each maximal run of ones as ``struct(start, length)`` with a 0-based start."""
+    run = lambda s, e: F.struct(s.alias("start"), (e - s + 1).alias("length"))
+    return let(mask, lambda bits: F.zip_with(*_run_bounds(bits), run))
 
 
 def pieces_under_mask(tokens: Column, mask: Column) -> Column:
     """The tokens of each maximal run of ones, in order, as an array of arrays."""
-    return let(
-        tokens,
-        lambda toks: F.transform(
-            runs_of_ones(mask), lambda run: F.slice(toks, run["start"] + 1, run["length"])
-        ),
-    )
+
+    def cut(pair: Column) -> Column:
+        return F.zip_with(
+            *_run_bounds(pair["mask"]), lambda s, e: F.slice(pair["tokens"], s + 1, e - s + 1)
+        )
+
+    return let(F.struct(tokens.alias("tokens"), mask.alias("mask")), cut)

@@ -9,11 +9,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from turnloom.functions.arrays import pieces_under_mask
 from turnloom.functions.template import END, START
 from turnloom.functions.text import SPACE, quote
 
@@ -50,8 +52,9 @@ class PieceTokenizer:
     def text(self, tokens: Column) -> Column:
         return F.array_join(tokens, "")
 
-    def texts(self, lists: Column) -> Column:
-        return F.transform(lists, self.text)
+    def texts_under_mask(self, tokens: Column, mask: Column) -> Column:
+        """The text of every maximal run of ones."""
+        return F.transform(pieces_under_mask(tokens, mask), self.text)
 
 
 @dataclass(frozen=True)
@@ -113,16 +116,19 @@ class FunctionTokenizer:
 
         return decode(tokens)
 
-    def texts(self, lists: Column) -> Column:
+    def texts_under_mask(self, tokens: Column, mask: Column) -> Column:
         get = self._worker()
 
         @F.pandas_udf("array<string>")
-        def decode(batch: pd.Series) -> pd.Series:
-            rows = [[] if row is None else [[int(i) for i in ids] for ids in row] for row in batch]
+        def decode(batch: pd.Series, masks: pd.Series) -> pd.Series:
+            rows = []
+            for ids, bits in zip(batch, masks):
+                runs = groupby(zip(ids, bits), key=lambda pair: pair[1] == 1)
+                rows.append([[int(i) for i, _ in run] for on, run in runs if on])
             flat = iter(get()[1]([ids for row in rows for ids in row]))
             return pd.Series([[next(flat) for _ in row] for row in rows], dtype=object)
 
-        return decode(lists)
+        return decode(tokens, mask)
 
 
 PIECES = PieceTokenizer()

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType, VariantType
 
-from turnloom.functions.arrays import pieces_under_mask, repeat, response_length, tail
+from turnloom.functions.arrays import repeat, response_length, tail
 from turnloom.functions.template import CHATML, ChatTemplate
 from turnloom.functions.tokens import PIECES, template_overhead
 from turnloom.operators.turns import block_of
@@ -283,7 +283,7 @@ def finalise_samples(df: DataFrame) -> DataFrame:
 
 def texts_under_mask(tokens: Column, mask: Column, tokenizer=PIECES) -> Column:
     """The text of every maximal run of ones, in order."""
-    return tokenizer.texts(pieces_under_mask(tokens, mask))
+    return tokenizer.texts_under_mask(tokens, mask).alias("texts")
 
 
 def token_rows(

@@ -21,6 +21,10 @@ def block_of(position: Column) -> Column:
     return F.shiftright(position.cast("long"), BLOCK_BITS)
 
 
+def first_of(block: Column) -> Column:
+    return F.shiftleft(block, BLOCK_BITS)
+
+
 def blocks_up_to(last: Column) -> Column:
     """Every block number up to the one that holds position ``last``; block 0 for none."""
     return F.sequence(F.lit(0).cast("long"), F.greatest(block_of(last), F.lit(0).cast("long")))

@@ -87,15 +87,17 @@ def _join_lookup(
     """
     salts = 32
     kind = "string" if target == "token" else "int"
-    asked = df.select(*keys, F.posexplode(column).alias("_pos", source)).withColumn(
+    asked = df.select(*keys, F.posexplode(column).alias("_pos", "_from")).withColumn(
         "_salt", F.pmod(F.xxhash64(*keys, "_pos"), F.lit(salts)).cast("int")
     )
-    copies = table.select(source, F.col(target).cast(kind).alias("_to")).withColumn(
+    copies = table.select(
+        F.col(source).alias("_from"), F.col(target).cast(kind).alias("_to")
+    ).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
     answer = F.struct("_pos", F.coalesce("_to", F.lit(unknown).cast(kind)).alias("_to"))
     answers = (
-        asked.join(copies, [source, "_salt"], "left")
+        asked.join(copies, ["_from", "_salt"], "left")
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(answer)).alias("_answers"))
         .select(*keys, F.transform("_answers", lambda a: a["_to"]).alias("_mapped"))

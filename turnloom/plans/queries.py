@@ -17,7 +17,13 @@ from turnloom.functions.tokens import PIECES
 from turnloom.operators import keep, lossmask, order, pool, records, reward, trajectory, vocab
 from turnloom.operators.judge import CONSTRAINT, HELPFULNESS, judge_requests
 from turnloom.operators.rules import RuleBook
-from turnloom.operators.turns import assemble, gather, split_long, with_running_total
+from turnloom.operators.turns import (
+    assemble,
+    first_of,
+    gather,
+    split_long,
+    with_running_total,
+)
 from turnloom.plans.scoring import long_output_checks, long_output_parts, record_rewards
 from turnloom.plans.sft import sft_samples
 from turnloom.session import new_path
@@ -166,7 +172,9 @@ def instructions(spark, sf) -> DataFrame:
         "prompt",
         lambda m, i: F.array(
             F.struct(
-                F.pmod(F.col("conv_id") + i, F.lit(4)).cast("string").alias("id"),
+                F.pmod(F.col("conv_id") + first_of(F.col("part")) + i, F.lit(4))
+                .cast("string")
+                .alias("id"),
                 F.lit("the").alias("placeholder"),
             )
         ),
