@@ -126,8 +126,10 @@ def test_vocabulary_round_trip(spark):
 
 
 def test_shared_folder(spark):
-    assert new_path(spark, "a") != new_path(spark, "a")
-    assert spark.sparkContext.getCheckpointDir() == shared_dir(spark)
+    folder = shared_dir(spark)
+    first, second = new_path(spark, "a"), new_path(spark, "a")
+    assert first != second and first.startswith(folder) and folder == shared_dir(spark)
+    assert spark.sparkContext.getCheckpointDir()
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -13,6 +13,11 @@ from turnloom.operators.order import with_dense_index
 from turnloom.session import new_path
 
 
+# Lookup tables handed to the workers stay referenced while the session lives, since plans
+# that use them may run at any later time.
+_SHARED: list = []
+
+
 def _written(df: DataFrame, name: str) -> DataFrame:
     """The same rows read back from a table in the shared folder."""
     path = new_path(df.sparkSession, name)
@@ -56,6 +61,7 @@ def _broadcast_lookup(spark: SparkSession, table: DataFrame, source: str, target
     shared = spark.sparkContext.broadcast(
         (rows.column(source).to_pylist(), rows.column(target).to_pylist())
     )
+    _SHARED.append(shared)
     kind = "array<string>" if target == "token" else "array<int>"
     value = pa.string() if target == "token" else pa.int32()
     key = pa.string() if source == "token" else pa.int32()
