@@ -232,7 +232,8 @@ def split_roundtrip(spark, sf):
 def jsonl_roundtrip(spark, sf):
     """Kept conversations written as JSON lines and read back by key."""
     path = new_path(spark, "sft")
-    write_jsonl(kept(spark, sf).select("conv_id", "messages", F.lit(None).cast("string").alias("note")), path)
+    note = F.lit(None).cast("string").alias("note")
+    write_jsonl(kept(spark, sf).select("conv_id", "messages", note), path)
     schema = f"conv_id long, messages {MESSAGES}, note string"
     back = read_jsonl(spark, path, schema, {"id": "conv_id", "chat": "messages", "note": "note"})
     return back.select("id", CHATML.render(F.col("chat")).alias("rendered"), "note")
@@ -288,8 +289,9 @@ def record_spans(spark, sf):
 def tag_extract(spark, sf):
     """A tag around the text, an empty tag, or no tag, by key."""
     kind = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4))
+    after = "\n </answer><answer>no</answer>"
     text = (
-        F.when(kind == 0, F.concat(F.lit("so <ANSWER> \n"), F.col("text"), F.lit("\n </answer><answer>no</answer>")))
+        F.when(kind == 0, F.concat(F.lit("so <ANSWER> \n"), F.col("text"), F.lit(after)))
         .when(kind == 1, F.concat(F.col("text"), F.lit("<answer></answer>")))
         .when(kind == 2, F.concat(F.lit("<answer>YES </Answer>"), F.col("text")))
         .otherwise(F.col("text"))
@@ -660,7 +662,8 @@ def judgements(turns: DataFrame) -> DataFrame:
 def turn_checks(spark, sf) -> DataFrame:
     """Checks of the assistant turns of whole rendered conversations."""
     short, long = split_long(conversations(spark, sf), "conv_id", "turn")
-    whole = gather(short.withColumnRenamed("text", "content"), "conv_id", "turn", ["role", "content"], "messages")
+    short = short.withColumnRenamed("text", "content")
+    whole = gather(short, "conv_id", "turn", ["role", "content"], "messages")
     spoken = F.filter("messages", lambda m: m["role"] == "assistant")
     checks = reward.checks_from_records(
         whole.select(
