@@ -379,5 +379,7 @@ def near_texts(df: DataFrame, key: str = "doc_id", text: str = "text", least: fl
         F.col("id").alias(key),
         "text_key",
         F.coalesce("class_id", "id").alias("class_id"),
-        F.coalesce(F.col("head_text") & F.col("class_id").eqNullSafe(F.col("id")), F.lit(True)).alias("kept"),
+        F.when(F.col("head_text").isNull(), True)
+        .otherwise(F.col("head_text") & F.col("class_id").eqNullSafe(F.col("id")))
+        .alias("kept"),
     )

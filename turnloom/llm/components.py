@@ -48,7 +48,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         now = edges.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
         ).first()
-        if tuple(now) == state:
+        if not now[0] or tuple(now) == state:
             break
         state = tuple(now)
     roots = edges.select(F.col("b").alias("key")).distinct().select("key", F.col("key").alias("root"))
