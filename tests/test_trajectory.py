@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tests.test_functions import letters
 from turnloom.functions.template import CHATML
 from turnloom.functions.tokens import PIECES, FunctionTokenizer
-from turnloom.plans.scoring import long_output_parts, output_checks, recorded_trajectories
+from turnloom.plans.scoring import output_checks, recorded_trajectories
 
 END = "<|im_end|>"
 PROMPTS = "sample_id int, turn_ix int, role string, content string"
@@ -63,17 +63,9 @@ def tables(spark, samples=SAMPLES):
 
 
 def joined(rows):
-    """Parts of a sample put together."""
-    whole = {}
-    for row in sorted(rows, key=lambda r: (r.sample_id, r.part)):
-        prompt, response, mask, status = whole.get(row.sample_id, (None, None, None, None))
-        add = lambda a, b: b if a is None else a if b is None else a + b
-        whole[row.sample_id] = (
-            add(prompt, row.prompt),
-            add(response, row.response),
-            add(mask, row.loss_mask),
-            status or row.status,
-        )
+    """Samples by id; each has one row."""
+    whole = {r.sample_id: (r.prompt, r.response, r.loss_mask, r.status) for r in rows}
+    assert len(whole) == len(rows)
     return whole
 
 
@@ -83,7 +75,6 @@ EXPECTED = {i: loop(*sample) for i, sample in enumerate(SAMPLES)}
 def test_short(spark):
     rows = recorded_trajectories(*tables(spark)).collect()
     assert joined(rows) == EXPECTED
-    assert {r.part for r in rows} == {0}
     for row in rows:
         if row.tokens is not None:
             assert "".join(row.tokens) == row.prompt + row.response == row.payload_text
@@ -101,12 +92,6 @@ def test_goldens(spark):
     assert rows[4].status == "ABORTED" and rows[4].tokens is None
 
 
-def test_long(spark, tiny_blocks):
-    rows = recorded_trajectories(*tables(spark)).collect()
-    assert joined(rows) == EXPECTED
-    assert max(r.part for r in rows) == 1
-
-
 def test_one_sample_of_many_turns(spark):
     n = 5000
     prompts = spark.range(n).select(
@@ -122,7 +107,6 @@ def test_one_sample_of_many_turns(spark):
         F.when(F.col("turn_ix") == 4500, "length").otherwise("stop").alias("finish_reason"),
     )
     rows = recorded_trajectories(prompts, outputs).collect()
-    assert sorted(r.part for r in rows) == [0, 1]
     expected = loop(
         [f"u{k}" for k in range(n)],
         [(f"r{k}{END}", "length" if k == 4500 else "stop") for k in range(n)],
@@ -130,9 +114,7 @@ def test_one_sample_of_many_turns(spark):
     assert joined(rows) == {1: expected}
 
 
-@pytest.mark.parametrize("blocks", [12, 1])
-def test_recorded_tokens_and_logprobs(spark, monkeypatch, blocks):
-    monkeypatch.setattr("turnloom.operators.turns.BLOCK_BITS", blocks)
+def test_recorded_tokens_and_logprobs(spark):
     prompts, _ = tables(spark, [(["a", "b", "c"], [])] * 3)
     known = lambda k: (["x", "y"], [-1.0, -2.0])
     outputs = []
@@ -143,7 +125,7 @@ def test_recorded_tokens_and_logprobs(spark, monkeypatch, blocks):
     rows = recorded_trajectories(prompts, spark.createDataFrame(outputs, OUTPUTS)).collect()
     follow = PIECES.size_of(CHATML.render_text([("user", "b")], generation=True))
     first = [r for r in rows if r.sample_id == 0]
-    logprobs = [p for r in sorted(first, key=lambda r: r.part) for p in r.logprobs]
+    logprobs = [p for r in first for p in r.logprobs]
     assert logprobs == ([-1.0, -2.0] + [0.0] * follow) * 2 + [-1.0, -2.0]
     assert all(r.logprobs_match for r in first)
     assert not all(r.logprobs_match for r in rows if r.sample_id == 1)
@@ -155,9 +137,7 @@ def test_function_tokenizer(spark):
     outputs = outputs.drop("token_ids").withColumn("token_ids", F.lit(None).cast("array<int>"))
     tokenizer = FunctionTokenizer(letters)
     short = recorded_trajectories(prompts, outputs, tokenizer=tokenizer).collect()
-    long = long_output_parts(prompts, outputs, tokenizer=tokenizer).collect()
-    for rows in (short, long):
-        assert all("".join(map(chr, r.tokens)) == r.payload_text for r in rows if r.tokens)
+    assert all("".join(map(chr, r.tokens)) == r.payload_text for r in short if r.tokens)
 
 
 @pytest.mark.parametrize("blocks", [12, 1])

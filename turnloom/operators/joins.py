@@ -11,33 +11,19 @@ MAX_BYTES = 64 * 1024 * 1024
 
 
 def fits_broadcast(table: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> bool:
-    """Count at most ``max_rows + 1`` rows and their text size."""
+    """Whether rows and their text size are within the limits: sums, combined map-side."""
     size = (
-        table.limit(max_rows + 1)
-        .select(F.octet_length(F.to_json(F.struct("*"))).alias("bytes"))
+        table.select(F.octet_length(F.to_json(F.struct("*"))).alias("bytes"))
         .agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
         .first()
     )
     return size["rows"] <= max_rows and size["bytes"] <= max_bytes
 
 
-def lookup(
-    facts: DataFrame,
-    table: DataFrame,
-    key: str,
-    spread: list[str],
-    salts: int = 32,
-    max_rows: int = MAX_ROWS,
-    max_bytes: int = MAX_BYTES,
-) -> DataFrame:
-    """Left join ``facts`` to a table that is unique by ``key``.
-
-    A table within the limits is broadcast. A larger one is joined by shuffle: facts are
-    spread over ``salts`` by the columns ``spread``, so that a key that most facts share
-    is worked on by many tasks, and the table is repeated once per salt.
+def lookup(facts: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join ``facts`` to a table that is unique by ``key``; starts no job.
+
+    Spark copies a table whose size it knows to be small. A larger one is joined by shuffle,
+    where the adaptive plan splits the tasks of keys that most facts share.
     """
-    if fits_broadcast(table, max_rows, max_bytes):
-        return facts.join(F.broadcast(table), key, "left")
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [key, "_salt"], "left").drop("_salt")
+    return facts.join(table, key, "left")

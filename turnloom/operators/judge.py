@@ -60,10 +60,15 @@ def selected(keys: list[str], rate: float, seed: int = 0) -> Column:
     return share < F.lit(float(rate))
 
 
+def is_hard(kind: Column) -> Column:
+    """Whether rules decide; a constraint of any other type, or of none, is the judge's."""
+    return F.coalesce(kind == "hard", F.lit(False))
+
+
 def judge_requests(scored: DataFrame, rate: float = 0.0, seed: int = 0) -> DataFrame:
     """One request per soft check, and per hard check drawn for the helpfulness question."""
     keys = ["sample_id", "turn_ix", "ver_ix"]
-    hard = F.col("verifier_type") == "hard"
+    hard = is_hard(F.col("verifier_type"))
     drawn = scored.filter(F.col("known") & (~hard | selected(keys, rate, seed)))
     texts = F.col("constraint"), F.col("response")
     return drawn.select(
@@ -93,7 +98,7 @@ def with_verdicts(checks: DataFrame, judgements: DataFrame) -> DataFrame:
         F.col("kind").alias("_kind"),
         "verdict",
     )
-    kind = F.when(F.col("verifier_type") == "hard", HELPFULNESS).otherwise(CONSTRAINT)
+    kind = F.when(is_hard(F.col("verifier_type")), HELPFULNESS).otherwise(CONSTRAINT)
     return (
         checks.withColumn("_kind", kind)
         .join(known, keys, "left")

@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, StructType, VariantType
 
 from turnloom.functions.arrays import let
 from turnloom.functions.text import word_count
+from turnloom.operators.turns import with_running_total
 
 # Fixed value: words allowed before the last message.
 WORD_BUDGET = 2024
@@ -99,25 +100,30 @@ def keep_records(
 
 
 def turn_measures(
-    turns: DataFrame,
-    key: str,
-    position: str,
-    role: str = "role",
-    content: str = "text",
-    extra: dict[str, Column] | None = None,
+    turns: DataFrame, key: str, position: str, role: str = "role", content: str = "text"
 ) -> DataFrame:
-    """What the filters ask of a conversation, in one aggregation with map-side combine."""
+    """What the filters ask of a conversation, in scalars; no text is shuffled.
+
+    Roles alternate by a message's rank among the positions of its conversation, so positions
+    may begin anywhere and have gaps.
+    """
     variant = isinstance(turns.schema[content].dataType, VariantType)
-    at, body = F.col(position), F.col(content)
-    words = F.when(is_text(body, variant), word_count(text_of(body, variant))).otherwise(0)
-    columns = {
-        "n_messages": F.count(F.lit(1)),
-        "n_words_before_last": F.sum(words) - F.max_by(words, at),
-        "roles_ok": F.bool_and(F.col(role).eqNullSafe(expected_role(at))),
-        "content_ok": F.bool_and(is_text(body, variant)),
-        **(extra or {}),
-    }
-    return turns.groupBy(key).agg(*[column.alias(name) for name, column in columns.items()])
+    body = F.col(content)
+    typed = is_text(body, variant)
+    scalars = turns.select(
+        key,
+        position,
+        F.col(role).alias("_role"),
+        F.when(typed, word_count(text_of(body, variant))).otherwise(0).alias("_words"),
+        typed.alias("_typed"),
+    )
+    ranked = with_running_total(scalars, key, position, F.lit(1), "_rank")
+    return ranked.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_messages"),
+        (F.sum("_words") - F.max_by("_words", position)).alias("n_words_before_last"),
+        F.bool_and(F.col("_role").eqNullSafe(expected_role(F.col("_rank")))).alias("roles_ok"),
+        F.bool_and("_typed").alias("content_ok"),
+    )
 
 
 def keep_turns(
@@ -129,34 +135,31 @@ def keep_turns(
     max_turns: int | None = None,
     budget: int = WORD_BUDGET,
 ) -> DataFrame:
-    """The filters over a turn table; returns kept conversations with their messages.
+    """The filters over a turn table; returns kept conversations with all their messages.
 
-    A message has at least one word, so a kept conversation has no more messages than
-    the budget has words, nor more than two per allowed turn. Only positions below that
-    bound are gathered: a longer conversation is rejected by its count alone, and its
-    remaining rows reach the shuffle as counters.
+    First the measures, in scalars; then the turns of kept conversations are gathered. A
+    message has at least one word, so a kept conversation has no more messages than the
+    budget has words.
     """
-    bound = max(min(budget, 2 * max_turns if max_turns else budget), 0)
-    at = F.col(position)
-    message = F.struct(at.alias("at"), F.col(role).alias("role"), F.col(content).alias("content"))
-    measures = turn_measures(
-        turns,
-        key,
-        position,
-        role,
-        content,
-        {"_gathered": F.collect_list(F.when(at < bound, message))},
-    )
     limit = F.col("n_messages") <= 2 * max_turns if max_turns else F.lit(True)
+    kept = (
+        turn_measures(turns, key, position, role, content)
+        .filter(
+            limit & F.col("roles_ok") & F.col("content_ok") & (F.col("n_words_before_last") < budget)
+        )
+        .select(key, "n_messages", "n_words_before_last")
+    )
+    message = F.struct(
+        F.col(position).alias("at"), F.col(role).alias("role"), F.col(content).alias("content")
+    )
+    gathered = turns.join(kept, key).groupBy(key, "n_messages", "n_words_before_last")
+    gathered = gathered.agg(F.collect_list(message).alias("_gathered"))
     # VARIANT has no order, so untyped content is sorted by position alone.
     if isinstance(turns.schema[content].dataType, VariantType):
-        ordered = F.array_sort("_gathered", lambda a, b: (a["at"] - b["at"]).cast("int"))
+        ordered = F.array_sort("_gathered", lambda a, b: F.signum((a["at"] - b["at"]).cast("double")).cast("int"))
     else:
         ordered = F.sort_array("_gathered")
-    kept = measures.filter(
-        limit & F.col("roles_ok") & F.col("content_ok") & (F.col("n_words_before_last") < budget)
-    )
-    return kept.select(
+    return gathered.select(
         key,
         "n_messages",
         "n_words_before_last",

@@ -315,16 +315,24 @@ def flatten_content(content: Column) -> Column:
 
 
 def flatten_messages(df: DataFrame, messages: str = "messages") -> DataFrame:
-    """Messages whose content may be a list, to messages of plain text."""
+    """Messages whose content may be a list, to messages of plain text.
+
+    A message of plain text keeps its other fields; one that was a list keeps its role only.
+    """
     kind = df.schema[messages].dataType.elementType
     if not isinstance(kind["content"].dataType, VariantType):
         return df
-    plain = F.transform(
-        messages,
-        lambda m: F.struct(
-            m["role"].alias("role"), flatten_content(m["content"]).alias("content")
-        ),
-    )
+    more = [f.name for f in kind.fields if f.name not in ("role", "content")]
+
+    def flat(m: Column) -> Column:
+        listed = F.coalesce(F.schema_of_variant(m["content"]).startswith("ARRAY"), F.lit(False))
+        return F.struct(
+            m["role"].alias("role"),
+            flatten_content(m["content"]).alias("content"),
+            *[F.when(~listed, m[name]).alias(name) for name in more],
+        )
+
+    plain = F.transform(messages, flat)
     return df.withColumn(messages, plain)
 
 

@@ -21,10 +21,10 @@ def constraint_index(constraints: DataFrame, order: str) -> DataFrame:
     )
 
 
-def with_constraints(checks: DataFrame, index: DataFrame, **limits) -> DataFrame:
+def with_constraints(checks: DataFrame, index: DataFrame) -> DataFrame:
     """Add the constraint of each check; ``known`` is NULL where the id is not indexed."""
     columns = index.select(*SCORING_COLUMNS).withColumn("known", F.lit(True))
-    return lookup(checks, columns, "id", ["sample_id", "turn_ix", "ver_ix"], **limits)
+    return lookup(checks, columns, "id")
 
 
 def unknown_constraints(checks: DataFrame, index: DataFrame) -> DataFrame:

@@ -25,16 +25,11 @@ def prompt_records(
     verifier: str = "verifier",
     persona: str = "persona",
     keep: tuple[str, ...] = (),
-    part: str | None = None,
 ) -> DataFrame:
-    """Instructions to prompt records; an empty prompt is an error in ANSI mode.
-
-    Where ``part`` numbers the pieces of a long prompt, only piece 0 has its first text.
-    """
-    first = F.col(prompt)[0]["content"]
+    """Instructions to prompt records; an empty prompt is an error in ANSI mode."""
     return df.select(
         *keep,
-        (F.when(F.col(part) == 0, first) if part else first).alias("prompt"),
+        F.col(prompt)[0]["content"].alias("prompt"),
         F.lit(LABEL).alias("label"),
         F.struct(
             F.col(id).alias("id"),

@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions.template import CHATML, ChatTemplate
-from turnloom.operators.judge import selected, with_verdicts
+from turnloom.operators.judge import is_hard, selected, with_verdicts
 from turnloom.operators.pool import with_constraints
 from turnloom.operators.rules import RuleBook
-from turnloom.operators.turns import blocked_running_total
 
 
 def _explode_lists(paired: DataFrame) -> DataFrame:
@@ -60,32 +59,12 @@ def checks_from_records(samples: DataFrame, template: ChatTemplate = CHATML) ->
     )
 
 
-def number_responses(found: DataFrame) -> DataFrame:
-    """Spans per step of long samples to one row per response, numbered through the sample."""
-    offset = blocked_running_total(
-        found, "sample_id", "turn_ix", F.size("spans").cast("bigint"), "_before"
-    )
-    return offset.select(
-        "sample_id", "_before", F.posexplode("spans").alias("_ix", "response")
-    ).select("sample_id", (F.col("_before") + F.col("_ix")).alias("turn_ix"), "response")
-
-
-def checks_from_turns(responses: DataFrame, lists: DataFrame, samples: DataFrame) -> DataFrame:
-    """The same from turn tables, for samples of any length.
-
-    Pairs ``responses(sample_id, turn_ix, response)`` with
-    ``lists(sample_id, turn_ix, verifier)``, both numbered from 0 without gaps.
-
-    The pairing is a full outer join by a unique key, so a row without a partner tells
-    that the numbers differ. ``samples`` adds one neutral row per sample, for those that
-    have neither.
+def checks_from_turns(turns: DataFrame, silent: DataFrame) -> DataFrame:
+    """The same from ``turns(sample_id, turn_ix, response, verifier)``, a response and its own
+    list per row; no shuffle. ``silent(sample_id)`` adds one neutral row for each sample
+    without responses.
     """
-    paired = (
-        responses.withColumn("_said", F.lit(True))
-        .join(lists.withColumn("_listed", F.lit(True)), ["sample_id", "turn_ix"], "full")
-        .withColumn("matched", F.col("_said").isNotNull() & F.col("_listed").isNotNull())
-    )
-    neutral = samples.select(
+    neutral = silent.select(
         "sample_id",
         F.lit(True).alias("matched"),
         F.lit(None).cast("bigint").alias("turn_ix"),
@@ -94,7 +73,7 @@ def checks_from_turns(responses: DataFrame, lists: DataFrame, samples: DataFrame
         F.lit(None).cast("string").alias("id"),
         F.lit(None).cast("string").alias("placeholder"),
     )
-    return _explode_lists(paired).unionByName(neutral)
+    return _explode_lists(turns.withColumn("matched", F.lit(True))).unionByName(neutral)
 
 
 def score_checks(
@@ -104,7 +83,6 @@ def score_checks(
     judgements: DataFrame | None = None,
     rate: float = 0.0,
     seed: int = 0,
-    **limits,
 ) -> DataFrame:
     """Add ``ok`` to every check.
 
@@ -113,9 +91,11 @@ def score_checks(
     judge's verdict. Missing verdicts pass, failing rules do not.
     """
     placeholder = F.when(F.col("content_template"), F.col("placeholder"))
-    held = book.all_hold(F.col("response"), F.col("rules"), placeholder)
+    # Soft constraints are the judge's: their rules are not run.
+    rules = F.when(is_hard(F.col("verifier_type")), F.col("rules"))
+    held = book.all_hold(F.col("response"), rules, placeholder)
     # Rules run before the verdicts are joined, so the join need not carry the texts.
-    named = with_constraints(checks, index, **limits).withColumn("rules_ok", held)
+    named = with_constraints(checks, index).withColumn("rules_ok", held)
     if judgements is None:
         named = named.withColumn("verdict", F.lit(True))
     else:
@@ -127,7 +107,7 @@ def score_checks(
     ok = (
         F.when(F.col("id").isNull(), F.lit(True))
         .when(F.col("known").isNull(), F.lit(False))
-        .when(F.col("verifier_type") == "hard", hard_ok)
+        .when(is_hard(F.col("verifier_type")), hard_ok)
         .otherwise(F.col("verdict"))
     )
     return named.withColumn("ok", ok)

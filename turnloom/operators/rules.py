@@ -9,8 +9,7 @@ and timeouts fail.
 from __future__ import annotations
 
 import inspect
-import signal
-import threading
+import multiprocessing
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -22,36 +21,75 @@ from pyspark.sql import functions as F
 TIME_LIMIT = 10.0
 
 
-def _run_limited(function: Callable, given: dict, seconds: float | None):
-    """Call ``function``; a call over the limit raises TimeoutError."""
-    if not seconds or threading.current_thread() is not threading.main_thread():
-        return function(**given)
+def _answers(pipe, rules: dict[str, tuple[Callable, frozenset[str]]]) -> None:
+    """Serve verdicts in a process of its own until the other end closes."""
+    while True:
+        try:
+            kind, response, placeholder = pipe.recv()
+        except EOFError:
+            return
+        rule, wanted = rules[kind]
+        offered = (("response", response), ("placeholder", placeholder))
+        try:
+            verdict = rule(**{n: v for n, v in offered if n in wanted and (n == "response" or v is not None)})
+            passed = str(verdict).strip().lower() == "true"
+        except (Exception, SystemExit):
+            passed = False
+        pipe.send(passed)
+
+
+class RuleProcess:
+    """Runs Python rules in a helper process, which is ended where a rule takes too long.
+
+    Ending the process stops native code too. A rule passes only with a clear true: errors,
+    exits, a lost helper and a timeout fail it. Without a limit rules run the same way.
+    """
+
+    def __init__(self, rules: dict[str, tuple[Callable, frozenset[str]]], seconds: float | None) -> None:
+        self.rules, self.seconds = rules, seconds
+        self.helper = self.pipe = None
+
+    def passes(self, kind: str, response: str, placeholder: str | None) -> bool:
+        if self.helper is None:
+            context = multiprocessing.get_context("fork")
+            self.pipe, other = context.Pipe()
+            self.helper = context.Process(target=_answers, args=(other, self.rules), daemon=True)
+            self.helper.start()
+            other.close()
+        try:
+            self.pipe.send((kind, response, placeholder))
+            if self.pipe.poll(self.seconds):
+                return self.pipe.recv()
+        except (EOFError, OSError):
+            pass
+        self.close()
+        return False
+
+    def close(self) -> None:
+        if self.helper is not None:
+            self.pipe.close()
+            self.helper.kill()
+            self.helper.join()
+            self.helper = self.pipe = None
 
-    def expire(signum, frame):
-        raise TimeoutError(f"rule ran longer than {seconds} seconds")
 
-    before = signal.signal(signal.SIGALRM, expire)
-    signal.setitimer(signal.ITIMER_REAL, seconds)
+def wanted_names(rule: Callable) -> frozenset[str]:
+    """The arguments a rule takes; one whose signature cannot be read takes the response."""
     try:
-        return function(**given)
-    finally:
-        signal.setitimer(signal.ITIMER_REAL, 0)
-        signal.signal(signal.SIGALRM, before)
+        return frozenset(inspect.signature(rule).parameters)
+    except (TypeError, ValueError):
+        return frozenset(("response",))
 
 
 def rule_passes(
     function: Callable, response: str, placeholder: str | None, seconds: float | None = TIME_LIMIT
 ) -> bool:
     """Does a Python rule pass? It is given the arguments it names and no others."""
-    given = {"response": response}
-    if placeholder is not None:
-        given["placeholder"] = placeholder
+    process = RuleProcess({"": (function, wanted_names(function))}, seconds)
     try:
-        names = inspect.signature(function).parameters
-        given = {name: value for name, value in given.items() if name in names}
-        return str(_run_limited(function, given, seconds)).strip().lower() == "true"
-    except Exception:
-        return False
+        return process.passes("", response, placeholder)
+    finally:
+        process.close()
 
 
 @dataclass
@@ -59,7 +97,7 @@ class RuleBook:
     """Registered rules by kind."""
 
     native: dict[str, Callable[[Column, Column], Column]] = field(default_factory=dict)
-    python: dict[str, Callable] = field(default_factory=dict)
+    python: dict[str, tuple[Callable, frozenset[str]]] = field(default_factory=dict)
     seconds: float | None = TIME_LIMIT
 
     def column(self, kind: str, rule: Callable[[Column, Column], Column]) -> RuleBook:
@@ -72,7 +110,7 @@ class RuleBook:
 
     def function(self, kind: str, rule: Callable) -> RuleBook:
         """Register a Python function of ``response`` and, if it wants one, ``placeholder``."""
-        self.python[kind] = rule
+        self.python[kind] = (rule, wanted_names(rule))
         return self
 
     def verdict(self, kind: Column, response: Column, arg: Column) -> Column:
@@ -105,16 +143,15 @@ class RuleBook:
 
         @F.pandas_udf("boolean")
         def run(texts: pd.Series, kinds: pd.Series, args: pd.Series) -> pd.Series:
-            return pd.Series(
-                [
-                    True
-                    if names is None
-                    else all(
-                        [rule_passes(functions[k], text, a, seconds) for k, a in zip(names, values)]
-                    )
+            process = RuleProcess(functions, seconds)
+            try:
+                held = [
+                    names is None or all([process.passes(k, text, a) for k, a in zip(names, values)])
                     for text, names, values in zip(texts, kinds, args)
                 ]
-            )
+            finally:
+                process.close()
+            return pd.Series(held, dtype="boolean")
 
         only = lambda column: F.when(asked, column)
         return run(only(response), only(kinds), only(args))

@@ -2,9 +2,8 @@
 
 ``prompts(sample_id, turn_ix, role, content)`` holds the turns the user side sends and
 ``outputs(sample_id, turn_ix, text, finish_reason [, token_ids, logprobs])`` what the
-model answered to each, both numbered from 0 without gaps. A sample of ordinary length is
-one row with both lists and is put together without a further shuffle. Very long samples
-are put together per block of turns.
+model answered to each, both numbered from 0 without gaps. A sample of any length is one
+row with both lists and is put together without a further shuffle.
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ from pyspark.sql import functions as F
 from turnloom.functions.arrays import let, repeat
 from turnloom.functions.template import CHATML, ChatTemplate, payload_flags
 from turnloom.functions.tokens import PIECES
-from turnloom.operators.turns import block_of, blocks_up_to
 
 # Finish reasons and the statuses they lead to.
 LENGTH, STOP, ABORT = "length", "stop", "abort"
@@ -48,9 +46,6 @@ def output_fields(outputs: DataFrame) -> list[Column]:
     ]
 
 
-# Samples of ordinary length
-
-
 def gather_samples(prompts: DataFrame, outputs: DataFrame) -> DataFrame:
     """One row per sample with the arrays ``prompt`` and ``outputs``; a single shuffle."""
     ask = F.struct("role", "content")
@@ -157,7 +152,6 @@ def build_trajectories(
     return joined.select(
         "sample_id",
         *keep,
-        F.lit(0).cast("long").alias("part"),
         F.when(run, F.col("_opening")).alias("prompt"),
         F.when(run, F.col("_response")).alias("response"),
         F.when(run, F.concat("_prompt_tokens", "_tokens")).alias("tokens"),
@@ -172,193 +166,3 @@ def build_trajectories(
         F.when(run, has_system).alias("payload_has_system"),
         F.when(run, has_tools).alias("payload_has_tools"),
     )
-
-
-# Very long samples
-
-
-def sample_limits(
-    prompts: DataFrame, outputs: DataFrame, template: ChatTemplate = CHATML
-) -> DataFrame:
-    """Per sample: opening text, number of turns, last turn that runs, aborted or not.
-
-    One aggregation over both tables, combined map-side.
-    """
-    first = F.when(F.col("turn_ix") == 0, template.opening(F.col("role"), F.col("content")))
-    events = prompts.select(
-        "sample_id",
-        F.lit(1).alias("_prompt"),
-        first.alias("_opening"),
-        F.lit(None).cast("struct<turn_ix:bigint,finish:string>").alias("_cut"),
-    ).unionByName(
-        outputs.filter(F.col("finish_reason").isin(LENGTH, ABORT)).select(
-            "sample_id",
-            F.lit(0).alias("_prompt"),
-            F.lit(None).cast("string").alias("_opening"),
-            F.struct(
-                F.col("turn_ix").cast("bigint").alias("turn_ix"),
-                F.col("finish_reason").alias("finish"),
-            ).alias("_cut"),
-        )
-    )
-    grouped = events.groupBy("sample_id").agg(
-        F.sum("_prompt").alias("n_turns"),
-        F.max("_opening").alias("_opening"),
-        F.min("_cut").alias("_cut"),
-    )
-    final = F.col("n_turns") - 1
-    cut = F.col("_cut.turn_ix")
-    return grouped.select(
-        "sample_id",
-        "n_turns",
-        F.concat("_opening", F.lit(template.generation_header)).alias("opening"),
-        F.least(final, F.coalesce(cut, final)).alias("last_ix"),
-        F.coalesce((cut <= final) & (F.col("_cut.finish") == ABORT), F.lit(False)).alias("aborted"),
-    )
-
-
-def trajectory_steps(
-    prompts: DataFrame,
-    outputs: DataFrame,
-    limits: DataFrame,
-    template: ChatTemplate = CHATML,
-) -> DataFrame:
-    """The steps that run: output text and, unless it is the last, the next prompt turn.
-
-    Prompt turn ``k + 1`` is keyed to step ``k``, so outputs and follow-ups meet by a
-    unique key. The limits are repeated per block of turns, which spreads one sample over
-    many tasks.
-    """
-    follow = prompts.filter(F.col("turn_ix") > 0).select(
-        "sample_id",
-        (F.col("turn_ix") - 1).alias("turn_ix"),
-        template.turn(F.col("role"), F.col("content")).alias("_follow"),
-    )
-    bounds = limits.select(
-        "sample_id",
-        "last_ix",
-        "aborted",
-        F.explode(blocks_up_to(F.col("last_ix"))).alias("_block"),
-    )
-    more = F.col("turn_ix") < F.col("last_ix")
-    return (
-        outputs.select("sample_id", "turn_ix", *output_fields(outputs))
-        .join(follow, ["sample_id", "turn_ix"], "left")
-        .withColumn("_block", block_of(F.col("turn_ix")))
-        .join(bounds, ["sample_id", "_block"])
-        .filter(F.col("turn_ix") <= F.col("last_ix"))
-        .withColumn("follow_body", F.when(more, F.col("_follow")))
-        .drop("_block", "_follow")
-    )
-
-
-def long_trajectories(
-    limits: DataFrame,
-    steps: DataFrame,
-    template: ChatTemplate = CHATML,
-    tokenizer=PIECES,
-) -> DataFrame:
-    """Trajectories of long samples: one row per sample and block of turns.
-
-    Lengths, masks and marks are those of the part; ``part`` 0 carries the prompt, and the
-    part of the last turn carries the status.
-    """
-    follow_text = F.coalesce(
-        F.concat("follow_body", F.lit(template.generation_header)), F.lit("")
-    )
-    tokenised = (
-        steps.withColumn("_follow", follow_text)
-        .withColumn("_between", tokenizer.one(F.col("_follow")))
-        .withColumn("_own", F.coalesce("token_ids", tokenizer.one(F.col("text"))))
-    )
-    n_own, n_between = F.size("_own"), F.size("_between")
-    step = F.struct(
-        F.col("turn_ix").alias("at"),
-        F.concat("text", "_follow").alias("text"),
-        F.concat("_own", "_between").alias("tokens"),
-        F.concat(repeat(1, n_own), repeat(0, n_between)).alias("mask"),
-        F.when(F.col("logprobs").isNotNull(), F.concat("logprobs", repeat(0.0, n_between))).alias(
-            "logprobs"
-        ),
-        F.col("finish_reason").alias("finish"),
-    )
-    gathered = tokenised.groupBy("sample_id", block_of(F.col("turn_ix")).alias("part")).agg(
-        F.sort_array(F.collect_list(step)).alias("_steps")
-    )
-    parts = limits.select(
-        "sample_id",
-        "opening",
-        "last_ix",
-        "aborted",
-        F.explode(blocks_up_to(F.col("last_ix"))).alias("part"),
-    ).join(gathered, ["sample_id", "part"], "left")
-    prompt = F.when(F.col("part") == 0, F.col("opening")).otherwise("")
-    each = lambda field: F.transform("_steps", lambda s: s[field])
-    known = F.filter(each("logprobs"), lambda p: p.isNotNull())
-    final = F.get(F.filter("_steps", lambda s: s["at"] == F.col("last_ix")), F.lit(0))
-    built = parts.select(
-        "sample_id",
-        "part",
-        "aborted",
-        final["finish"].alias("_finish"),
-        prompt.alias("_prompt"),
-        tokenizer.one(prompt).alias("_prompt_tokens"),
-        F.coalesce(F.array_join(each("text"), ""), F.lit("")).alias("_response"),
-        F.flatten(each("tokens")).alias("_tokens"),
-        F.coalesce(F.flatten(each("mask")), F.array().cast("array<int>")).alias("_mask"),
-        F.when(F.size(known) > 0, F.flatten(known)).alias("_logprobs"),
-    )
-    run = ~F.col("aborted")
-    payload = F.concat("_prompt", "_response")
-    has_system, has_tools = payload_flags(payload)
-    tokens = F.when(F.col("_tokens").isNull(), F.col("_prompt_tokens")).otherwise(
-        F.concat("_prompt_tokens", "_tokens")
-    )
-    return built.select(
-        "sample_id",
-        "part",
-        F.when(run, F.col("_prompt")).alias("prompt"),
-        F.when(run, F.col("_response")).alias("response"),
-        F.when(run, tokens).alias("tokens"),
-        F.when(run, F.col("_mask")).alias("loss_mask"),
-        F.when(run, F.size("_mask")).alias("response_length"),
-        F.when(run, F.col("_logprobs")).alias("logprobs"),
-        F.coalesce(F.size("_logprobs") == F.size("_mask"), F.col("_logprobs").isNull()).alias(
-            "logprobs_match"
-        ),
-        F.when(F.col("aborted"), F.lit(STATUSES[ABORT]))
-        .otherwise(status_of(F.col("_finish")))
-        .alias("status"),
-        F.when(run, payload).alias("payload_text"),
-        F.when(run, has_system).alias("payload_has_system"),
-        F.when(run, has_tools).alias("payload_has_tools"),
-    )
-
-
-def step_responses(
-    limits: DataFrame, steps: DataFrame, template: ChatTemplate = CHATML
-) -> DataFrame:
-    """Assistant spans of every step, and of the opening as step -1.
-
-    A step opens with the assistant header that ends the turn before it, and its
-    follow-up closes with an end mark. So no span reaches beyond its step, and spans can
-    be found per step; an output without an end mark takes in the user turn after it.
-    """
-    opening = F.left(
-        F.col("opening"), F.length("opening") - F.lit(len(template.generation_header))
-    )
-    spoken = steps.filter(~F.col("aborted")).select(
-        "sample_id",
-        F.col("turn_ix").cast("bigint").alias("turn_ix"),
-        F.concat(
-            F.lit(template.generation_header),
-            "text",
-            F.coalesce("follow_body", F.lit("")),
-        ).alias("_text"),
-    )
-    heads = limits.filter(~F.col("aborted")).select(
-        "sample_id", F.lit(-1).cast("bigint").alias("turn_ix"), opening.alias("_text")
-    )
-    return heads.unionByName(spoken).select(
-        "sample_id", "turn_ix", template.assistant_spans(F.col("_text")).alias("spans")
-    )

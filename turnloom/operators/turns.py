@@ -1,10 +1,8 @@
 """Turn tables: one row per message, ordered inside a conversation by a unique position.
 
-One conversation may hold a large share of all rows, so no conversation is gathered into
-one task unless it is known to be short. :func:`split_long` sets apart those with a
-position beyond one block. The short ones are worked on whole. For the long ones, ordered
-work runs inside blocks of positions, which are bounded because positions are unique, and
-a second step carries totals across the blocks.
+Running totals work in blocks of positions, so that no conversation, however long, is
+ordered in one task. ``gather`` makes records: a record is one conversation in one row, at
+any length, and is made only where the result is such records.
 """
 
 from __future__ import annotations
@@ -12,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.operators.joins import fits_broadcast
-
 BLOCK_BITS = 12  # 4096 positions
 
 
@@ -21,51 +17,14 @@ def block_of(position: Column) -> Column:
     return F.shiftright(position.cast("long"), BLOCK_BITS)
 
 
-def first_of(block: Column) -> Column:
-    return F.shiftleft(block, BLOCK_BITS)
-
-
-def blocks_up_to(last: Column) -> Column:
-    """Every block number up to the one that holds position ``last``; block 0 for none."""
-    return F.sequence(F.lit(0).cast("long"), F.greatest(block_of(last), F.lit(0).cast("long")))
-
-
-def long_keys(key: str, position: str, *tables: DataFrame) -> DataFrame | None:
-    """Keys that reach beyond the first block in any of the tables; None where none does.
-
-    Looking for such a position is a filter on one column, which a scan answers from file
-    statistics where there is none.
-    """
-    beyond = [t.filter(F.col(position) >= 2**BLOCK_BITS).select(key) for t in tables]
-    found = [b for b in beyond if not b.isEmpty()]
-    if not found:
-        return None
-    keys = found[0]
-    for more in found[1:]:
-        keys = keys.union(more)
-    keys = keys.distinct()
-    return F.broadcast(keys) if fits_broadcast(keys) else keys
-
-
-def split_by(keys: DataFrame, table: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Rows whose key is not among ``keys``, and rows whose key is."""
-    return table.join(keys, key, "left_anti"), table.join(keys, key, "left_semi")
-
-
-def split_long(turns: DataFrame, key: str, position: str) -> tuple[DataFrame, DataFrame | None]:
-    """The turns of conversations within one block, and those of longer ones.
-
-    Without long conversations the second part is None and the plan stays as simple as if
-    they did not exist.
-    """
-    keys = long_keys(key, position, turns)
-    return (turns, None) if keys is None else split_by(keys, turns, key)
-
-
-def blocked_running_total(
+def with_running_total(
     turns: DataFrame, key: str, position: str, value: Column, name: str
 ) -> DataFrame:
-    """Sum of ``value`` over earlier positions of the same key, for long conversations."""
+    """Add the sum of ``value`` over all earlier positions of the same key.
+
+    The window runs inside blocks of positions; block totals, one small row each, are carried
+    across in a join. So one plan serves conversations of any length.
+    """
     blocked = turns.withColumn("_block", block_of(F.col(position))).withColumn("_value", value)
     inside = (
         Window.partitionBy(key, "_block")
@@ -89,49 +48,10 @@ def blocked_running_total(
     )
 
 
-def with_running_total(
-    turns: DataFrame, key: str, position: str, value: Column, name: str
-) -> DataFrame:
-    """Add the sum of ``value`` over all earlier positions of the same key."""
-    short, long = split_long(turns, key, position)
-    before = (
-        Window.partitionBy(key)
-        .orderBy(position)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    total = F.coalesce(F.sum(value).over(before), F.lit(0)).cast("long")
-    totals = short.withColumn(name, total)
-    if long is None:
-        return totals
-    return totals.unionByName(blocked_running_total(long, key, position, value, name))
-
-
 def gather(turns: DataFrame, key: str, position: str, fields: list[str], name: str) -> DataFrame:
-    """Short conversations to one row each: ``name`` holds their turns in order."""
+    """Conversations to one row each: ``name`` holds their turns in order."""
     ordered = F.sort_array(F.collect_list(F.struct(position, *fields)))
     return turns.groupBy(key).agg(ordered.alias("_ordered")).select(
         key,
         F.transform("_ordered", lambda m: F.struct(*[m[f].alias(f) for f in fields])).alias(name),
     )
-
-
-def assemble(
-    turns: DataFrame, key: str, position: str, fields: list[str], name: str = "messages"
-) -> DataFrame:
-    """Turn rows to message arrays: one row per conversation block.
-
-    ``part`` numbers the blocks. Part 0 is the whole conversation unless it reaches beyond
-    one block, in which case it continues in the following parts.
-    """
-    ordered = F.sort_array(F.collect_list(F.struct(position, *fields)))
-    return (
-        turns.groupBy(key, block_of(F.col(position)).alias("part"))
-        .agg(ordered.alias("_ordered"))
-        .select(
-            key,
-            "part",
-            F.transform("_ordered", lambda m: F.struct(*[m[f].alias(f) for f in fields])).alias(
-                name
-            ),
-        )
-    )

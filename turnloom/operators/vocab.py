@@ -13,11 +13,6 @@ from turnloom.operators.order import with_dense_index
 from turnloom.session import new_path
 
 
-# Lookup tables handed to the workers stay referenced while the session lives, since plans
-# that use them may run at any later time.
-_SHARED: list = []
-
-
 def _written(df: DataFrame, name: str) -> DataFrame:
     """The same rows read back from a table in the shared folder."""
     path = new_path(df.sparkSession, name)
@@ -59,23 +54,19 @@ def _broadcast_lookup(spark: SparkSession, table: DataFrame, source: str, target
     """A function that maps arrays through a measured table, in Arrow batches."""
     rows = table.select(source, target).toArrow()
     shared = spark.sparkContext.broadcast(
-        (rows.column(source).to_pylist(), rows.column(target).to_pylist())
+        dict(zip(rows.column(source).to_pylist(), rows.column(target).to_pylist()))
     )
-    _SHARED.append(shared)
     kind = "array<string>" if target == "token" else "array<int>"
     value = pa.string() if target == "token" else pa.int32()
-    key = pa.string() if source == "token" else pa.int32()
-    held: list = []
 
     @F.arrow_udf(kind)
     def mapped(lists: pa.Array) -> pa.Array:
-        if not held:
-            names, targets = shared.value
-            held.append((pa.array(names, key), pa.array(targets, value)))
-        names, targets = held[0]
+        find = shared.value.get  # one hash table per worker
 
         def change(flat: pa.Array) -> pa.Array:
-            found = pc.take(targets, pc.index_in(flat.cast(key), value_set=names))
+            coded = flat.dictionary_encode()
+            targets = pa.array([find(v, unknown) for v in coded.dictionary.to_pylist()], value)
+            found = pc.take(targets, coded.indices)
             return found if unknown is None else pc.fill_null(found, pa.scalar(unknown, value))
 
         return _map_lists(lists, change)
@@ -88,29 +79,33 @@ def _join_lookup(
 ) -> DataFrame:
     """The same by shuffle, for a table too large to copy.
 
-    A few values make up most of the elements, so elements are spread over salts by their
-    row and place. Answers are gathered per row, never beyond one row.
+    Answers are gathered per distinct pair of keys and array, so that rows with equal or NULL
+    keys get their own. A few values make up most of the elements; the adaptive plan splits
+    the tasks they meet in, so the table is not repeated for their sake.
     """
-    salts = 32
     kind = "string" if target == "token" else "int"
-    asked = df.select(*keys, F.posexplode(column).alias("_pos", "_from")).withColumn(
-        "_salt", F.pmod(F.xxhash64(*keys, "_pos"), F.lit(salts)).cast("int")
-    )
-    copies = table.select(
-        F.col(source).alias("_from"), F.col(target).cast(kind).alias("_to")
-    ).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    names = [*keys, "_hash"]
+    hashed = df.withColumn("_hash", F.xxhash64(column))
+    asked = hashed.select(*names, column).dropDuplicates(names).select(
+        *names, F.posexplode(column).alias("_pos", "_from")
     )
+    wanted = table.select(F.col(source).alias("_from"), F.col(target).cast(kind).alias("_to"))
     answer = F.struct("_pos", F.coalesce("_to", F.lit(unknown).cast(kind)).alias("_to"))
     answers = (
-        asked.join(copies, ["_from", "_salt"], "left")
-        .groupBy(*keys)
+        asked.join(wanted, "_from", "left")
+        .groupBy(*names)
         .agg(F.sort_array(F.collect_list(answer)).alias("_answers"))
-        .select(*keys, F.transform("_answers", lambda a: a["_to"]).alias("_mapped"))
+        .select(
+            *[F.col(name).alias(f"_key{k}") for k, name in enumerate(names)],
+            F.transform("_answers", lambda a: a["_to"]).alias("_mapped"),
+        )
     )
+    same = F.lit(True)
+    for k, name in enumerate(names):
+        same &= F.col(name).eqNullSafe(F.col(f"_key{k}"))
     empty = F.when(F.col(column).isNotNull(), F.array().cast(f"array<{kind}>"))
     return (
-        df.join(answers, keys, "left")
+        hashed.join(answers, same, "left")
         .withColumn(column, F.coalesce("_mapped", empty))
         .select(*df.columns)
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from turnloom.operators.judge import CONSTRAINT_PROMPT, HELPFULNESS_PROMPT
-from turnloom.plans.queries import BUDGET, MAX_TURNS
+from turnloom.plans.queries import BUDGET, LONGEST, MAX_TURNS, SAMPLES
 
 
 def quoted(text: str) -> str:
@@ -137,7 +137,7 @@ base AS (
     coalesce(response, '') AS response, tokens, coalesce(mask, '') AS mask,
     any_known, all_known, logprobs, finish, coalesce(finish, '') <> 'abort' AS run
   FROM lim l LEFT JOIN gathered g USING (sample_id))
-SELECT sample_id, CAST(0 AS BIGINT) AS part,
+SELECT sample_id,
   CASE WHEN run THEN prompt END AS prompt,
   CASE WHEN run THEN response END AS response,
   CASE WHEN run THEN {joined(pieces('prompt'), '|')} || coalesce('|' || tokens, '') END AS tokens,
@@ -273,10 +273,9 @@ numbered AS (
 SELECT conv_id, n_messages, ix, ix // 16 AS batch_id FROM numbered""",
     "chat_render": f"SELECT conv_id, turn, {turn_text()} AS rendered FROM conversations",
     "chat_render_generation": f"""
-WITH {KEPT}
-SELECT conv_id, {turn_text("'system'", "'You help.'")}
-  || string_agg({turn_text()}, '' ORDER BY turn) || {HEADER} AS rendered
-FROM kept GROUP BY conv_id""",
+SELECT conv_id, CASE WHEN min_by(role, turn) = 'system' THEN '' ELSE
+  {turn_text("'system'", "'You help.'")} END || string_agg({turn_text()}, '' ORDER BY turn) || {HEADER} AS rendered
+FROM conversations GROUP BY conv_id""",
     "payload_flags": f"""
 SELECT conv_id, bool_or(contains({turn_text()}, '<|im_start|>system')) AS payload_has_system,
   bool_or(contains({turn_text()}, '# Tools')) AS payload_has_tools
@@ -284,10 +283,9 @@ FROM conversations GROUP BY conv_id""",
     "assistant_spans": f"SELECT conv_id, turn, {TRIMMED} AS response FROM conversations "
     "WHERE role = 'assistant'",
     "record_spans": f"""
-WITH {KEPT}
 SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_ix,
   {TRIMMED} AS response
-FROM kept WHERE role = 'assistant'""",
+FROM conversations WHERE role = 'assistant'""",
     "tag_extract": f"""
 WITH w AS (
   SELECT conv_id, turn, text, (conv_id + turn) % 4 AS kind, {TRIMMED} AS inner_text,
@@ -358,36 +356,36 @@ SELECT conv_id, tokens, regexp_replace(mask, '^0+', '') AS loss_mask,
   CAST(0 AS DOUBLE) AS reward
 FROM whole""",
     "mask_text_spans": f"""
-WITH {KEPT}
 SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS span_ix,
   text || {TERMINATOR} AS span
-FROM kept WHERE role = 'assistant'""",
+FROM conversations WHERE role = 'assistant'""",
     "token_view": f"""
-WITH {KEPT},
+WITH
 seg AS (
   SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS mask,
     {pieces(SIMPLE_SEGMENT)} AS p
-  FROM kept),
+  FROM conversations),
 flat AS (
   SELECT conv_id, turn, mask, unnest(p) AS token, generate_subscripts(p, 1) AS i FROM seg)
 SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS ix, token,
   CAST(mask AS BIGINT) AS mask
 FROM flat""",
     "multimodal_align": f"""
-WITH {KEPT},
+WITH
 flat AS (
   SELECT conv_id, turn, role,
     CASE WHEN turn % 2 = 0 THEN text || ' tail ' ELSE text END AS text
-  FROM kept),
+  FROM conversations),
 seg AS (SELECT conv_id, turn, role, {SIMPLE_SEGMENT} AS s FROM flat)
 SELECT conv_id, string_agg(s, '' ORDER BY turn) AS text,
   repeat('0', conv_id % 5) || string_agg(
     repeat(CASE WHEN role = 'assistant' THEN '1' ELSE '0' END, len({pieces('s')})),
-    '' ORDER BY turn) AS loss_mask
+    '' ORDER BY turn) AS loss_mask,
+  string_agg(CASE WHEN turn % 2 = 1 AND turn % 3 = 0 THEN '0' ELSE '1' END, '' ORDER BY turn) AS learned
 FROM seg GROUP BY conv_id""",
     "trajectory": TRAJECTORY,
     "constraint_index": """
-SELECT CAST(doc_id % 97 AS VARCHAR) AS id, max_by(substr(text, 1, 40), doc_id) AS constraint,
+SELECT CAST(doc_id % 97 AS VARCHAR) AS id, max_by(text, doc_id) AS constraint,
   max_by(CASE WHEN doc_id % 3 = 0 THEN 'soft' ELSE 'hard' END, doc_id) AS verifier_type,
   max_by(n_chars > 500, doc_id) AS content_template
 FROM documents GROUP BY 1""",
@@ -464,3 +462,26 @@ SELECT conv_id, turn, regexp_matches(text, '[.!?]\s*$')
   AND (k % 2 <> 0 OR (conv_id % 9 <> 0 AND {words('text')} >= 40)) AS ok
 FROM spoken""",
 }
+
+ORACLES |= {
+    "pass_rate": f"""
+WITH checks AS ({ORACLES["rule_results"]})
+SELECT id, CASE WHEN id = '3' THEN 'soft' ELSE 'hard' END AS verifier_type,
+  CAST(count(*) AS BIGINT) AS n_checks, CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS n_passed,
+  CAST(count(*) FILTER (WHERE ok) AS DOUBLE) / count(*) AS pass_rate
+FROM checks GROUP BY 1, 2""",
+    "fanout": f"""
+WITH heads AS ({ORACLES["prompt_heads"]})
+SELECT conv_id, prompt, sample_ix FROM heads, range({SAMPLES}) AS r(sample_ix)""",
+    "group_advantage": f"""
+WITH rewarded AS (SELECT *, sample_id // 8 AS group_id FROM ({ORACLES["turn_reward"]})),
+stats AS (
+  SELECT group_id, avg(reward) AS mean, coalesce(stddev_samp(reward), 0) AS spread
+  FROM rewarded GROUP BY group_id)
+SELECT sample_id, group_id, reward, round((reward - mean) / (spread + 1e-6), 6) AS advantage
+FROM rewarded JOIN stats USING (group_id)""",
+    "length_flag": f"""
+WITH built AS ({ORACLES["trajectory"]})
+SELECT sample_id, status, coalesce(response_length >= {LONGEST}, false) AS too_long
+FROM built""",
+}

@@ -14,17 +14,11 @@ from turnloom.functions.arrays import response_length, sublist_positions
 from turnloom.functions.template import CHATML, ChatTemplate, payload_flags
 from turnloom.functions.text import judge_verdict, rule_verdict, tag_content, word_count
 from turnloom.functions.tokens import PIECES
-from turnloom.operators import keep, lossmask, order, pool, records, reward, trajectory, vocab
+from turnloom.operators import keep, lossmask, order, pool, readouts, records, reward, trajectory, vocab
 from turnloom.operators.judge import CONSTRAINT, HELPFULNESS, judge_requests
 from turnloom.operators.rules import RuleBook
-from turnloom.operators.turns import (
-    assemble,
-    first_of,
-    gather,
-    split_long,
-    with_running_total,
-)
-from turnloom.plans.scoring import long_output_checks, long_output_parts, record_rewards
+from turnloom.operators.turns import gather, with_running_total
+from turnloom.plans.scoring import record_rewards
 from turnloom.plans.sft import sft_samples
 from turnloom.session import new_path
 from turnloom.sources.tables import read_dataset, read_jsonl, write_jsonl
@@ -43,12 +37,18 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kept(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversations that pass the filters, one row each; bounded by the filters' limits."""
+    """Conversations that pass the filters, one row each: what the recipe trains on."""
     return keep.keep_turns(
         conversations(spark, sf), "conv_id", "turn", max_turns=MAX_TURNS, budget=BUDGET
     )
 
 
+def whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All conversations as records."""
+    turns = conversations(spark, sf).withColumnRenamed("text", "content")
+    return gather(turns, "conv_id", "turn", ["role", "content"], "messages")
+
+
 def ranked(turns: DataFrame, role: str) -> DataFrame:
     """The turns of one role with their rank ``k`` inside the conversation."""
     only = turns.filter(F.col("role") == role)
@@ -165,14 +165,14 @@ def prompt_heads(spark, sf):
 
 
 def instructions(spark, sf) -> DataFrame:
-    """User turns as prompts with one constraint per turn; long prompts go on in parts."""
+    """User turns as prompts with one constraint per turn."""
     users = ranked(conversations(spark, sf), "user").withColumnRenamed("text", "content")
-    gathered = assemble(users, "conv_id", "k", ["role", "content"], "prompt")
+    gathered = gather(users, "conv_id", "k", ["role", "content"], "prompt")
     verifier = F.transform(
         "prompt",
         lambda m, i: F.array(
             F.struct(
-                F.pmod(F.col("conv_id") + first_of(F.col("part")) + i, F.lit(4))
+                F.pmod(F.col("conv_id") + i, F.lit(4))
                 .cast("string")
                 .alias("id"),
                 F.lit("the").alias("placeholder"),
@@ -183,7 +183,6 @@ def instructions(spark, sf) -> DataFrame:
     return gathered.select(
         F.col("conv_id").cast("string").alias("id"),
         "conv_id",
-        "part",
         "prompt",
         verifier.alias("verifier"),
         persona.alias("persona"),
@@ -192,7 +191,7 @@ def instructions(spark, sf) -> DataFrame:
 
 
 def prompt_records(spark, sf):
-    shaped = records.prompt_records(instructions(spark, sf), keep=("conv_id", "part"), part="part")
+    shaped = records.prompt_records(instructions(spark, sf), keep=("conv_id",))
     first, rest, n_turns = records.first_and_rest(F.col("metadata.prompt"))
     ids = F.transform("metadata.verifier", lambda turn: turn[0]["id"])
     return shaped.select(
@@ -217,7 +216,7 @@ RECORD = (
 
 def split_roundtrip(spark, sf):
     """Both splits written as JSON lines in random order; the training split read back."""
-    shaped = records.prompt_records(instructions(spark, sf), keep=("split", "conv_id"), part="part")
+    shaped = records.prompt_records(instructions(spark, sf), keep=("split", "conv_id"))
     path = new_path(spark, "prompts")
     write_jsonl(order.shuffled(shaped, ["conv_id"], seed=7).drop("conv_id"), path, split="split")
     back = read_dataset(spark, path, split="train", schema=RECORD)
@@ -254,7 +253,7 @@ def chat_render(spark, sf):
 def chat_render_generation(spark, sf):
     with_system = ChatTemplate(default_system="You help.")
     text = with_system.render(F.col("messages"), generation=True)
-    return kept(spark, sf).select("conv_id", text.alias("rendered"))
+    return whole(spark, sf).select("conv_id", text.alias("rendered"))
 
 
 def payload_marks(spark, sf):
@@ -281,7 +280,7 @@ def assistant_spans(spark, sf):
 def record_spans(spark, sf):
     """The spans of whole rendered conversations."""
     spans = CHATML.assistant_spans(CHATML.render(F.col("messages")))
-    return kept(spark, sf).select("conv_id", F.posexplode(spans).alias("turn_ix", "response")).select(
+    return whole(spark, sf).select("conv_id", F.posexplode(spans).alias("turn_ix", "response")).select(
         "conv_id", F.col("turn_ix").cast("long").alias("turn_ix"), "response"
     )
 
@@ -431,7 +430,7 @@ def samples(spark, sf):
 
 
 def mask_text_spans(spark, sf):
-    masked = lossmask.with_loss_mask(kept(spark, sf))
+    masked = lossmask.with_loss_mask(whole(spark, sf))
     texts = lossmask.texts_under_mask(F.col("tokens"), F.col("loss_mask"))
     return masked.select("conv_id", F.posexplode(texts).alias("span_ix", "span")).select(
         "conv_id", F.col("span_ix").cast("long").alias("span_ix"), "span"
@@ -439,7 +438,7 @@ def mask_text_spans(spark, sf):
 
 
 def token_view(spark, sf):
-    rows = lossmask.token_rows(lossmask.with_loss_mask(kept(spark, sf)), ["conv_id"])
+    rows = lossmask.token_rows(lossmask.with_loss_mask(whole(spark, sf)), ["conv_id"])
     return rows.select(
         "conv_id",
         F.col("ix").cast("long").alias("ix"),
@@ -449,7 +448,11 @@ def token_view(spark, sf):
 
 
 def multimodal_align(spark, sf):
-    """Every second message as a list of parts; ids longer than the text by a few."""
+    """Every second message as a list of parts; ids longer than the text by a few.
+
+    Every third message carries an override that takes it out of the loss; one that is a
+    list of parts loses it.
+    """
 
     def parts(content: Column) -> Column:
         text = F.to_json(F.struct(F.lit("text").alias("type"), content.alias("text")))
@@ -463,10 +466,11 @@ def multimodal_align(spark, sf):
             F.when(i % 2 == 0, parts(m["content"]))
             .otherwise(m["content"].cast("variant"))
             .alias("content"),
+            F.when(i % 3 == 0, 0).alias("step_loss_mask"),
         ),
     )
     flat = lossmask.flatten_messages(
-        kept(spark, sf).select("conv_id", mixed.alias("messages"))
+        whole(spark, sf).select("conv_id", mixed.alias("messages"))
     )
     masked = lossmask.with_loss_mask(flat)
     extra = F.pmod(F.col("conv_id"), F.lit(5)).cast("int")
@@ -475,6 +479,7 @@ def multimodal_align(spark, sf):
         "conv_id",
         F.array_join("tokens", "").alias("text"),
         bits(lossmask.align_mask(F.col("loss_mask"), ids)).alias("loss_mask"),
+        bits(F.transform("messages", lambda m: F.coalesce(m["step_loss_mask"], F.lit(1)))).alias("learned"),
     )
 
 
@@ -534,35 +539,11 @@ def recorded_samples(turns: DataFrame, tokens: bool) -> DataFrame:
     ).filter(F.size("prompt") > 0)
 
 
-def recorded_turns(turns: DataFrame, tokens: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The same as turn tables, and the user turns with their rank."""
-    users = ranked(turns, "user")
-    prompts = users.select(
-        F.col("conv_id").alias("sample_id"),
-        F.col("k").alias("turn_ix"),
-        "role",
-        F.col("text").alias("content"),
-    )
-    outputs = (
-        ranked(turns, "assistant")
-        .withColumn("_output", recorded_output(F.col("k"), F.col("text"), tokens))
-        .select(
-            F.col("conv_id").alias("sample_id"), F.col("k").alias("turn_ix"), F.col("_output.*")
-        )
-    )
-    return prompts, outputs, users
-
-
 def trajectories(spark, sf):
-    short, long = split_long(conversations(spark, sf), "conv_id", "turn")
-    built = trajectory.build_trajectories(recorded_samples(short, tokens=True))
-    if long is not None:
-        prompts, outputs, _ = recorded_turns(long, tokens=True)
-        built = built.unionByName(long_output_parts(prompts, outputs))
+    built = trajectory.build_trajectories(recorded_samples(conversations(spark, sf), tokens=True))
     total = F.aggregate("logprobs", F.lit(0.0), lambda a, b: a + b)
     return built.select(
         "sample_id",
-        "part",
         "prompt",
         "response",
         F.array_join("tokens", "|").alias("tokens"),
@@ -625,14 +606,6 @@ def verifier_list(k: Column) -> Column:
     return F.when(F.pmod(at, F.lit(7)) == 6, F.slice(both, 1, 0)).otherwise(both)
 
 
-def verifier_lists(turns: DataFrame) -> DataFrame:
-    return turns.select(
-        F.col("conv_id").alias("sample_id"),
-        F.col("k").alias("turn_ix"),
-        verifier_list(F.col("k")).alias("verifier"),
-    )
-
-
 def judgements(turns: DataFrame) -> DataFrame:
     """Recorded judge replies to both kinds of questions; some failed, some are missing."""
     draw = F.pmod(F.col("conv_id") * 7 + F.col("k") * 3, F.lit(5))
@@ -660,29 +633,18 @@ def judgements(turns: DataFrame) -> DataFrame:
 
 
 def turn_checks(spark, sf) -> DataFrame:
-    """Checks of the assistant turns of whole rendered conversations."""
-    short, long = split_long(conversations(spark, sf), "conv_id", "turn")
-    short = short.withColumnRenamed("text", "content")
-    whole = gather(short, "conv_id", "turn", ["role", "content"], "messages")
-    spoken = F.filter("messages", lambda m: m["role"] == "assistant")
-    checks = reward.checks_from_records(
-        whole.select(
-            F.col("conv_id").alias("sample_id"),
-            F.lit("").alias("prompt"),
-            CHATML.render(F.col("messages")).alias("response"),
-            F.transform(spoken, lambda m, k: verifier_list(k)).alias("verifier"),
-        )
-    )
-    if long is None:
-        return checks
-    turns = ranked(long, "assistant")
-    spans = turns.select(
+    """Checks of assistant turns; each turn's span and list are made in its own row."""
+    turns = conversations(spark, sf)
+    spoken = ranked(turns, "assistant").select(
         F.col("conv_id").alias("sample_id"),
         F.col("k").alias("turn_ix"),
         CHATML.assistant_spans(rendered())[0].alias("response"),
+        verifier_list(F.col("k")).alias("verifier"),
+    )
+    silent = turns.groupBy(F.col("conv_id").alias("sample_id")).agg(
+        F.bool_or(F.col("role") == "assistant").alias("_speaks")
     )
-    every = long.select(F.col("conv_id").alias("sample_id")).distinct()
-    return checks.unionByName(reward.checks_from_turns(spans, verifier_lists(turns), every))
+    return reward.checks_from_turns(spoken, silent.filter("NOT _speaks"))
 
 
 def scored(spark, sf, rate: float = 0.0) -> DataFrame:
@@ -702,7 +664,7 @@ def constraint_index(spark, sf):
     rows = documents(spark, sf).select(
         F.pmod(F.col("doc_id"), F.lit(97)).alias("id"),
         F.col("doc_id").alias("ord"),
-        F.substring("text", 1, 40).alias("constraint"),
+        F.col("text").alias("constraint"),
         F.when(F.pmod(F.col("doc_id"), F.lit(3)) == 0, "soft").otherwise("hard").alias("verifier_type"),
         (F.col("n_chars") > 500).alias("content_template"),
     )
@@ -776,18 +738,12 @@ def turn_reward(spark, sf):
 def conversation_reward(spark, sf):
     """The flagship: recorded outputs to trajectories, spans, checks and rewards."""
     turns = conversations(spark, sf)
-    short, long = split_long(turns, "conv_id", "turn")
-    samples = recorded_samples(short, tokens=False).withColumn(
+    samples = recorded_samples(turns, tokens=False).withColumn(
         "verifier", F.transform("prompt", lambda m, k: verifier_list(k))
     )
     checks = reward.checks_from_records(
         trajectory.build_trajectories(samples, keep=("verifier",))
     )
-    if long is not None:
-        prompts, outputs, users = recorded_turns(long, tokens=False)
-        checks = checks.unionByName(
-            long_output_checks(prompts, outputs, verifier_lists(users))
-        )
     replies = judgements(ranked(turns, "user"))
     scored = reward.score_checks(checks, constraint_table(spark), rule_book(), replies)
     return reward.rewards(scored)
@@ -818,6 +774,32 @@ def record_reward(spark, sf):
     return record_rewards(samples, constraint_table(spark), rule_book())
 
 
+def pass_rate(spark, sf):
+    return readouts.pass_rates(scored(spark, sf), "id", "verifier_type")
+
+
+SAMPLES = 4
+LONGEST = 300
+
+
+def fanout(spark, sf):
+    heads = prompt_heads(spark, sf).select("conv_id", "prompt")
+    return readouts.fan_out(heads, SAMPLES)
+
+
+def group_advantage(spark, sf):
+    """Rewards of eight neighbouring conversations as samples of one prompt."""
+    rewards = turn_reward(spark, sf).withColumn("group_id", F.floor(F.col("sample_id") / 8))
+    found = readouts.group_advantages(rewards, "group_id")
+    return found.select("sample_id", "group_id", "reward", F.round("advantage", 6).alias("advantage"))
+
+
+def length_flag(spark, sf):
+    return trajectories(spark, sf).select(
+        "sample_id", "status", readouts.over_length(F.col("response_length"), LONGEST).alias("too_long")
+    )
+
+
 def _ends_with_stop(response):
     return response.rstrip().endswith((".", "!", "?"))
 
@@ -890,4 +872,8 @@ QUERIES = {
     "conversation_reward": conversation_reward,
     "record_reward": record_reward,
     "registered_verifier": registered_verifier,
+    "pass_rate": pass_rate,
+    "fanout": fanout,
+    "group_advantage": group_advantage,
+    "length_flag": length_flag,
 }

@@ -7,68 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from turnloom.functions.template import CHATML, ChatTemplate
-from turnloom.operators.reward import (
-    checks_from_records,
-    checks_from_turns,
-    number_responses,
-    rewards,
-    score_checks,
-)
+from turnloom.operators.reward import checks_from_records, rewards, score_checks
 from turnloom.operators.rules import RuleBook
-from turnloom.operators.trajectory import (
-    build_trajectories,
-    gather_samples,
-    long_trajectories,
-    sample_limits,
-    step_responses,
-    trajectory_steps,
-)
-from turnloom.operators.turns import gather, long_keys, split_by
-
-
-def _split_inputs(*tables: DataFrame) -> list[tuple[DataFrame, DataFrame]] | None:
-    """Each turn table as its short and its long samples; None if all samples are short."""
-    keys = long_keys("sample_id", "turn_ix", *tables)
-    return None if keys is None else [split_by(keys, table, "sample_id") for table in tables]
+from turnloom.operators.trajectory import build_trajectories, gather_samples
+from turnloom.operators.turns import gather
 
 
 def recorded_trajectories(
     prompts: DataFrame, outputs: DataFrame, template: ChatTemplate = CHATML, **options
 ) -> DataFrame:
-    """Trajectories of recorded outputs; long samples take several rows, numbered ``part``."""
-    split = _split_inputs(prompts, outputs)
-    if split is None:
-        return build_trajectories(gather_samples(prompts, outputs), template, **options)
-    (prompts, long_prompts), (outputs, long_outputs) = split
-    short = build_trajectories(gather_samples(prompts, outputs), template, **options)
-    return short.unionByName(long_output_parts(long_prompts, long_outputs, template, **options))
-
-
-def long_output_parts(
-    prompts: DataFrame, outputs: DataFrame, template: ChatTemplate = CHATML, **options
-) -> DataFrame:
-    limits = sample_limits(prompts, outputs, template)
-    steps = trajectory_steps(prompts, outputs, limits, template)
-    return long_trajectories(limits, steps, template, **options)
-
-
-def long_output_checks(
-    prompts: DataFrame, outputs: DataFrame, lists: DataFrame, template: ChatTemplate = CHATML
-) -> DataFrame:
-    """Checks of samples of any length, from turn tables throughout."""
-    limits = sample_limits(prompts, outputs, template)
-    steps = trajectory_steps(prompts, outputs, limits, template)
-    responses = number_responses(step_responses(limits, steps, template))
-    return checks_from_turns(responses, lists, limits)
+    """Trajectories of recorded outputs, one row per sample."""
+    return build_trajectories(gather_samples(prompts, outputs), template, **options)
 
 
 def output_checks(
     prompts: DataFrame, outputs: DataFrame, lists: DataFrame, template: ChatTemplate = CHATML
 ) -> DataFrame:
     """Checks of recorded outputs against ``lists(sample_id, turn_ix, verifier)``."""
-    split = _split_inputs(prompts, outputs, lists)
-    if split is not None:
-        (prompts, long_prompts), (outputs, long_outputs), (lists, long_lists) = split
     verifiers = gather(lists, "sample_id", "turn_ix", ["verifier"], "_lists")
     texts = build_trajectories(gather_samples(prompts, outputs), template).select(
         "sample_id", "prompt", "response"
@@ -79,12 +34,7 @@ def output_checks(
         "response",
         "coalesce(transform(_lists, l -> l.verifier), array()) AS verifier",
     )
-    checks = checks_from_records(paired, template)
-    if split is None:
-        return checks
-    return checks.unionByName(
-        long_output_checks(long_prompts, long_outputs, long_lists, template)
-    )
+    return checks_from_records(paired, template)
 
 
 def record_rewards(

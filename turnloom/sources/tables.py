@@ -8,6 +8,8 @@ from pyspark.sql.types import StructType
 
 # Fixed value: the split that is read unless another is named.
 SPLIT = "train"
+#: How JSON lines are written, in batches and streams alike.
+JSONL = {"ignoreNullFields": "false", "writeNonAsciiCharacterAsCodePoint": "true"}
 
 
 def read_dataset(
@@ -36,8 +38,7 @@ def write_jsonl(df: DataFrame, path: str, split: str | None = None) -> int:
     writer = (
         df.observe(counted, F.count(F.lit(1)).alias("rows"))
         .write.mode("overwrite")
-        .option("ignoreNullFields", "false")
-        .option("writeNonAsciiCharacterAsCodePoint", "true")
+        .options(**JSONL)
     )
     if split:
         writer = writer.partitionBy(split)

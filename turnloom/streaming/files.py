@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from turnloom.operators.keep import WORD_BUDGET, keep_records
+from turnloom.sources.tables import JSONL
 
 
 def stream_jsonl(
@@ -36,7 +37,7 @@ def stream_keep(
         .writeStream.format("json")
         .option("path", target)
         .option("checkpointLocation", checkpoint)
-        .option("ignoreNullFields", "false")
+        .options(**JSONL)
         .trigger(availableNow=True)
         .start()
     )
