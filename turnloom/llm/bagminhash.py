@@ -34,7 +34,7 @@ ESTIMATE = 0.65
 #: Texts of a block.
 BLOCK = 192
 #: Shingles whose points are drawn at a time.
-BATCH = 150_000
+BATCH = 80_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -52,7 +52,7 @@ class Shingler:
     """Texts to multisets of hashed shingles; words are what white space separates."""
 
     def __init__(self) -> None:
-        self.words = Memo(xxhash.xxh3_64_intdigest, 300_000)
+        self.words = Memo(xxhash.xxh3_64_intdigest, 120_000)
 
     def bag(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingles in order, and counts. A text of fewer words is one shingle;

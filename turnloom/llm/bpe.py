@@ -23,7 +23,7 @@ from turnloom.llm.texts import map_texts
 from turnloom.llm.transducer import Machine, Memo, lookahead
 
 #: Words whose tokens a worker keeps.
-WORDS = 400_000
+WORDS = 120_000
 END = "</w>"
 # Fixed value: white space of the tokenizer's patterns (Unicode's White_Space).
 BLANK = r"\t-\r\x20\x85\xa0  -     　"

@@ -62,9 +62,7 @@ def token(raw: str) -> tuple[int, int, bool, bool]:
 
 class Templater:
     def __init__(self) -> None:
-        self.tokens = Memo(self._token, 300_000)
-        self.info = np.zeros((1024, 4), np.uint64)
-        self.number = 0
+        self.tokens = Memo(self._token, 120_000)
 
     @staticmethod
     def _token(raw: str) -> int:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from turnloom.llm.texts import map_texts
 
 #: Dimensions, letters of a window, and characters that are worked on at a time.
-SIZE, LETTERS, BLOCK = 1024, 3, 1 << 20
+SIZE, LETTERS, BLOCK = 1024, 3, 1 << 19
 UNKNOWN = "und"
 #: Profiles are scaled to this length and rounded, so that dot products are integers.
 SCALE = 1 << 20
@@ -176,7 +176,7 @@ def train(df: DataFrame, text: str = "text", language: str = "lang") -> Profiles
 class Judge:
     """Languages and scores of texts by fixed profiles; keeps the windows it has met."""
 
-    MOST = 400_000
+    MOST = 150_000
 
     def __init__(self, profiles: Profiles) -> None:
         self.languages = profiles.languages

@@ -24,7 +24,7 @@ from turnloom.llm.texts import map_texts
 from turnloom.llm.transducer import Machine, Memo
 
 #: Characters of a chunk, and words whose counts a worker keeps.
-CHUNK, WORDS = 1 << 20, 400_000
+CHUNK, WORDS = 1 << 20, 200_000
 
 
 class ChunkMap(NamedTuple):

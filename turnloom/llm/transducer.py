@@ -16,7 +16,7 @@ import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 #: Compiled states; neighbour tests kept before they are forgotten and made again.
-MOST_STATES, MOST_PAIRS = 40_000, 600_000
+MOST_STATES, MOST_PAIRS = 25_000, 200_000
 #: Unemitted tokens after which a scan without compiled states looks for shared ones.
 HELD = 64
 TOKEN = 0  # the key of a trie node's token; symbols are strings
