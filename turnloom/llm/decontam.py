@@ -57,7 +57,9 @@ def token(raw: str) -> tuple[int, int, bool, bool]:
     if not word:
         return (END if ends else SKIP), 0, False, ends
     low = word.lower()
-    return (UNIT if low in UNITS else WORD), xxhash.xxh3_64_intdigest(low), word[0].isupper(), ends
+    # Words all in capitals are shouted, not names.
+    capital = word[0].isupper() and (len(word) == 1 or not word.isupper())
+    return (UNIT if low in UNITS else WORD), xxhash.xxh3_64_intdigest(low), capital, ends
 
 
 class Templater:
