@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from turnloom.operators.judge import CONSTRAINT_PROMPT, HELPFULNESS_PROMPT
-from turnloom.plans.queries import BUDGET, LONGEST, MAX_TURNS, SAMPLES
+from turnloom.operators.packing import BLOCK
+from turnloom.plans.queries import BUDGET, EPOCHS, LONGEST, MAX_TURNS, PACK, SAMPLES, argument
 
 
 def quoted(text: str) -> str:
@@ -218,6 +219,54 @@ vocab AS (
   UNION ALL VALUES ('<|im_start|>', 0), ('<|im_end|>', 1))
 """
 
+DRESSED = """CASE doc_id % 8 WHEN 0 THEN text WHEN 1 THEN '<<A title>>' || chr(10) || chr(10) || text
+    WHEN 2 THEN 'ALL IN CAPITALS ' || doc_id WHEN 3 THEN 'all in small letters ' || doc_id
+    WHEN 4 THEN '* one' || chr(10) || '  - two' || chr(10) || text WHEN 5 THEN '{"id": ' || doc_id || '}'
+    WHEN 6 THEN text || chr(10) || ' ' || chr(10) || 'Write to [name] at [place].'
+    ELSE replace(text, ',', '') END"""
+
+
+def catalogue_sql() -> str:
+    """One row per kind; measures are compared in three ways."""
+
+    def filled(pattern: str) -> str:
+        return f"len(list_filter(regexp_split_to_array(t, '{pattern}'), lambda x: trim(x) <> ''))"
+
+    measures = {
+        "words": filled("[ \\t\\n\\r]+"),
+        "chars": "length(t)",
+        "sentences": "len(regexp_extract_all(t, '[^.!?]+[.!?]'))",
+        "paragraphs": filled("\\n\\s*\\n"),
+        "lines": filled("\\n"),
+        "bullets": "len(regexp_extract_all(t, '(?m)^\\s*[*-] '))",
+        "placeholders": "len(regexp_extract_all(t, '\\[[^\\]\\n]+\\]'))",
+        "capital_words": "len(list_filter(regexp_split_to_array(t, '[^\\p{L}]+'), lambda w: length(w) > 1 AND w = upper(w)))",
+    }
+    word, _, least = argument("keyword_count").partition(":")
+    tests = {
+        f"{how}_{name}": f"{measure} {sign} {argument(how + '_' + name)}"
+        for name, measure in measures.items()
+        for how, sign in (("min", ">="), ("max", "<="), ("n", "="))
+    } | {
+        "contains": f"contains(lower(t), lower('{argument('contains')}'))",
+        "forbids": f"NOT contains(lower(t), lower('{argument('forbids')}'))",
+        "contains_all": " AND ".join(f"contains(lower(t), lower('{w}'))" for w in argument("contains_all").split(",")),
+        "starts_with": f"starts_with(lower(trim(t)), lower('{argument('starts_with')}'))",
+        "ends_with": f"ends_with(lower(trim(t)), lower('{argument('ends_with')}'))",
+        "all_lower": "t = lower(t)",
+        "all_upper": "t = upper(t)",
+        "no_comma": "NOT contains(t, ',')",
+        "title": "regexp_matches(t, '<<[^\\n]+>>')",
+        "valid_json": "json_valid(t)",
+        "keyword_count": f"(length(lower(t)) - length(replace(lower(t), '{word}', ''))) / {len(word)} >= {least}",
+    }
+    parts = [
+        f"SELECT count(*) AS n_rows, '{kind}' AS kind, count(*) FILTER (WHERE {test}) AS n_passed FROM d"
+        for kind, test in tests.items()
+    ]
+    return f"WITH d AS MATERIALIZED (SELECT {DRESSED} AS t FROM documents) " + " UNION ALL ".join(parts)
+
+
 ORACLES = {
     "filter_turn_limit": f"WITH {MEASURES} SELECT conv_id, n_messages FROM convs "
     f"WHERE n_messages <= {2 * MAX_TURNS}",
@@ -484,4 +533,25 @@ FROM rewarded JOIN stats USING (group_id)""",
 WITH built AS ({ORACLES["trajectory"]})
 SELECT sample_id, status, coalesce(response_length >= {LONGEST}, false) AS too_long
 FROM built""",
+    "epoch_batches": f"""
+WITH ids AS (SELECT conv_id, count(*) AS n_messages FROM conversations GROUP BY conv_id),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY md5(concat_ws(':', conv_id, 7 + epoch)), conv_id) - 1 AS ix
+  FROM ids, range({EPOCHS}) t(epoch))
+SELECT conv_id, n_messages, ix, ix // 16 AS batch_id, epoch FROM numbered""",
+    "token_packing": f"""
+WITH RECURSIVE sizes AS (
+  SELECT conv_id, CAST(sum({words("text")}) AS BIGINT) AS n_tokens FROM conversations GROUP BY conv_id),
+numbered AS (
+  SELECT *, coalesce(n_tokens, 0) AS n,
+    row_number() OVER (ORDER BY md5(concat_ws(':', conv_id, 7)), conv_id) - 1 AS ix
+  FROM sizes),
+packed AS (
+  SELECT conv_id, n_tokens, ix, n AS used, CAST(0 AS BIGINT) AS place FROM numbered WHERE ix % {BLOCK} = 0
+  UNION ALL
+  SELECT r.conv_id, r.n_tokens, r.ix, CASE WHEN p.used + r.n > {PACK} THEN r.n ELSE p.used + r.n END,
+    p.place + CASE WHEN p.used + r.n > {PACK} THEN 1 ELSE 0 END
+  FROM packed p JOIN numbered r ON r.ix = p.ix + 1 AND r.ix % {BLOCK} <> 0)
+SELECT conv_id, n_tokens, ix // {BLOCK} * {BLOCK} + place AS pack_id FROM packed""",
+    "rule_catalogue": catalogue_sql(),
 }

@@ -16,6 +16,8 @@ from turnloom.functions.text import judge_verdict, rule_verdict, tag_content, wo
 from turnloom.functions.tokens import PIECES
 from turnloom.operators import keep, lossmask, order, pool, readouts, records, reward, trajectory, vocab
 from turnloom.operators.judge import CONSTRAINT, HELPFULNESS, judge_requests
+from turnloom.operators.packing import epochs, packs
+from turnloom.operators.rulekinds import KINDS, catalogue
 from turnloom.operators.rules import RuleBook
 from turnloom.operators.turns import gather, with_running_total
 from turnloom.plans.scoring import record_rewards
@@ -800,6 +802,68 @@ def length_flag(spark, sf):
     )
 
 
+EPOCHS, PACK = 3, 2000
+# Arguments of the catalogue's kinds; other kinds take none.
+ARGUMENTS = {
+    "words": "60",
+    "chars": "400",
+    "sentences": "6",
+    "paragraphs": "2",
+    "lines": "3",
+    "bullets": "2",
+    "placeholders": "2",
+    "capital_words": "1",
+    "contains": "In",
+    "forbids": "license",
+    "contains_all": "a,En",
+    "starts_with": "{",
+    "ends_with": ".",
+    "keyword_count": "an:3",
+}
+
+
+def argument(kind: str) -> str | None:
+    return ARGUMENTS.get(kind, ARGUMENTS.get(kind.partition("_")[2]))
+
+
+def epoch_batches(spark, sf):
+    ids = conversations(spark, sf).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_messages"))
+    return epochs(ids, ["conv_id"], EPOCHS, batch_size=16, seed=7)
+
+
+def token_packing(spark, sf):
+    sizes = conversations(spark, sf).groupBy("conv_id").agg(F.sum(word_count(F.col("text"))).alias("n_tokens"))
+    return packs(sizes, ["conv_id"], "n_tokens", PACK, seed=7)
+
+
+def dressed(key: Column, text: Column) -> Column:
+    """Texts, most of them with a mark that depends on the key: titles, lists, JSON, case."""
+    forms = [
+        text,
+        F.concat(F.lit("<<A title>>\n\n"), text),
+        F.concat(F.lit("ALL IN CAPITALS "), key.cast("string")),
+        F.concat(F.lit("all in small letters "), key.cast("string")),
+        F.concat(F.lit("* one\n  - two\n"), text),
+        F.concat(F.lit('{"id": '), key.cast("string"), F.lit("}")),
+        F.concat(text, F.lit("\n \nWrite to [name] at [place].")),
+        F.replace(text, F.lit(","), F.lit("")),
+    ]
+    return F.element_at(F.array(*forms), (F.pmod(key, F.lit(8)) + 1).cast("int"))
+
+
+def rule_catalogue(spark, sf):
+    """How many documents pass a rule of each kind."""
+    book = catalogue()
+    responses = documents(spark, sf).select(dressed(F.col("doc_id"), F.col("text")).alias("response"))
+    verdicts = [
+        F.count_if(F.coalesce(book.native[kind](F.col("response"), F.lit(argument(kind))), F.lit(False))).alias(kind)
+        for kind in KINDS
+    ]
+    counted = responses.agg(F.count(F.lit(1)).alias("n_rows"), *verdicts)
+    rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n_passed")) for k in KINDS])
+    return counted.select("n_rows", F.inline(rows))
+
+
 def _ends_with_stop(response):
     return response.rstrip().endswith((".", "!", "?"))
 
@@ -876,4 +940,7 @@ QUERIES = {
     "fanout": fanout,
     "group_advantage": group_advantage,
     "length_flag": length_flag,
+    "epoch_batches": epoch_batches,
+    "token_packing": token_packing,
+    "rule_catalogue": rule_catalogue,
 }
