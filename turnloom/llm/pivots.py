@@ -192,7 +192,7 @@ def near_vectors(
     )
     roots = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")), "vector-components")
     counts = links.groupBy("key").agg(F.sum("links").alias("links"))
-    classes = (
+    classes = written(
         distinct.select("key", "copies", "id")
         .join(counts, "key", "left")
         .join(roots, "key", "left")
@@ -201,9 +201,11 @@ def near_vectors(
             "id",
             F.coalesce("root", "key").alias("root"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        )
+        ),
+        "vector-classes",
     )
-    least_id = classes.groupBy("root").agg(F.min("id").alias("component"))
+    # A table, so that the join with it is of two plain shuffles, whose hot roots Spark can split.
+    least_id = written(classes.groupBy("root").agg(F.min("id").alias("component")), "vector-least")
     answers = classes.join(least_id, "root").select("key", "n_links", "component")
     own = F.coalesce("component", "id")
     return rows.select("id", "key").join(answers, "key", "left").select(
