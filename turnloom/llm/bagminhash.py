@@ -8,7 +8,9 @@ their weighted Jaccard overlap. Points are drawn in order of time up to a limit
 nearly all registers are met; texts with open registers go on.
 
 Bands of registers give candidates. An estimate from whole signatures drops most false
-ones, and links the others into groups; in each group exact overlaps decide.
+ones, and links the others into groups; in each group exact overlaps decide. In large
+buckets and in groups, texts are first held against one of them, which settles most of a
+large group of near copies in one pass; only those left over are compared block by block.
 """
 
 from __future__ import annotations
@@ -176,11 +178,13 @@ def _explode_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _candidates(table: pa.Table) -> pa.Table:
-    """Estimated links of one pair of blocks of one bucket, as links to local roots."""
+    """Estimated links of one pair of blocks of one bucket, as links to local roots.
+
+    Settled texts are linked with the bucket's center already, so not with each other.
+    """
     band = table.column("band")[0].as_py()
-    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
     keys = table.column("key").to_pylist()
-    block = table.column("block").to_numpy()
+    settled = table.column("settled").to_numpy(zero_copy_only=False)
     sig = _registers(table.column("signature"))
     bands = bands_of(sig).view(np.int64)
     n = len(keys)
@@ -192,8 +196,7 @@ def _candidates(table: pa.Table) -> pa.Table:
         if (bands[:, k] == band).all():
             break
         link &= bands[:, k, None] != bands[None, :, k]
-    if low != high:
-        link &= block[:, None] != block[None, :]
+    link &= ~(settled[:, None] & settled[None, :])
     np.fill_diagonal(link, False)
     roots = forest(link)
     some = [k for k in range(n) if roots[k] != k]
@@ -205,6 +208,19 @@ def _candidates(table: pa.Table) -> pa.Table:
     )
 
 
+def _near_center(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether a text's estimate with its bucket's center is high enough."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2048):
+            part = batch.slice(at, 2048)
+            own, center = (_registers(part.column(c)) for c in ("signature", "center_signature"))
+            flags = (own == center).sum(axis=1) >= ESTIMATE * REGISTERS
+            arrays = [part.column(c) for c in ("key", "band", "center")]
+            yield pa.RecordBatch.from_arrays(
+                [*arrays, pa.array(flags)], ["key", "band", "center", "linked"]
+            )
+
+
 def _overlap(a: tuple, b: tuple) -> float:
     common, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     both = np.minimum(a[1][i], b[1][j]).sum()
@@ -268,11 +284,74 @@ def text_key(text: str):
     return F.unhex(F.md5(F.col(text).cast("binary")))
 
 
-def _spread(rows: DataFrame, group: str) -> DataFrame:
-    """Each row once for every pair of blocks of its group that it is needed in."""
-    return rows.withColumn(
+def _unsettled(checked: DataFrame, group: str) -> DataFrame:
+    """The groups with members that their center did not settle, and into how many blocks
+    both kinds go."""
+    return (
+        checked.groupBy(group)
+        .agg(F.sum((~F.col("linked")).cast("long")).alias("open"), F.count(F.lit(1)).alias("n"))
+        .filter("open > 0")
+        .select(
+            group,
+            F.ceil(F.col("open") / BLOCK).cast("int").alias("blocks"),
+            F.ceil((F.col("n") - F.col("open")) / BLOCK).cast("int").alias("settled_blocks"),
+        )
+    )
+
+
+def _block_pairs(rest: DataFrame, group: str, payload: str) -> DataFrame:
+    """``group, settled, low, high, key, payload``: each member of an unsettled group once for
+    every pair of blocks that it is needed in: open with open, and open with settled."""
+    rest = rest.withColumn("hash", F.xxhash64("key"))
+    open_ = rest.filter("NOT linked").withColumn("block", F.pmod("hash", "blocks").cast("int"))
+    among = open_.withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     ).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    open_side = open_.withColumn("low", F.col("block")).withColumn(
+        "high", F.explode(F.sequence(F.lit(-1), -F.col("settled_blocks"), F.lit(-1)))
+    )
+    settled = (
+        rest.filter("linked")
+        .withColumn("high", (-1 - F.pmod("hash", "settled_blocks")).cast("int"))
+        .withColumn("low", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    )
+    sides = [
+        side.select(group, F.lit(done).alias("settled"), "low", "high", "key", payload)
+        for side, done in ((among, False), (open_side, False), (settled, True))
+    ]
+    return sides[0].union(sides[1]).union(sides[2])
+
+
+def _estimated_links(reps: DataFrame, banded: DataFrame) -> DataFrame:
+    """``a, b``: links whose components are those of all estimates of ESTIMATE or more
+    between texts that share a band."""
+    signed = reps.select("key", "signature")
+    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    small = (
+        banded.join(sizes.filter(F.col("n") <= BLOCK).select("band"), "band")
+        .join(signed, "key")
+        .select("band", F.lit(False).alias("settled"), F.lit(0).alias("low"), F.lit(0).alias("high"), "key", "signature")
+    )
+    large = written(banded.join(sizes.filter(F.col("n") > BLOCK).select("band"), "band"), "large-bands")
+    centers = large.groupBy("band").agg(F.min("key").alias("center"))
+    centers = centers.join(
+        signed.select(F.col("key").alias("center"), F.col("signature").alias("center_signature")), "center"
+    )
+    checked = written(
+        large.join(signed, "key")
+        .join(centers, "band")
+        .select("key", "band", "center", "signature", "center_signature")
+        .mapInArrow(_near_center, "key binary, band long, center binary, linked boolean"),
+        "large-checked",
+    )
+    rest = checked.join(_unsettled(checked, "band"), "band").join(signed, "key")
+    compared = (
+        small.union(_block_pairs(rest, "band", "signature"))
+        .groupBy("band", "low", "high")
+        .applyInArrow(_candidates, "a binary, b binary")
+    )
+    stars = checked.filter("linked AND key <> center").select(F.col("key").alias("a"), F.col("center").alias("b"))
+    return compared.union(stars)
 
 
 def text_classes(df: DataFrame, key: str, text: str, least: float = LEAST) -> DataFrame:
@@ -285,21 +364,7 @@ def text_classes(df: DataFrame, key: str, text: str, least: float = LEAST) -> Da
         "signatures",
     )
     banded = written(reps.mapInArrow(_explode_bands, "key binary, band long"), "bands")
-    sizes = (
-        banded.groupBy("band")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-        .select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    )
-    members = banded.join(sizes, "band").join(reps.drop("id"), "key")
-    members = members.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    guessed = (
-        _spread(members, "band")
-        .select("band", "low", "high", "block", "key", "signature")
-        .groupBy("band", "low", "high")
-        .applyInArrow(_candidates, "a binary, b binary")
-    )
-    groups = written(components(guessed, "candidates"), "groups")
+    groups = written(components(_estimated_links(reps, banded), "candidates"), "groups")
     # Texts of the groups, once each, from the row of the least id: copies stay apart. From
     # here on all tables are of suspects only.
     wanted = groups.join(reps.select("key", "id"), "key").select(F.col("key").alias("k"), F.col("id").alias("i"), "root")
@@ -313,33 +378,9 @@ def text_classes(df: DataFrame, key: str, text: str, least: float = LEAST) -> Da
         .mapInArrow(_with_center(least), "key binary, root binary, linked boolean"),
         "checked",
     )
-    unsettled = (
-        checked.groupBy("root")
-        .agg(
-            F.sum((~F.col("linked")).cast("long")).alias("open"), F.count(F.lit(1)).alias("n")
-        )
-        .filter("open > 0")
-        .select(
-            "root",
-            F.ceil(F.col("open") / BLOCK).cast("int").alias("blocks"),
-            F.ceil((F.col("n") - F.col("open")) / BLOCK).cast("int").alias("settled_blocks"),
-        )
-    )
-    rest = suspects.join(checked.select("key", "linked"), "key").join(unsettled, "root")
-    rest = rest.withColumn("hash", F.xxhash64("key"))
-    open_ = rest.filter("NOT linked").withColumn("block", F.pmod("hash", "blocks").cast("int"))
-    among = _spread(open_, "root").select("root", F.lit(False).alias("settled"), "low", "high", "key", "text")
-    open_side = open_.withColumn("high", F.explode(F.sequence(F.lit(-1), -F.col("settled_blocks"), F.lit(-1))))
-    open_side = open_side.select("root", F.lit(False).alias("settled"), F.col("block").alias("low"), "high", "key", "text")
-    done_side = (
-        rest.filter("linked")
-        .withColumn("high", (-1 - F.pmod("hash", "settled_blocks")).cast("int"))
-        .withColumn("low", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("root", F.lit(True).alias("settled"), "low", "high", "key", "text")
-    )
+    rest = suspects.join(checked.select("key", "linked"), "key").join(_unsettled(checked, "root"), "root")
     exact = (
-        among.union(open_side)
-        .union(done_side)
+        _block_pairs(rest, "root", "text")
         .groupBy("root", "low", "high")
         .applyInArrow(lambda table: _exact(table, least), "a binary, b binary")
     )
