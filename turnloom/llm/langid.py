@@ -109,7 +109,9 @@ def windows_of(texts: list[str]) -> Windows:
     else:
         distinct, order = np.unique(grams, return_inverse=True)
     rows = alphabet[np.stack([distinct // (k * k), distinct // k % k, distinct % k], axis=1)]
-    return Windows(rows, order, np.stack([starts, np.maximum(ends - LETTERS + 1, starts)], axis=1))
+    bounds = np.stack([starts, np.maximum(ends - LETTERS + 1, starts)], axis=1)
+    # Texts without a window at the end begin after the last one.
+    return Windows(rows, order, np.minimum(bounds, len(order)))
 
 
 def blocks(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
