@@ -157,6 +157,30 @@ def test_contaminated_documents(spark):
     assert contaminated(frame(spark, []), bench).collect() == []
 
 
+def test_contaminated_by_names_at_starts_and_other_case(spark):
+    tom = "Tom has 5 apples and Ann has 3 pears. Ann gives Tom 2 apples. How many apples does Tom have now"
+    anna = "If Anna buys 12 apples for 3 dollars each and gives 12 to Bob how much money did Anna spend in total on the fruit"
+    short = "Tom walks 5 miles every day to the old school"
+    items = [(1, tom), (2, anna), (3, short)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    sam = tom.replace("Tom", "Sam").replace("Ann", "Eve")
+    texts = [sam, f"Some words. {sam.replace('5', '7')}", anna.lower(), anna.upper(), anna.lower().replace("3", "9")]
+    texts += ["they say Sam walks 8 miles every day to the old school", f"x {short} y", short.replace("Tom", "He")]
+    clash = tom.replace("Tom has 5", "Sam has 5").replace("gives Tom", "gives Max").replace("does Tom", "does Joe")
+    texts += [clash, f"if so. {short}".lower(), "the old school is 5 miles from here and Tom walks"]
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(frame(spark, texts), bench).collect()}
+    assert got == {(0, 1), (1, 1), (2, 2), (3, 2), (4, 2), (5, 3), (6, 3), (7, 3), (9, 3)}
+    # A possible name that is none does not undo what matches without it.
+    item = "The cat sat on the mat by the door of the barn all day. The dog ran off"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    row = contaminated(frame(spark, [item.replace("The cat", "A cat", 1)]), bench).first()
+    assert (row["item_id"], row["n_windows"], row["n_words"]) == (1, 10, 17)
+    # Of two possible names one is another name, one in small letters.
+    item = "Yes it is. Tom has apples now"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert contaminated(frame(spark, ["so yes it is. Sam has apples now"]), bench).count() == 1
+
+
 @pytest.mark.parametrize("name", ["ids", "counts"])
 def test_lookahead_is_positive(name):
     with open(WORDS, "rb") as file:

@@ -2,7 +2,9 @@
 
 Texts are brought to a canonical form in which numbers, units after numbers, and names
 become typed placeholders; a re-parameterised question keeps its form. Windows of eight
-canonical words are hash-joined with those of the benchmark. A bitmap of fixed size, made
+words are hash-joined with those of the benchmark, in up to four forms: as they are but for
+letter case, with placeholders for numbers and units, for names too, and for capitalised
+words at the start of a sentence too, which may be names. A bitmap of fixed size, made
 from the benchmark's windows, first drops nearly all windows of the documents. Matches
 of a document and an item count along one alignment, and only if the placeholders agree:
 each value in the item must stand for one value in the document throughout.
@@ -12,6 +14,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +30,8 @@ from turnloom.llm.transducer import Memo
 WINDOW, LEAST = 8, 13
 #: Bits of the bitmap, as a power of two: 2 MB whatever the benchmark's size.
 BITS = 24
-#: Placeholders a window may have at most; the others pin it to its template.
+#: Placeholders a window may have at most, else it counts in its literal form only; the
+#: others pin it to its template.
 MOST_SLOTS = WINDOW // 2
 
 WORD, NUMBER, UNIT, NAME, END, SKIP = range(6)
@@ -62,9 +67,29 @@ def token(raw: str) -> tuple[int, int, bool, bool]:
     return (UNIT if low in UNITS else WORD), xxhash.xxh3_64_intdigest(low), capital, ends
 
 
+class Canonical(NamedTuple):
+    """A text's words: hash of each one's value, its kind, and whether it is a possible name,
+    as it has a capital but begins a sentence or line."""
+
+    value: np.ndarray
+    kind: np.ndarray
+    first: np.ndarray
+
+
+class Windows(NamedTuple):
+    """Windows of one form: places, hashes, which words of the text are placeholders, and
+    whether possible names are among these."""
+
+    at: np.ndarray
+    hash: np.ndarray
+    slot: np.ndarray
+    loose: bool
+
+
 class Templater:
     def __init__(self) -> None:
         self.tokens = Memo(self._token, 120_000)
+        self.up = self.down = np.ones(1, np.uint64)
 
     @staticmethod
     def _token(raw: str) -> int:
@@ -72,8 +97,7 @@ class Templater:
         kind, digest, capital, ends = token(raw)
         return digest >> 5 << 5 | kind | capital << 3 | ends << 4
 
-    def canonical(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each word its template code, its value, and whether it is a placeholder."""
+    def canonical(self, text: str) -> Canonical:
         words = text.replace("\n", " \n ").split(" ")
         code = np.fromiter(map(self.tokens.__getitem__, words), np.uint64, len(words))
         low = code.astype(np.uint8) & 31
@@ -88,71 +112,115 @@ class Templater:
         after = np.zeros(len(code), bool)
         after[1:] = kind[:-1] == NUMBER
         kind = np.where((kind == UNIT) & ~after, WORD, kind)
-        kind = np.where((kind == WORD) & capital & ~starts, NAME, kind)
-        code, kind = code[real] >> np.uint64(5), kind[real]
-        shape = code.copy()
-        for which, holder in HOLDER.items():
-            shape[kind == which] = holder
-        return shape, code, kind != WORD
-
-    def windows(self, text: str | None, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash of each window (0 where placeholders are too many), values, placeholders."""
-        shape, value, slot = self.canonical(text or "")
-        n = len(shape) - size + 1
+        capital &= kind == WORD
+        kind = np.where(capital & ~starts, NAME, kind)
+        return Canonical(code[real] >> np.uint64(5), kind[real], (capital & starts)[real])
+
+    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of _STEP and of its inverse, n of each."""
+        if len(self.up) < n:
+            size = max(n, 2 * len(self.up))
+            self.up, self.down = (
+                np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, step, np.uint64)]))
+                for step in (_STEP, np.uint64(pow(int(_STEP), -1, 1 << 64)))
+            )
+        return self.up[:n], self.down[:n]
+
+    def windows(self, words: Canonical, size: int) -> Iterator[Windows]:
+        """The windows in each form in which they differ from the forms before: literal, with
+        numbers and units as placeholders, with names too, with possible names too."""
+        n = len(words.value) - size + 1
         if n < 1:
-            return np.empty(0, np.uint64), value, slot
-        h = np.full(n, size, np.uint64)
-        for k in range(size):
-            h = mix(h * _STEP + shape[k : k + n])
-        held = np.concatenate([[0], np.cumsum(slot)])
-        h[held[size:] - held[:-size] > max(MOST_SLOTS * size // WINDOW, 0)] = 0
-        return h, value, slot
+            return
+        up, down = self.powers(len(words.value))
+        number = (words.kind == NUMBER) | (words.kind == UNIT)
+        name = words.kind == NAME
+        shape, slot = words.value.copy(), np.zeros(len(words.value), bool)
+        for form, fresh in enumerate((slot, number, name, words.first)):
+            if form and not fresh.any():
+                continue
+            slot = slot | fresh
+            shape[fresh] = HOLDER[NAME]
+            if form == 1:
+                shape[words.kind == NUMBER] = HOLDER[NUMBER]
+                shape[words.kind == UNIT] = HOLDER[UNIT]
+            at = np.arange(n)
+            if form:
+                new, held = (np.concatenate([[0], np.cumsum(x)]) for x in (fresh, slot))
+                held = held[size:] - held[:-size]
+                at = np.flatnonzero((new[size:] > new[:-size]) & (held <= MOST_SLOTS * size // WINDOW))
+            total = np.zeros(len(shape) + 1, np.uint64)
+            np.cumsum(shape * up, out=total[1:])
+            h = mix((total[at + size] - total[at]) * down[at] + np.uint64(size))
+            yield Windows(at, h, slot, form == 3)
+
+    def between(self, words: Canonical, size: int) -> Iterator[Windows]:
+        """Windows with several possible names, some of them taken as names and some not."""
+        up, _ = self.powers(size)
+        for at in range(len(words.value) - size + 1):
+            first = np.flatnonzero(words.first[at : at + size]) + at
+            for some in range(1, (1 << len(first)) - 1):
+                slot = words.kind != WORD
+                slot[first[[some >> k & 1 > 0 for k in range(len(first))]]] = True
+                if slot[at : at + size].sum() > MOST_SLOTS * size // WINDOW:
+                    continue
+                shape = words.value[at : at + size].copy()
+                shape[slot[at : at + size]] = HOLDER[NAME]
+                for which in (NUMBER, UNIT):
+                    shape[words.kind[at : at + size] == which] = HOLDER[which]
+                h = mix((shape * up).sum(dtype=np.uint64, keepdims=True) + np.uint64(size))
+                yield Windows(np.array([at]), h, slot, True)
 
 
 def _emit(df: DataFrame, key: str, text: str, sizes: list[int], bitmap, whole: bool) -> DataFrame:
-    """One row per window that passes the bitmap: key, copy of the text, place, hash, slots.
+    """One row per form of a window that passes the bitmap: key, copy of the text, place, hash,
+    slots, and whether these hold possible names.
 
     With ``whole``, texts shorter than a window give one window of their own length.
     """
     key_type = df.schema[key].dataType.simpleString()
-    schema = f"id {key_type}, text_hash long, n_words int, at int, window long, slots array<long>"
+    schema = f"id {key_type}, text_hash long, n_words int, at int, window long, slots array<long>, loose boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Templater()
         bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            owner, digest, words, ats, hashes, slots = [], [], [], [], [], []
+            owner, digest, n_words, ats, hashes, slots, loose = [], [], [], [], [], [], []
             for row, text in enumerate(texts):
+                words = maker.canonical(text or "")
+                n = len(words.value)
                 own = sizes
                 if whole:
-                    n = len(maker.canonical(text or "")[0])
                     own = [min(n, WINDOW)] if n else []
                 for size in own:
-                    h, value, slot = maker.windows(text, size)
-                    good = h != 0
-                    if bits is not None and len(h):
-                        place = h >> np.uint64(64 - BITS)
-                        good &= (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                    for at in np.flatnonzero(good):
-                        owner.append(row)
-                        words.append(len(value))
-                        ats.append(int(at))
-                        hashes.append(h[at])
-                        digest.append(xxhash.xxh3_64_intdigest(text) >> 1)
-                        where = np.flatnonzero(slot[at : at + size]) + at
-                        slots.append(value[where].astype(np.int64).tolist())
+                    forms = maker.windows(words, size)
+                    for form in chain(forms, maker.between(words, size)) if whole else forms:
+                        good = np.ones(len(form.at), bool)
+                        if bits is not None:
+                            place = form.hash >> np.uint64(64 - BITS)
+                            good = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                        for at, h in zip(form.at[good].tolist(), form.hash[good]):
+                            owner.append(row)
+                            n_words.append(n)
+                            ats.append(at)
+                            hashes.append(h)
+                            digest.append(xxhash.xxh3_64_intdigest(text) >> 1)
+                            where = np.flatnonzero(form.slot[at : at + size]) + at
+                            slots.append(words.value[where].astype(np.int64).tolist())
+                            loose.append(form.loose)
             if owner or whole:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(owner, pa.int64())),
                         pa.array(digest, pa.int64()),
-                        pa.array(words, pa.int32()),
+                        pa.array(n_words, pa.int32()),
                         pa.array(ats, pa.int32()),
                         pa.array(np.array(hashes, np.uint64).view(np.int64)),
                         pa.array(slots, pa.list_(pa.int64())),
+                        pa.array(loose, pa.bool_()),
                     ],
-                    ["id", "text_hash", "n_words", "at", "window", "slots"],
+                    ["id", "text_hash", "n_words", "at", "window", "slots", "loose"],
                 )
 
     return df.select(key, text).mapInArrow(run, schema)
@@ -185,7 +253,8 @@ def contaminated(
     A row says that one alignment of the document with the item has so many matching
     windows, which cover at least LEAST words (or the item, where it is shorter), and that
     its ``n_slots`` distinct placeholder values stand for one value each. The best
-    alignment of a pair is given, the first of equals. Repeated rows of a document give one
+    alignment of a pair is given, the first of equals. A window may match as it is, whatever
+    its letter case and however many numbers or names it holds, or by its template. Repeated rows of a document give one
     row; the same id with several texts is one document that holds what any of them does. NULL and
     empty texts hold nothing, empty items are never held, an empty table gives none; other
     columns are not read, but keys and texts may have any name.
@@ -198,6 +267,7 @@ def contaminated(
         F.col("at").alias("item_at"),
         "window",
         F.col("slots").alias("item_slots"),
+        F.col("loose").alias("item_loose"),
     )
     short = [r["n"] for r in items.select(F.least("item_words", F.lit(WINDOW)).alias("n")).distinct().collect()]
     bitmap = spark.sparkContext.broadcast(_bitmap(items))
@@ -211,16 +281,26 @@ def contaminated(
         "item_at",
         (F.col("at") - F.col("item_at")).alias("shift"),
         F.arrays_zip(F.col("item_slots").alias("theirs"), F.col("slots").alias("ours")).alias("pairs"),
+        (~(F.col("loose") | F.col("item_loose"))).alias("sure"),
     )
     group = ["id", "text_hash", "item", "item_words", "shift"]
+    sure = F.when(F.col("sure"), F.struct("item_at", "pairs"))
     aligned = matched.groupBy(*group).agg(
-        F.countDistinct("item_at").alias("n_windows"),
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+        F.collect_set(sure).alias("sure"), F.collect_set(F.struct("item_at", "pairs")).alias("all")
+    )
+    # Matches that need possible names may add to an alignment; if their values clash, it
+    # stands or falls by the others.
+    aligned = aligned.withColumn("matches", F.explode(F.array("sure", "all"))).select(
+        *group,
+        F.size(F.array_distinct(F.transform("matches", lambda m: m["item_at"]))).cast("long").alias("n_windows"),
+        F.array_distinct(F.flatten(F.transform("matches", lambda m: m["pairs"]))).alias("pairs"),
     )
     theirs = F.array_distinct(F.transform("pairs", lambda p: p["theirs"]))
     covered = F.col("n_windows") + F.least("item_words", F.lit(WINDOW)) - 1
     held = aligned.filter(
-        (covered >= F.least("item_words", F.lit(LEAST))) & (F.size("pairs") == F.size(theirs))
+        (F.col("n_windows") > 0)
+        & (covered >= F.least("item_words", F.lit(LEAST)))
+        & (F.size("pairs") == F.size(theirs))
     ).select(
         "id", "item", "n_windows", covered.alias("n_words"), F.size("pairs").cast("long").alias("n_slots"), "shift"
     )
