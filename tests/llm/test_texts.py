@@ -181,6 +181,19 @@ def test_contaminated_by_names_at_starts_and_other_case(spark):
     assert contaminated(frame(spark, ["so yes it is. Sam has apples now"]), bench).count() == 1
 
 
+def test_contaminated_by_items_of_placeholders(spark):
+    items = [
+        "Sort these: 12, 7, 45, 3, 28, 19, 6, 31, 50, 2, 8",
+        "Compute 12 * 34 + 56 / 7",
+        "Anna Bob Carl Dora Emil Fred Gina Hugo Ida Jan Kim Lena Max Nora Otto",
+        "Der Hund und die Katze im Haus am See sehen den Mond und die Sterne in der Nacht",
+    ]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [*items, *(f"some words {t} and more" for t in items), items[0].replace("45", "46"), items[1].replace("56", "57")]
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(frame(spark, texts), bench).collect()}
+    assert got == {(k, k % 4) for k in range(8)}
+
+
 @pytest.mark.parametrize("name", ["ids", "counts"])
 def test_lookahead_is_positive(name):
     with open(WORDS, "rb") as file:
