@@ -90,6 +90,32 @@ def test_vectors_equal_all_pairs(spark):
         assert kept == (component == vec_id)
 
 
+def cone(rng, n, dim):
+    """Vectors within a cosine of 0.9 or so of each other, each with a near copy."""
+    base = rng.normal(size=dim) + rng.normal(size=(n, dim)) * 0.3
+    return np.concatenate([base, base + rng.normal(size=(n, dim)) * 0.01])
+
+
+@pytest.mark.parametrize("n", [1, 300])
+def test_vectors_of_one_cone_and_of_two_lengths(spark, n):
+    rng = np.random.default_rng(3)
+    rows = [v for dim in (12, 20) for v in (cone(rng, n, dim) if n > 1 else np.ones((2, dim)) + np.eye(2, dim) * 0.1)]
+    rows = [(k, [float(x) for x in v], 1) for k, v in enumerate(rows)] + [(9000, [1.0, 2.0, 3.0], 1)]
+    got = {r["vec_id"]: tuple(r)[1:] for r in near_vectors(
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    want = {9000: (0, 9000, True)}
+    for part in (rows[: 2 * n], rows[2 * n : 4 * n]):
+        m = np.array([v for _, v, _ in part]).astype(np.float32).astype(np.float64)
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        link = m @ m.T >= 0.98
+        np.fill_diagonal(link, False)
+        ids = [k for k, *_ in part]
+        root = roots_of(ids, [(ids[a], ids[b]) for a, b in np.argwhere(link) if a < b])
+        assert link.any(axis=1).all()
+        want |= {k: (int(link[at].sum()), root[k], root[k] == k) for at, k in enumerate(ids)}
+    assert got == want
+
+
 def test_vectors_of_an_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert near_vectors(df).collect() == []

@@ -1,7 +1,7 @@
 """Near-duplicate vectors through a pivot-permutation index.
 
 Each vector is described by the ordered list of its nearest pivots. Inverted lists, one per
-label and pivot, hold the vectors that name the pivot; two vectors that share enough
+label, length and pivot, hold the vectors that name the pivot; two vectors that share enough
 pivots are candidates, and their cosine decides. A list is worked on in pairs of blocks, so
 a list of any length is many small tasks, and a task returns each vector's number of links
 and one link of it to a local root instead of the links themselves.
@@ -57,25 +57,45 @@ def _apart(sample: np.ndarray, most: int) -> np.ndarray:
     return sample[chosen]
 
 
-def describe(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Adds ``near``: the numbers of the nearest pivots in order."""
-    schema = f"label {vectors.schema['label'].dataType.simpleString()}, key string, copies long, vector array<double>, near array<int>"
+def _pivots(distinct: DataFrame) -> dict[int, np.ndarray]:
+    """Pivots for each length of more than BLOCK vectors; shorter lists need none."""
+    sizes = distinct.groupBy(F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    pivots = {}
+    for size, count in sizes.filter(F.col("n") > BLOCK).collect():
+        wanted = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, 2 ** np.ceil(np.log2(2 * np.sqrt(count))))))
+        sample = distinct.filter(F.size("vector") == size).orderBy("key").select("vector")
+        sample = sample.limit(min(4 * wanted, SAMPLE)).collect()
+        pivots[size] = _apart(unit(np.array([r["vector"] for r in sample])), wanted)
+    return pivots
+
+
+def describe(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """Adds ``size``, the vector's length, and ``near``: the numbers of the nearest pivots of
+    this length in order. A length without pivots has one list for all its vectors."""
+    schema = f"label {vectors.schema['label'].dataType.simpleString()}, key string, copies long, vector array<double>, near array<int>, size int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                rows = unit(_matrix(part.column(3)))
-                close = rows @ pivots.T
-                k = min(NEAREST, len(pivots))
-                near = np.argpartition(-close, k - 1, axis=1)[:, :k]
-                order = np.argsort(-np.take_along_axis(close, near, 1), axis=1, kind="stable")
-                near = np.take_along_axis(near, order, 1).astype(np.int32)
-                arrays = [part.column(k) for k in range(3)]
-                for values, kind in ((rows, pa.float64()), (near, pa.int32())):
-                    offsets = pa.array(np.arange(len(rows) + 1) * values.shape[1], pa.int32())
-                    arrays.append(pa.ListArray.from_arrays(offsets, pa.array(values.ravel(), kind)))
-                yield pa.RecordBatch.from_arrays(arrays, ["label", "key", "copies", "vector", "near"])
+                some = batch.slice(at, 2048)
+                lengths = some.column(3).value_lengths().to_numpy()
+                for size in np.unique(lengths).tolist():
+                    part = some.take(pa.array(np.flatnonzero(lengths == size)))
+                    rows = unit(_matrix(part.column(3)))
+                    if size in pivots:
+                        close = rows @ pivots[size].T
+                        k = min(NEAREST, len(pivots[size]))
+                        near = np.argpartition(-close, k - 1, axis=1)[:, :k]
+                        order = np.argsort(-np.take_along_axis(close, near, 1), axis=1, kind="stable")
+                        near = np.take_along_axis(near, order, 1).astype(np.int32)
+                    else:
+                        near = np.zeros((len(rows), 1), np.int32)
+                    arrays = [part.column(k) for k in range(3)]
+                    for values, kind in ((rows, pa.float64()), (near, pa.int32())):
+                        offsets = pa.array(np.arange(len(rows) + 1) * values.shape[1], pa.int32())
+                        arrays.append(pa.ListArray.from_arrays(offsets, pa.array(values.ravel(), kind)))
+                    arrays.append(pa.array(np.full(len(rows), size, np.int32)))
+                    yield pa.RecordBatch.from_arrays(arrays, ["label", "key", "copies", "vector", "near", "size"])
 
     return vectors.mapInArrow(run, schema)
 
@@ -97,7 +117,8 @@ def _links(table: pa.Table, least: float, shared: int) -> pa.Table:
     marks = np.zeros((n, len(names)), np.float32)
     np.put_along_axis(marks, local.reshape(near.shape), 1, axis=1)
     before = marks[:, names < pivot]
-    candidate = marks[a] @ marks[b].T >= shared
+    # With fewer pivots than must be shared, all of them.
+    candidate = marks[a] @ marks[b].T >= min(shared, near.shape[1])
     candidate &= before[a] @ before[b].T == 0  # else another list answers for the pair
     if low == high:
         np.fill_diagonal(candidate, False)
@@ -131,8 +152,9 @@ def near_vectors(
 
     ``n_links`` counts the rows linked directly, copies included; ``component_id`` is the
     least key reachable; ``kept`` is whether it is the row's own. NULL vectors and labels,
-    zero vectors, and NULL or non-finite components link with nothing and are kept; so is
-    a vector whose length differs from the first one's. Repeated rows link with each
+    zero vectors, and NULL or non-finite components link with nothing and are kept. Vectors of
+    different lengths do not link, those of each length do. Where all vectors of a length lie
+    so close that ten pivots or fewer stand apart, all pairs of a label are compared. Repeated rows link with each
     other. A NULL key stays NULL and is not kept unless it links with nothing. An empty
     table gives no rows; other columns are not read.
     """
@@ -161,25 +183,21 @@ def near_vectors(
         return df.select(
             F.col(key), F.lit(0).cast("long").alias("n_links"), F.col(key).alias("component_id"), F.lit(True).alias("kept")
         )
-    wanted = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, 2 ** np.ceil(np.log2(2 * np.sqrt(count))))))
-    chosen = distinct.orderBy("key").select("vector").limit(min(4 * wanted, SAMPLE)).collect()
-    size = len(chosen[0]["vector"])
-    pivots = _apart(unit(np.array([r["vector"] for r in chosen if len(r["vector"]) == size])), wanted)
-    same = distinct.filter(F.size("vector") == size).select("label", "key", "copies", "vector")
-    described = written(describe(same, pivots), "described")
+    vectors = distinct.select("label", "key", "copies", "vector")
+    described = written(describe(vectors, _pivots(distinct)), "described")
     listed = described.withColumn("pivot", F.explode("near"))
     sizes = (
-        described.select("label", F.explode("near").alias("pivot"))
-        .groupBy("label", "pivot")
+        described.select("label", "size", F.explode("near").alias("pivot"))
+        .groupBy("label", "size", "pivot")
         .agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
         .drop("n")
     )
-    blocks = listed.join(sizes, ["label", "pivot"]).withColumn(
+    blocks = listed.join(sizes, ["label", "size", "pivot"]).withColumn(
         "block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     )
     paired = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "label", "pivot", "key", "copies", "vector", "near", "block",
+        "label", "size", "pivot", "key", "copies", "vector", "near", "block",
         F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
     )
 
@@ -187,7 +205,7 @@ def near_vectors(
         return _links(table, least, shared)
 
     links = written(
-        paired.groupBy("label", "pivot", "low", "high").applyInArrow(work, "key string, links long, root string"),
+        paired.groupBy("label", "size", "pivot", "low", "high").applyInArrow(work, "key string, links long, root string"),
         "vector-links",
     )
     roots = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")), "vector-components")
