@@ -128,6 +128,27 @@ def test_main_text_of_given_and_other_pages():
     assert main_text(None) == main_text("") == main_text("<nav><a>x</a></nav>") == ""
 
 
+def test_main_text_keeps_all_lines_of_an_article():
+    links = "".join(f"<li><a href='/{k}'>Reference {k}</a></li>" for k in range(6))
+    page = (
+        "<body><nav><a href='/'>Home</a></nav><p>Some teaser</p><article><h1><a href='/t'>The title</a></h1>"
+        "<p class='alert'>Mind the step.</p><h2 id='related-work'>Related work</h2><p>They did it.</p>"
+        "<section id='search-trees'><h2>Trees</h2><div class='tags'>balanced, binary</div></section>"
+        f"<p>As before.</p><ol>{links}</ol><p>Middle.</p><ol>{links}</ol>"
+        "<div class='share-buttons'>Tweet</div><div id='comments'><p>Nice!</p></div><div class='box comment-list'>Me too</div>"
+        "<form>Name</form><ul class='nav'><li>Next</li></ul></article><footer>Site</footer></body>"
+    )
+    refs = [f"Reference {k}" for k in range(6)]
+    want = ["The title", "Mind the step.", "Related work", "They did it.", "Trees", "balanced, binary", "As before."]
+    assert main_text(page).split("\n") == [*want, *refs, "Middle.", *refs]
+    text = "<p>Enough text of the page to be its main part.</p>"
+    assert main_text(f"<body><h1><a href='/t'>The title</a></h1>{text}<h2 id='related-work'>Related</h2>{text}</body>").split("\n") == [
+        "The title", text[3:-4], "Related", text[3:-4]
+    ]
+    menu = "".join(f"<li><a href='/{k}'>Menu {k}</a></li>" for k in range(9))
+    assert main_text(f"<body><ul>{menu}</ul><hr><div class='site-nav'>x</div>{text}<div id='site-footer'>y</div></body>") == text[3:-4]
+
+
 def test_shards_hold_about_equal_bytes(spark):
     texts = [None, "", *["hot " * 20] * 700, *[f"text {k} " * (k % 40) for k in range(1400)], "é" * 900]
     rows = shard(frame(spark, [*texts]).union(frame(spark, ["same"] * 3)), shards=24).collect()

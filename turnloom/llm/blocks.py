@@ -3,7 +3,8 @@
 Markup is stripped so that each block of text is a line; furniture (menus, adverts, forms,
 comments) becomes a gap of empty lines. The text lengths of sliding windows of lines,
 links not counted, rise at a surge and fall to nothing at a dive; a stretch between is
-kept, whole, if it is the page's main one or reaches a fair share of its peak.
+kept, whole, if it is the page's main one or reaches a fair share of its peak. Of a page
+with article or main elements, all their lines that are not furniture are kept instead.
 """
 
 from __future__ import annotations
@@ -36,17 +37,21 @@ MARKS = re.compile(
     r"related|recommend\w*|share|sharing|sidebar|side-?bar|social|sponsor\w*|subscribe|subscription|"
     r"tags?|toolbar|topbar|widgets?|contentinfo|complementary|navigation|search|dialog|alert)(?:$|[\s_-])"
 )
+# Marks that name parts of an article as well, and elements whose ids are made
+# from headings.
+PARTS = frozenset("alert notice tag tags search header masthead dialog".split())
+HEADED = frozenset("h1 h2 h3 h4 h5 h6 p section li dt dd".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|"
     r"<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S,
 )
-NAMES = re.compile(r"""(?is)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+NAMES = re.compile(r"""(?is)(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 HIDDEN = re.compile(
     r"(?is)(?:^|\s)hidden(?=\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none"
 )
 CLOSERS = {name: re.compile(rf"(?i)</{name}\s*>") for name in SILENT}
-SPACE = re.compile(r"\s+")
+SPACE, WORDS = re.compile(r"\s+"), re.compile(r"([\s_-]+)")
 
 
 class Line(NamedTuple):
@@ -64,7 +69,22 @@ def _furniture(name: str, attributes: str, in_main: bool) -> bool:
         return True
     if name in MAIN or name in ("body", "html"):
         return False
-    return any(MARKS.search(a or b or c) for a, b, c in NAMES.findall(attributes))
+    for kind, a, b, c in NAMES.findall(attributes):
+        named, kind = a or b or c, kind.lower()
+        if kind == "id" and (in_main or name in HEADED):
+            if _only_marks(named):
+                return True
+        elif kind == "class" and in_main:
+            if MARKS.search("".join([w for w in WORDS.split(named) if w.lower() not in PARTS])):
+                return True
+        elif MARKS.search(named):
+            return True
+    return False
+
+
+def _only_marks(name: str) -> bool:
+    """Whether the whole name is marks: ``comments`` and ``cookie-notice``, not ``related-work``."""
+    return bool(MARKS.fullmatch(name)) or all(map(MARKS.fullmatch, WORDS.split(name)[::2]))
 
 
 def lines_of(page: str) -> list[Line | None]:
@@ -173,7 +193,8 @@ def lines_of(page: str) -> list[Line | None]:
 
 
 def stretches(lines: list[Line | None]) -> list[list[Line]]:
-    """Runs from a surge to the next dive: to a window of lines that is empty."""
+    """Runs from a surge to the next dive: to a window of lines that is empty. Lines of links
+    within a window before the surge belong to it."""
     weights: list[int] = []
     owners: list[Line | None] = []
     for line in lines:
@@ -187,15 +208,17 @@ def stretches(lines: list[Line | None]) -> list[list[Line]]:
     for w in weights:
         upto.append(upto[-1] + w)
     runs: list[list[Line]] = []
-    inside = False
+    inside, dived = False, 0
     for at, owner in enumerate(owners):
         block = upto[min(at + WINDOW, len(weights))] - upto[at]
         behind = upto[at + 1] - upto[max(at + 1 - WINDOW, 0)]
         if not inside and block > 0 and owner is not None and owner.weight > 0:  # surge
             inside = True
-            runs.append([])
+            near = owners[max(at + 1 - WINDOW, dived) : at]
+            near = near[max((k + 1 for k, line in enumerate(near) if line is None), default=0) :]
+            runs.append(near)
         elif inside and block == 0 and behind == 0:  # dive
-            inside = False
+            inside, dived = False, at
         if inside and owner is not None:
             runs[-1].append(owner)
     return runs
@@ -212,8 +235,7 @@ def main_text(page: str | None) -> str:
         return ""
     lines = lines_of(page)
     if any(line is not None and line.main for line in lines):
-        lines = [line if line is None or line.main else None for line in lines]
-        runs = stretches(lines)
+        runs = [[line for line in lines if line is not None and line.main]]
     else:
         runs = stretches(lines)
         highest = max(map(_peak, runs), default=0)
