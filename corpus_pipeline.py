@@ -29,11 +29,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one of the least id."""
+    """One document of each class of near-duplicates: the one of the least id. If several rows
+    have this id (or none has one) and the same text, one of them stays."""
     docs = docs.select(*COLUMNS)
-    gone = near_texts(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    counted = (
+        near_texts(docs)
+        .filter(F.col("text_key").isNotNull())
+        .groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+        .agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    )
+    marked = written(counted.filter("NOT kept OR n > 1"), "near-marked")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & text_key("text").eqNullSafe(F.col("_key"))
-    return docs.join(gone, same, "left_anti")
+    single = docs.join(marked.select("_id", "_key"), same, "left_anti")
+    heads = marked.filter("kept").select("_id", "_key")
+    if heads.isEmpty():
+        return single
+    others = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    repeated = (
+        docs.join(heads, same, "left_semi")
+        .groupBy("doc_id", text_key("text").alias("_key"))
+        .agg(F.first("text").alias("text"), F.min(F.struct(*others)).alias("rest"))
+    )
+    return single.union(repeated.select("doc_id", "text", *[F.col(f"rest.{c}").alias(c) for c in others]).select(*COLUMNS))
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,6 +39,19 @@ def test_stages_equal_a_plain_search(spark, tmp_path):
         assert r["n_tokens"] == len(r["input_ids"])
 
 
+def test_one_row_of_repeated_documents_stays(spark):
+    hot, other = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
+    rows = [(7, hot, "aa", "s", 1)] * 5 + [(7, hot, "aa", None, 1), (9, hot, "aa", "s", 1), (None, hot, "aa", "s", 1)]
+    rows += [(None, other, "bb", "s", 2)] * 4 + [(None, other.replace("v3 ", "x "), "bb", "s", 2)] * 2
+    rows += [(8, "alone here", None, "s", 3), (3, None, None, None, 0), (3, None, None, None, 0)]
+    schema = DOCS.replace(", class_id string, ids int", "")
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, schema).repartition(3), "").collect()
+    assert sorted((r["doc_id"] or 0, r["lang"] or "") for r in got) == [(0, "bb"), (3, ""), (3, ""), (7, "aa"), (8, "")]
+    assert {r["text"] for r in got if r["doc_id"] == 7} == {hot}
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows[6:8], schema), "").collect()
+    assert [tuple(r) for r in got] == [rows[6]]
+
+
 def test_stages_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
