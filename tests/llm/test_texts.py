@@ -19,7 +19,7 @@ from turnloom.llm.decontam import contaminated
 from turnloom.llm.langid import language_ids
 from turnloom.llm.licenses import TEMPLATES, scan_licenses
 from turnloom.llm.secrets import Scanner, Span, checksum, find_secrets
-from turnloom.llm.sharding import shard
+from turnloom.llm.sharding import shard, write_shards
 from turnloom.llm.token_counts import count_tokens, counter
 
 SF = "/root/testdata/sf0.001"
@@ -165,6 +165,20 @@ def test_shards_hold_about_equal_bytes(spark):
     assert shard(frame(spark, [])).collect() == []
 
 
+def test_shards_hold_the_whole_rows(spark, tmp_path):
+    texts = [None, "", *[f"text {k % 300} " * (k % 40) for k in range(900)]]
+    df = frame(spark, texts).union(frame(spark, [None, "again", "again"])).repartition(3)
+    write_shards(df, f"{tmp_path}/shards", shards=5)
+    rows = spark.read.parquet(f"{tmp_path}/shards").collect()
+    assert sorted((tuple(r["row"]) for r in rows), key=repr) == sorted(map(tuple, df.collect()), key=repr)
+    digests = {(r["shard"], r["slot"]): r for r in shard(df, shards=5).collect()}
+    assert len(digests) == len(rows)
+    for k in range(5):
+        assert sorted(r["slot"] for r in rows if r["shard"] == k) == list(range(sum(s == k for s, _ in digests)))
+    plan = shard(df, shards=5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "crc32" in plan and "crc32" not in plan[plan.index("Window ") :]
+
+
 def test_contaminated_documents(spark):
     item = "If Anna buys 12 apples for 3 dollars each and gives 12 to Bob how much money did Anna spend in total on the fruit"
     other = "the quick brown fox jumps over the lazy dog while seven sleepy cats watch from an old wooden fence nearby"

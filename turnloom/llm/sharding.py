@@ -4,7 +4,7 @@ Rows are ordered by a key of hexadecimal digits: the hash of the text, then the
 the id, then the row's number. Equal texts so lie next to each other, and a group larger
 than a shard can still be divided. A round counts bytes and rows by key prefix; only
 prefixes that hold a border not yet met within tolerance are counted again, by longer
-prefixes. Then every row is sent to its range, once.
+prefixes. Then every row is sent to its range, whole and once.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from turnloom.session import new_path
 
 #: Digits of the first candidates, and digits added each time they are refined.
 FIRST, MORE = 3, 2
-#: Ranges a shard is numbered in at least, and rows of one range at most, about.
-RANGES, ROWS = 4, 500_000
+#: Ranges a shard is numbered in at least, and rows and bytes of one range at most, about.
+RANGES, ROWS, BYTES = 4, 500_000, 256 << 20
 #: A border may be off by this share of a shard's bytes, or by half a row.
 TOLERANCE = 0.0005
 
@@ -47,12 +47,12 @@ def _hex(number: Column) -> Column:
 
 
 def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, size, text_crc32, place`` written to the shared folder, so that it stays as it is."""
+    """``row, size, place`` written to the shared folder, so that it stays as it is; ``row``
+    holds all columns."""
     words = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(
-        key,
+        F.struct("*").alias("row"),
         (F.octet_length(words) + 8).cast("long").alias("size"),
-        F.crc32(words.cast("binary")).alias("text_crc32"),
         F.concat(
             _hex(F.xxhash64(words)), _hex(F.xxhash64(key)), _hex(F.monotonically_increasing_id())
         ).alias("place"),
@@ -116,22 +116,25 @@ def borders(rows: DataFrame, ranges: int, slack: float) -> tuple[list[Border], B
     return found, Border("g", total, count)
 
 
-def shard(
+def sharded(
     df: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", tolerance: float = TOLERANCE
 ) -> DataFrame:
-    """``key, size, text_crc32, law, shard, slot, grown_shard``, by the law ``bytes``.
-
-    ``size`` is the text's UTF-8 bytes and 8 (NULL as the empty text). Shards follow the
-    key's order; their sums of sizes differ by the tolerance or one row at most, so a group
-    of equal texts stays together unless a border falls inside it. ``slot`` numbers a
-    shard's rows from 0 without gaps. ``grown_shard`` is NULL under this law. Rows that
-    repeat are placed each; an empty table gives none; other columns are not read.
+    """``row, size, law, shard, slot, grown_shard``: the whole rows in their shards, by the law
+    ``bytes``.
+
+    ``row`` is a struct of all columns of ``df``. ``size`` is the text's UTF-8 bytes and 8
+    (NULL as the empty text). Shards follow the key's order; their sums of sizes differ by
+    the tolerance or one row at most, so a group of equal texts stays together unless a
+    border falls inside it. ``slot`` numbers a shard's rows from 0 without gaps.
+    ``grown_shard`` is NULL under this law. Rows that repeat are placed each; an empty table
+    gives none.
     """
     spark = df.sparkSession
     rows = keyed(df, key, text)
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    parts = max(RANGES, -(-count // (ROWS * shards)))
-    found, end = borders(rows, shards * parts, tolerance * total / shards)
+    parts = max(RANGES, -(-count // (ROWS * shards)), -(-total // (BYTES * shards)))
+    measured = rows.select("place", "size")
+    found, end = borders(measured, shards * parts, tolerance * total / shards)
     starts = [Border("", 0, 0), *found]
     # Which range: borders before the key's first digits, and those among its kind.
     keys = [b.key for b in found]
@@ -144,22 +147,43 @@ def shard(
     offsets = [starts[k].rows - starts[k // parts * parts].rows for k in range(len(starts))]
     offsets = spark.createDataFrame(list(enumerate(offsets)), "range int, offset long")
     placed = rows.join(F.broadcast(cells), F.substring("place", 1, FIRST) == F.col("cell")).select(
-        key,
+        "row",
         "size",
-        "text_crc32",
         "place",
         (
             F.col("low") + F.size(F.filter("inside", lambda b: b <= F.col("place")))
         ).alias("range"),
     )
     order = Window.partitionBy("range").orderBy("place")
-    numbered = placed.withColumn("nth", F.row_number().over(order)).join(offsets, "range")
+    numbered = placed.withColumn("nth", F.row_number().over(order)).join(F.broadcast(offsets), "range")
     return numbered.select(
-        key,
+        "row",
         "size",
-        "text_crc32",
         F.lit("bytes").alias("law"),
         F.floor(F.col("range") / parts).cast("int").alias("shard"),
         (F.col("offset") + F.col("nth") - 1).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def write_shards(df: DataFrame, path: str, **options) -> None:
+    """Writes ``sharded`` rows as Parquet, a folder ``shard=k`` for each shard; a file's rows
+    are in the order of their slots."""
+    sharded(df, **options).sortWithinPartitions("shard", "slot").drop("grown_shard").write.partitionBy("shard").parquet(path)
+
+
+def shard(
+    df: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", tolerance: float = TOLERANCE
+) -> DataFrame:
+    """``key, size, text_crc32, law, shard, slot, grown_shard``: digests of ``sharded`` rows,
+    taken from the rows after they have been moved. Other columns are not given."""
+    rows = sharded(df, shards, key, text, tolerance)
+    return rows.select(
+        F.col("row")[key].alias(key),
+        "size",
+        F.crc32(F.coalesce(F.col("row")[text], F.lit("")).cast("binary")).alias("text_crc32"),
+        "law",
+        "shard",
+        "slot",
+        "grown_shard",
+    )
