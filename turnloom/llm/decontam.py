@@ -55,6 +55,12 @@ def token(raw: str) -> tuple[int, int, bool, bool]:
     a sentence."""
     if raw == "\n" or not raw:
         return (END if raw else SKIP), 0, False, True
+    # Nearly all tokens are letters only, or letters and a mark; the rest take longer.
+    stem = raw if raw.isalpha() else raw[:-1]
+    if stem.isalpha() and (stem is raw or raw[-1] in ".,;:!?"):
+        low = stem.lower()
+        capital = stem[0].isupper() and (len(stem) == 1 or not stem.isupper())
+        return (UNIT if low in UNITS else WORD), xxhash.xxh3_64_intdigest(low), capital, raw[-1] in ".!?:"
     ends = raw.rstrip("\"')]”’»*_#$&%!|")[-1:] in ".!?:" or raw[-1] in ".!?:"
     if NUMERIC.fullmatch(raw):
         return NUMBER, xxhash.xxh3_64_intdigest(raw.strip(".,;:!?()\"'")), False, ends
