@@ -11,8 +11,11 @@ from turnloom.llm.bagminhash import near_texts
 from turnloom.llm.blocks import extract_text
 from turnloom.llm.bpe import round_trip
 from turnloom.llm.decontam import contaminated
+from turnloom.llm.infill import infill_digests
 from turnloom.llm.langid import language_ids
 from turnloom.llm.licenses import scan_licenses
+from turnloom.llm.merkle import merkle_digests
+from turnloom.llm.mixing import mix_digests
 from turnloom.llm.pivots import near_vectors
 from turnloom.llm.secrets import find_secrets
 from turnloom.llm.sharding import shard
@@ -65,6 +68,18 @@ def template_windows(spark: SparkSession, sf: str) -> DataFrame:
     return contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def sorted_infill(spark: SparkSession, sf: str) -> DataFrame:
+    return infill_digests(table(spark, sf, "documents"))
+
+
+def hash_threshold_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_digests(table(spark, sf, "documents"))
+
+
+def merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle_digests(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pivot_neighbors": pivot_neighbors,
     "op2_line_blocks": line_blocks,
@@ -76,4 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_histogram_shards": histogram_shards,
     "op9_keyword_secrets": keyword_secrets,
     "op10_template_windows": template_windows,
+    "op11_sorted_infill": sorted_infill,
+    "op12_hash_threshold_mix": hash_threshold_mix,
+    "op13_merkle_manifest": merkle_manifest,
 }
