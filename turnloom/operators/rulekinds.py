@@ -1,8 +1,9 @@
 """Ready-made kinds of rules, as columns of a response and a rule's argument.
 
 A comparison reads its argument as a whole number. One that is none makes the rule fail,
-as do a NULL response and, where a rule needs one, a NULL argument. Patterns are not among
-the kinds: one that arrives as data could end the job; register it as a rule of its own.
+as do a NULL response and, where a rule needs one, a NULL argument. Every kind takes time in
+proportion to the text, whatever the text. ``matches`` takes its pattern from the data and is
+run by an automaton, see ``patterns.py``; the others are column expressions.
 """
 
 from __future__ import annotations
@@ -12,20 +13,19 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from turnloom.operators.patterns import MATCHES
 from turnloom.operators.rules import RuleBook
 
 Rule = Callable[[Column, Column], Column]
 
-# What separates words, and the patterns of sentences, bullets, titles, placeholders.
-BLANKS = r"[ \t\n\r]+"
-SENTENCE = r"[^.!?]+[.!?]"
-BULLET = r"(?md)^\s*[*-] "
-TITLE = r"<<[^\n]+>>"
-PLACEHOLDER = r"\[[^\]\n]+\]"
-
-
-def _matches(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
+# Fixed values, each of which is tried at most once from a character: words; the end of a
+# sentence that is not empty; a bullet as a line starts; what separates paragraphs; two letters and
+# more that are a word by themselves and hold no small one of the plain alphabet.
+WORD = r"[^ \t\n\r]++"
+SENTENCE_END = r"(?<=[^.!?])[.!?]"
+BULLET = r"^[ \t\x0B\f\r]*+[*-] "
+PARAGRAPHS = r"\n\s*\n"
+CAPITALS = r"(?<!\p{L})[\p{L}&&[^a-z]]{2,}+(?!\p{L})"
 
 
 def _filled(text: Column, between: str) -> Column:
@@ -34,69 +34,117 @@ def _filled(text: Column, between: str) -> Column:
 
 
 def _capitals(text: Column) -> Column:
-    words = F.split(text, r"[^\p{L}]+")
-    return F.size(F.filter(words, lambda w: (F.char_length(w) > 1) & (w == F.upper(w))))
+    return F.size(F.filter(F.regexp_extract_all(text, F.lit(CAPITALS), F.lit(0)), lambda w: w == F.upper(w)))
+
+
+def _bullets(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, r"\n"), lambda line: F.regexp_like(line, F.lit(BULLET))))
+
+
+def _placeholders(text: Column) -> Column:
+    """``[`` to the next ``]`` of a line with something between: parts before a ``]`` in whose last
+    line a ``[`` stands before the last character."""
+
+    def opened(part: Column) -> Column:
+        line = F.substring_index(part, "\n", -1)
+        return F.locate("[", line).between(1, F.char_length(line) - 1)
+
+    unclosed = F.substring_index(text, "]", -1)
+    return F.size(F.filter(F.split(text, r"\]"), opened)) - opened(unclosed).cast("int")
+
+
+def _title(text: Column) -> Column:
+    """``<<`` and ``>>`` in a line with something between."""
+
+    def titled(line: Column) -> Column:
+        start = F.instr(line, "<<")
+        return (start > 0) & F.contains(F.substring(line, start + 3, F.char_length(line)), F.lit(">>"))
+
+    return F.exists(F.split(text, r"\n"), titled)
 
 
-def _occurrences(text: Column, word: Column) -> Column:
+def _occurrences(lower: Column, word: Column) -> Column:
     """How often a word stands in the text, case ignored; NULL for an empty word."""
-    text, word = F.lower(text), F.nullif(F.lower(word), F.lit(""))
-    without = F.replace(text, word, F.lit(""))
-    return (F.char_length(text) - F.char_length(without)) / F.char_length(word)
+    word = F.nullif(F.lower(word), F.lit(""))
+    without = F.replace(lower, word, F.lit(""))
+    return (F.char_length(lower) - F.char_length(without)) / F.char_length(word)
+
+
+def _keyword_count(text: Column, lower: Column, arg: Column) -> Column:
+    """The argument is a word and how often it must stand at least: ``word:3``."""
+    least = F.regexp_extract(arg, r"^(.*):(\d+)$", 2).try_cast("long")
+    return _occurrences(lower, F.regexp_extract(arg, r"^(.*):(\d+)$", 1)) >= least
 
 
 MEASURES: dict[str, Callable[[Column], Column]] = {
-    "words": lambda text: _filled(text, BLANKS),
+    "words": lambda text: F.regexp_count(text, F.lit(WORD)),
     "chars": F.char_length,
-    "sentences": lambda text: _matches(text, SENTENCE),
-    "paragraphs": lambda text: _filled(text, r"\n\s*\n"),
+    "sentences": lambda text: F.regexp_count(text, F.lit(SENTENCE_END)),
+    "paragraphs": lambda text: _filled(text, PARAGRAPHS),
     "lines": lambda text: _filled(text, r"\n"),
-    "bullets": lambda text: _matches(text, BULLET),
-    "placeholders": lambda text: _matches(text, PLACEHOLDER),
+    "bullets": _bullets,
+    "placeholders": _placeholders,
     "capital_words": _capitals,
 }
+COMPARISONS: dict[str, Callable[[Column, Column], Column]] = {
+    "min": lambda found, wanted: found >= wanted,
+    "max": lambda found, wanted: found <= wanted,
+    "n": lambda found, wanted: found == wanted,
+}
 
-PREDICATES: dict[str, Rule] = {
-    "contains": lambda text, arg: F.contains(F.lower(text), F.lower(arg)),
-    "forbids": lambda text, arg: ~F.contains(F.lower(text), F.lower(arg)),
-    "contains_all": lambda text, arg: F.forall(
-        F.split(F.lower(arg), ","), lambda word: F.contains(F.lower(text), word)
+#: Of a text, the text in small letters, and the argument.
+PREDICATES: dict[str, Callable[[Column, Column, Column], Column]] = {
+    "contains": lambda text, lower, arg: F.contains(lower, F.lower(arg)),
+    "forbids": lambda text, lower, arg: ~F.contains(lower, F.lower(arg)),
+    "contains_all": lambda text, lower, arg: F.forall(
+        F.split(F.lower(arg), ","), lambda word: F.contains(lower, word)
     ),
-    "starts_with": lambda text, arg: F.startswith(F.lower(F.trim(text)), F.lower(arg)),
-    "ends_with": lambda text, arg: F.endswith(F.lower(F.trim(text)), F.lower(arg)),
-    "all_lower": lambda text, arg: text == F.lower(text),
-    "all_upper": lambda text, arg: text == F.upper(text),
-    "no_comma": lambda text, arg: ~F.contains(text, F.lit(",")),
-    "title": lambda text, arg: F.regexp_like(text, F.lit(TITLE)),
-    "valid_json": lambda text, arg: F.try_parse_json(text).isNotNull(),
+    "starts_with": lambda text, lower, arg: F.startswith(F.trim(lower), F.lower(arg)),
+    "ends_with": lambda text, lower, arg: F.endswith(F.trim(lower), F.lower(arg)),
+    "all_lower": lambda text, lower, arg: text == lower,
+    "all_upper": lambda text, lower, arg: text == F.upper(text),
+    "no_comma": lambda text, lower, arg: ~F.contains(text, F.lit(",")),
+    "title": lambda text, lower, arg: _title(text),
+    "valid_json": lambda text, lower, arg: F.try_parse_json(text).isNotNull(),
+    "keyword_count": _keyword_count,
 }
 
 
-def _compared(measure: Callable[[Column], Column], how: str) -> Rule:
-    def rule(text: Column, arg: Column) -> Column:
-        found, wanted = measure(text), arg.try_cast("long")
-        held = {"min": found >= wanted, "max": found <= wanted, "n": found == wanted}[how]
-        return text.isNotNull() & held
+def measures(text: Column) -> dict[str, Column]:
+    """What the kinds ask of a text, to be computed once for all of them."""
+    return {"lower": F.lower(text)} | {name: measure(text) for name, measure in MEASURES.items()}
 
-    return rule
 
+def verdicts(text: Column, found: dict[str, Column], argument: Callable[[str], Column]) -> dict[str, Column]:
+    """The verdict of every kind, from measures that are columns already."""
+    held = {
+        f"{how}_{name}": text.isNotNull() & compare(found[name], argument(f"{how}_{name}").try_cast("long"))
+        for name in MEASURES
+        for how, compare in COMPARISONS.items()
+    } | {kind: rule(text, found["lower"], argument(kind)) for kind, rule in PREDICATES.items()}
+    return {kind: F.coalesce(passed, F.lit(False)) for kind, passed in held.items()}
 
-def _keyword_count(text: Column, arg: Column) -> Column:
-    """The argument is a word and how often it must stand at least: ``word:3``."""
-    least = F.regexp_extract(arg, r"^(.*):(\d+)$", 2).try_cast("long")
-    return _occurrences(text, F.regexp_extract(arg, r"^(.*):(\d+)$", 1)) >= least
+
+def _compared(measure: Callable[[Column], Column], compare: Callable[[Column, Column], Column]) -> Rule:
+    return lambda text, arg: text.isNotNull() & compare(measure(text), arg.try_cast("long"))
+
+
+def _predicate(rule: Callable[[Column, Column, Column], Column]) -> Rule:
+    return lambda text, arg: rule(text, F.lower(text), arg)
 
 
 KINDS: dict[str, Rule] = {
-    **{f"{how}_{name}": _compared(m, how) for name, m in MEASURES.items() for how in ("min", "max", "n")},
-    **PREDICATES,
-    "keyword_count": _keyword_count,
+    **{f"{how}_{name}": _compared(m, c) for name, m in MEASURES.items() for how, c in COMPARISONS.items()},
+    **{kind: _predicate(rule) for kind, rule in PREDICATES.items()},
 }
 
 
 def catalogue(*kinds: str) -> RuleBook:
     """A rule book of the kinds named, or of all of them."""
     book = RuleBook()
-    for kind in kinds or KINDS:
-        book.column(kind, KINDS[kind])
+    for kind in kinds or [*KINDS, MATCHES]:
+        if kind == MATCHES:
+            book.matching(kind)
+        else:
+            book.column(kind, KINDS[kind])
     return book

@@ -2,94 +2,51 @@
 
 A constraint carries a list of ``struct(kind, arg)``. Each kind is registered by the
 author of the job, as a column expression or as a Python function. Text that arrives as
-data is never executed. A rule passes only with a clear true: unknown kinds, NULL, errors
+data is never executed; a pattern that does is run by an automaton. A rule passes only with a clear true: unknown kinds, NULL, errors
 and timeouts fail.
 """
 
 from __future__ import annotations
 
-import inspect
-import multiprocessing
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
+from pyspark.cloudpickle import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from turnloom.operators.patterns import patterns_match
+from turnloom.operators.verifiers import ask
+
 # Fixed value: seconds a Python rule may take.
 TIME_LIMIT = 10.0
 
 
-def _answers(pipe, rules: dict[str, tuple[Callable, frozenset[str]]]) -> None:
-    """Serve verdicts in a process of its own until the other end closes."""
-    while True:
-        try:
-            kind, response, placeholder = pipe.recv()
-        except EOFError:
-            return
-        rule, wanted = rules[kind]
-        offered = (("response", response), ("placeholder", placeholder))
-        try:
-            verdict = rule(**{n: v for n, v in offered if n in wanted and (n == "response" or v is not None)})
-            passed = str(verdict).strip().lower() == "true"
-        except (Exception, SystemExit):
-            passed = False
-        pipe.send(passed)
-
-
-class RuleProcess:
-    """Runs Python rules in a helper process, which is ended where a rule takes too long.
-
-    Ending the process stops native code too. A rule passes only with a clear true: errors,
-    exits, a lost helper and a timeout fail it. Without a limit rules run the same way.
-    """
-
-    def __init__(self, rules: dict[str, tuple[Callable, frozenset[str]]], seconds: float | None) -> None:
-        self.rules, self.seconds = rules, seconds
-        self.helper = self.pipe = None
-
-    def passes(self, kind: str, response: str, placeholder: str | None) -> bool:
-        if self.helper is None:
-            context = multiprocessing.get_context("fork")
-            self.pipe, other = context.Pipe()
-            self.helper = context.Process(target=_answers, args=(other, self.rules), daemon=True)
-            self.helper.start()
-            other.close()
-        try:
-            self.pipe.send((kind, response, placeholder))
-            if self.pipe.poll(self.seconds):
-                return self.pipe.recv()
-        except (EOFError, OSError):
-            pass
-        self.close()
-        return False
-
-    def close(self) -> None:
-        if self.helper is not None:
-            self.pipe.close()
-            self.helper.kill()
-            self.helper.join()
-            self.helper = self.pipe = None
-
-
-def wanted_names(rule: Callable) -> frozenset[str]:
-    """The arguments a rule takes; one whose signature cannot be read takes the response."""
+def _packed(rules: dict[str, Callable]) -> bytes:
+    """The rules as bytes; functions go with what they use where that can be pickled, so that a
+    helper need not import the modules they stand in."""
+    modules = {sys.modules[rule.__module__] for rule in rules.values() if getattr(rule, "__module__", None) in sys.modules}
+    own = [m for m in modules if m.__name__ not in ("__main__", *cloudpickle.list_registry_pickle_by_value())]
+    for module in own:
+        cloudpickle.register_pickle_by_value(module)
     try:
-        return frozenset(inspect.signature(rule).parameters)
-    except (TypeError, ValueError):
-        return frozenset(("response",))
+        return cloudpickle.dumps(rules)
+    except Exception:
+        pass
+    finally:
+        for module in own:
+            cloudpickle.unregister_pickle_by_value(module)
+    return cloudpickle.dumps(rules)
 
 
 def rule_passes(
     function: Callable, response: str, placeholder: str | None, seconds: float | None = TIME_LIMIT
 ) -> bool:
     """Does a Python rule pass? It is given the arguments it names and no others."""
-    process = RuleProcess({"": (function, wanted_names(function))}, seconds)
-    try:
-        return process.passes("", response, placeholder)
-    finally:
-        process.close()
+    rules = _packed({"": function})
+    return ask(rules, seconds, [("", response, placeholder)])[0]
 
 
 @dataclass
@@ -97,7 +54,8 @@ class RuleBook:
     """Registered rules by kind."""
 
     native: dict[str, Callable[[Column, Column], Column]] = field(default_factory=dict)
-    python: dict[str, tuple[Callable, frozenset[str]]] = field(default_factory=dict)
+    python: dict[str, Callable] = field(default_factory=dict)
+    patterns: set[str] = field(default_factory=set)
     seconds: float | None = TIME_LIMIT
 
     def column(self, kind: str, rule: Callable[[Column, Column], Column]) -> RuleBook:
@@ -109,15 +67,21 @@ class RuleBook:
         return self
 
     def function(self, kind: str, rule: Callable) -> RuleBook:
-        """Register a Python function of ``response`` and, if it wants one, ``placeholder``."""
-        self.python[kind] = (rule, wanted_names(rule))
+        """Register a Python function of ``response`` and, if it wants one, ``placeholder``; it may
+        be a coroutine function."""
+        self.python[kind] = rule
+        return self
+
+    def matching(self, kind: str) -> RuleBook:
+        """Register a kind whose argument is a pattern that must match somewhere in the response."""
+        self.patterns.add(kind)
         return self
 
     def verdict(self, kind: Column, response: Column, arg: Column) -> Column:
-        """The verdict of one column rule; Python rules count as passed here."""
+        """The verdict of one column rule; Python rules and patterns count as passed here."""
         result = F.lit(False)
-        if self.python:
-            result = F.when(kind.isin(*self.python), True).otherwise(result)
+        if self.python or self.patterns:
+            result = F.when(kind.isin(*self.python, *self.patterns), True).otherwise(result)
         for name, rule in self.native.items():
             passed = F.coalesce(rule(response, arg), F.lit(False))
             result = F.when(kind == name, passed).otherwise(result)
@@ -131,27 +95,38 @@ class RuleBook:
             lambda r: self.verdict(r["kind"], response, F.coalesce(placeholder, r["arg"])),
         )
         held = F.coalesce(held, F.lit(True))
+        if self.patterns:
+            held &= self._patterns_hold(response, rules, placeholder)
         return held & self._functions_hold(response, rules, placeholder) if self.python else held
 
-    def _functions_hold(self, response: Column, rules: Column, placeholder: Column) -> Column:
-        """The Python rules of each row, in Arrow batches; other rows send only NULLs."""
-        functions, seconds = dict(self.python), self.seconds
-        wanted = F.filter(rules, lambda r: r["kind"].isin(*functions))
+    def _patterns_hold(self, response: Column, rules: Column, placeholder: Column) -> Column:
+        """The patterns of each row, in Arrow batches; other rows send only NULLs."""
+        wanted = F.filter(rules, lambda r: r["kind"].isin(*self.patterns))
         asked = F.size(wanted) > 0
-        kinds = F.transform(wanted, lambda r: r["kind"])
         args = F.transform(wanted, lambda r: F.coalesce(placeholder, r["arg"]))
+        return patterns_match(F.when(asked, response), F.when(asked, args))
+
+    def _functions_hold(self, response: Column, rules: Column, placeholder: Column) -> Column:
+        """The Python rules of each row, a batch at a time; other rows send only NULLs."""
+        packed, seconds = _packed(self.python), self.seconds
+        wanted = F.filter(rules, lambda r: r["kind"].isin(*self.python))
+        asked = F.size(wanted) > 0
+        questions = F.transform(
+            wanted, lambda r: F.struct(r["kind"].alias("kind"), F.coalesce(placeholder, r["arg"]).alias("arg"))
+        )
 
-        @F.pandas_udf("boolean")
-        def run(texts: pd.Series, kinds: pd.Series, args: pd.Series) -> pd.Series:
-            process = RuleProcess(functions, seconds)
-            try:
-                held = [
-                    names is None or all([process.passes(k, text, a) for k, a in zip(names, values)])
-                    for text, names, values in zip(texts, kinds, args)
+        @F.arrow_udf("boolean")
+        def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            for texts, lists in batches:
+                asked = [
+                    (row, (q["kind"], text, q["arg"]))
+                    for row, (text, wanted) in enumerate(zip(texts.to_pylist(), lists.to_pylist()))
+                    for q in wanted or ()
                 ]
-            finally:
-                process.close()
-            return pd.Series(held, dtype="boolean")
+                verdicts = ask(packed, seconds, [question for _, question in asked])
+                held = [True] * len(texts)
+                for (row, _), passed in zip(asked, verdicts):
+                    held[row] &= passed
+                yield pa.array(held, pa.bool_())
 
-        only = lambda column: F.when(asked, column)
-        return run(only(response), only(kinds), only(args))
+        return run(F.when(asked, response), F.when(asked, questions))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from turnloom.operators.judge import CONSTRAINT_PROMPT, HELPFULNESS_PROMPT
 from turnloom.operators.packing import BLOCK
-from turnloom.plans.queries import BUDGET, EPOCHS, LONGEST, MAX_TURNS, PACK, SAMPLES, argument
+from turnloom.plans.queries import BUDGET, EPOCHS, ESCAPES, LONGEST, MAX_TURNS, PACK, PATTERNS, SAMPLES, argument
 
 
 def quoted(text: str) -> str:
@@ -219,9 +219,17 @@ vocab AS (
   UNION ALL VALUES ('<|im_start|>', 0), ('<|im_end|>', 1))
 """
 
-DRESSED = """CASE doc_id % 8 WHEN 0 THEN text WHEN 1 THEN '<<A title>>' || chr(10) || chr(10) || text
-    WHEN 2 THEN 'ALL IN CAPITALS ' || doc_id WHEN 3 THEN 'all in small letters ' || doc_id
-    WHEN 4 THEN '* one' || chr(10) || '  - two' || chr(10) || text WHEN 5 THEN '{"id": ' || doc_id || '}'
+def _escaped() -> str:
+    found = "text"
+    for mark, written in ESCAPES.items():
+        found = f"replace({found}, chr({ord(mark)}), {quoted(written)})"
+    return found
+
+
+DRESSED = f"""CASE doc_id % 8 WHEN 0 THEN text WHEN 1 THEN '<<A title>>' || chr(10) || chr(10) || text
+    WHEN 2 THEN upper(replace(text, 'ß', 'ss')) WHEN 3 THEN lower(text)
+    WHEN 4 THEN '* one' || chr(10) || '  - two' || chr(10) || text
+    WHEN 5 THEN '{{"text": "' || {_escaped()} || '"}}'
     WHEN 6 THEN text || chr(10) || ' ' || chr(10) || 'Write to [name] at [place].'
     ELSE replace(text, ',', '') END"""
 
@@ -554,4 +562,10 @@ packed AS (
   FROM packed p JOIN numbered r ON r.ix = p.ix + 1 AND r.ix % {BLOCK} <> 0)
 SELECT conv_id, n_tokens, ix // {BLOCK} * {BLOCK} + place AS pack_id FROM packed""",
     "rule_catalogue": catalogue_sql(),
+    "pattern_rules": f"""
+SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '')) >= 20
+  AND CASE doc_id % {len(PATTERNS)}
+    {' '.join(f"WHEN {k} THEN regexp_matches(text, {quoted(p)})" for k, p in enumerate(PATTERNS[:-2]))}
+    ELSE false END AS ok
+FROM documents""",
 }

@@ -7,6 +7,8 @@ the table and an SQL statement can derive the same ones.
 
 from __future__ import annotations
 
+import asyncio
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from turnloom.functions.tokens import PIECES
 from turnloom.operators import keep, lossmask, order, pool, readouts, records, reward, trajectory, vocab
 from turnloom.operators.judge import CONSTRAINT, HELPFULNESS, judge_requests
 from turnloom.operators.packing import epochs, packs
-from turnloom.operators.rulekinds import KINDS, catalogue
+from turnloom.operators.rulekinds import catalogue, measures, verdicts
 from turnloom.operators.rules import RuleBook
 from turnloom.operators.turns import gather, with_running_total
 from turnloom.plans.scoring import record_rewards
@@ -836,44 +838,70 @@ def token_packing(spark, sf):
     return packs(sizes, ["conv_id"], "n_tokens", PACK, seed=7)
 
 
+# Fixed value: what JSON escapes in strings; the backslash comes first.
+ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+
+
 def dressed(key: Column, text: Column) -> Column:
-    """Texts, most of them with a mark that depends on the key: titles, lists, JSON, case."""
+    """The whole text, by the key with a mark around it: titles, lists, places, JSON, case."""
+    escaped = text
+    for mark, written in ESCAPES.items():
+        escaped = F.replace(escaped, F.lit(mark), F.lit(written))
     forms = [
         text,
         F.concat(F.lit("<<A title>>\n\n"), text),
-        F.concat(F.lit("ALL IN CAPITALS "), key.cast("string")),
-        F.concat(F.lit("all in small letters "), key.cast("string")),
+        F.upper(F.replace(text, F.lit("ß"), F.lit("ss"))),
+        F.lower(text),
         F.concat(F.lit("* one\n  - two\n"), text),
-        F.concat(F.lit('{"id": '), key.cast("string"), F.lit("}")),
+        F.concat(F.lit('{"text": "'), escaped, F.lit('"}')),
         F.concat(text, F.lit("\n \nWrite to [name] at [place].")),
         F.replace(text, F.lit(","), F.lit("")),
     ]
-    return F.element_at(F.array(*forms), (F.pmod(key, F.lit(8)) + 1).cast("int"))
+    chosen = forms[-1]
+    for k, form in enumerate(forms[:-1]):
+        chosen = F.when(F.pmod(key, F.lit(len(forms))) == k, form).otherwise(chosen)
+    return chosen
 
 
 def rule_catalogue(spark, sf):
-    """How many documents pass a rule of each kind."""
-    book = catalogue()
+    """How many documents pass a rule of each kind; measures of a text are taken once."""
     responses = documents(spark, sf).select(dressed(F.col("doc_id"), F.col("text")).alias("response"))
-    verdicts = [
-        F.count_if(F.coalesce(book.native[kind](F.col("response"), F.lit(argument(kind))), F.lit(False))).alias(kind)
-        for kind in KINDS
-    ]
-    counted = responses.agg(F.count(F.lit(1)).alias("n_rows"), *verdicts)
-    rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n_passed")) for k in KINDS])
+    found = measures(F.col("response"))
+    measured = responses.select("response", *[column.alias(name) for name, column in found.items()])
+    held = verdicts(F.col("response"), {name: F.col(name) for name in found}, lambda kind: F.lit(argument(kind)))
+    counted = measured.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(ok).alias(kind) for kind, ok in held.items()])
+    rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n_passed")) for k in held])
     return counted.select("n_rows", F.inline(rows))
 
 
+# Patterns as constraint rows bring them: by id modulo their number. The last two are none that an
+# automaton can run.
+PATTERNS = [r"(?i)the\b.*\bof", r"^\p{Lu}\w+", r"(a+)+$", r"[.!?]\s*$", r"\d{3}", r"(\w)\1", r"a(?=b)"]
+
+
+def pattern_rules(spark, sf):
+    """Constraints whose argument is a pattern, over whole documents; bad patterns fail."""
+    book = catalogue("matches", "min_words")
+    pattern = F.element_at(F.array(*[F.lit(p) for p in PATTERNS]), (F.pmod("doc_id", F.lit(len(PATTERNS))) + 1).cast("int"))
+    rules = F.array(
+        F.struct(F.lit("matches").alias("kind"), pattern.alias("arg")),
+        F.struct(F.lit("min_words").alias("kind"), F.lit("20").alias("arg")),
+    )
+    held = book.all_hold(F.col("text"), F.col("rules"), F.lit(None).cast("string"))
+    return documents(spark, sf).select("doc_id", "text", rules.alias("rules")).select("doc_id", held.alias("ok"))
+
+
 def _ends_with_stop(response):
     return response.rstrip().endswith((".", "!", "?"))
 
 
-def _at_least(response, placeholder):
+async def _at_least(response, placeholder):
+    await asyncio.sleep(0)
     return len(response.split(" ")) >= int(placeholder)
 
 
 def registered_verifier(spark, sf):
-    """Constraints whose rules are registered Python functions; a bad argument fails."""
+    """Constraints whose rules are registered Python functions, one of them a coroutine; a bad argument fails."""
     book = RuleBook().function("ends", _ends_with_stop).function("at_least", _at_least)
     turns = ranked(conversations(spark, sf), "assistant")
     rules = F.array(
@@ -943,4 +971,5 @@ QUERIES = {
     "epoch_batches": epoch_batches,
     "token_packing": token_packing,
     "rule_catalogue": rule_catalogue,
+    "pattern_rules": pattern_rules,
 }
