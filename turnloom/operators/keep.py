@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, StructType, VariantType
 
 from turnloom.functions.arrays import let
 from turnloom.functions.text import word_count
-from turnloom.operators.turns import with_running_total
+from turnloom.operators.turns import FIRST_BLOCK, block_of, same
 
 # Fixed value: words allowed before the last message.
 WORD_BUDGET = 2024
@@ -98,33 +98,83 @@ def keep_records(
 
 # One row per turn
 
+#: What the filters ask of a conversation.
+MEASURES = ("n_messages", "n_words_before_last", "roles_ok", "content_ok")
+
 
 def turn_measures(
-    turns: DataFrame, key: str, position: str, role: str = "role", content: str = "text"
+    turns: DataFrame,
+    key: str,
+    position: str,
+    role: str = "role",
+    content: str = "text",
+    wanted: tuple[str, ...] = MEASURES,
 ) -> DataFrame:
     """What the filters ask of a conversation, in scalars; no text is shuffled.
 
-    Roles alternate by a message's rank among the positions of its conversation, so positions
-    may begin anywhere and have gaps.
+    One aggregate that combines map-side gives all measures ``wanted``; only the order of
+    roles needs marks of each turn. Turns with a NULL key are one conversation; a NULL position
+    comes first.
     """
     variant = isinstance(turns.schema[content].dataType, VariantType)
     body = F.col(content)
     typed = is_text(body, variant)
-    scalars = turns.select(
-        key,
-        position,
-        F.col(role).alias("_role"),
-        F.when(typed, word_count(text_of(body, variant))).otherwise(0).alias("_words"),
-        typed.alias("_typed"),
-    )
-    ranked = with_running_total(scalars, key, position, F.lit(1), "_rank")
-    return ranked.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_messages"),
-        (F.sum("_words") - F.max_by("_words", position)).alias("n_words_before_last"),
-        F.bool_and(F.col("_role").eqNullSafe(expected_role(F.col("_rank")))).alias("roles_ok"),
-        F.bool_and("_typed").alias("content_ok"),
+    words = F.when(typed, word_count(text_of(body, variant))).otherwise(0)
+    at = F.coalesce(F.col(position).cast("long"), F.lit(FIRST_BLOCK))
+    mark = F.when(F.col(role) == "user", 0).when(F.col(role) == "assistant", 1).otherwise(2)
+    by_block = "roles_ok" in wanted
+    blocks = turns.groupBy(key, *[block_of(at).alias("_block")] * by_block)
+    partial = {
+        "n_messages": [F.count(F.lit(1)).alias("_n")],
+        "n_words_before_last": [
+            F.sum(words).alias("_words"),
+            F.max_by(words, at).alias("_last"),
+            F.max(at).alias("_at"),
+        ],
+        "content_ok": [F.bool_and(typed).alias("_typed")],
+        "roles_ok": [F.collect_list(F.struct(at.alias("at"), mark.alias("mark"))).alias("_marks")],
+    }
+    found = blocks.agg(*[column for name in wanted for column in partial[name]])
+    if by_block:
+        return _over_blocks(found, key, wanted)
+    whole = {
+        "n_messages": F.col("_n"),
+        "n_words_before_last": F.col("_words") - F.col("_last"),
+        "content_ok": F.col("_typed"),
+    }
+    return found.select(key, *[whole[name].alias(name) for name in wanted])
+
+
+def _over_blocks(blocks: DataFrame, key: str, wanted: tuple[str, ...]) -> DataFrame:
+    """Measures of conversations from those of their blocks of positions.
+
+    A block's marks are judged in it, once as if it began at an even rank and once at an odd
+    one, and a block is one small row in its conversation. So positions may begin anywhere and
+    have gaps, and a conversation may have any length.
+    """
+
+    def fits(first: int) -> Column:
+        alternate = F.transform(F.sort_array("_marks"), lambda m, i: m["mark"] == (i + first) % 2)
+        return F.forall(alternate, lambda ok: ok)
+
+    part = F.struct(
+        F.col("_block").alias("at"), F.size("_marks").alias("n"), fits(0).alias("even"), fits(1).alias("odd")
     )
 
+    def step(state: Column, part: Column) -> Column:
+        ok = state["ok"] & F.when(state["n"] % 2 == 0, part["even"]).otherwise(part["odd"])
+        return F.struct((state["n"] + part["n"]).alias("n"), ok.alias("ok"))
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("ok"))
+    whole = {
+        "n_messages": F.sum("_n"),
+        "n_words_before_last": F.sum("_words") - F.max_by("_last", "_at"),
+        "content_ok": F.bool_and("_typed"),
+        "roles_ok": F.sort_array(F.collect_list(part)),
+    }
+    found = blocks.groupBy(key).agg(*[whole[name].alias(name) for name in wanted])
+    return found.withColumn("roles_ok", F.aggregate("roles_ok", start, step, lambda state: state["ok"]))
+
 
 def keep_turns(
     turns: DataFrame,
@@ -139,28 +189,30 @@ def keep_turns(
 
     First the measures, in scalars; then the turns of kept conversations are gathered. A
     message has at least one word, so a kept conversation has no more messages than the
-    budget has words.
+    budget has words. A NULL key is one conversation.
     """
     limit = F.col("n_messages") <= 2 * max_turns if max_turns else F.lit(True)
+    turns = turns.withColumn("_key", same(key))
     kept = (
-        turn_measures(turns, key, position, role, content)
+        turn_measures(turns, "_key", position, role, content)
         .filter(
             limit & F.col("roles_ok") & F.col("content_ok") & (F.col("n_words_before_last") < budget)
         )
-        .select(key, "n_messages", "n_words_before_last")
+        .select("_key", "n_messages", "n_words_before_last")
     )
     message = F.struct(
         F.col(position).alias("at"), F.col(role).alias("role"), F.col(content).alias("content")
     )
-    gathered = turns.join(kept, key).groupBy(key, "n_messages", "n_words_before_last")
+    gathered = turns.join(kept, "_key").groupBy("_key", "n_messages", "n_words_before_last")
     gathered = gathered.agg(F.collect_list(message).alias("_gathered"))
     # VARIANT has no order, so untyped content is sorted by position alone.
     if isinstance(turns.schema[content].dataType, VariantType):
-        ordered = F.array_sort("_gathered", lambda a, b: F.signum((a["at"] - b["at"]).cast("double")).cast("int"))
+        place = lambda m: F.coalesce(m["at"].cast("long"), F.lit(FIRST_BLOCK))
+        ordered = F.array_sort("_gathered", lambda a, b: F.signum(place(a) - place(b)).cast("int"))
     else:
         ordered = F.sort_array("_gathered")
     return gathered.select(
-        key,
+        F.col("_key")[key].alias(key),
         "n_messages",
         "n_words_before_last",
         F.transform(

@@ -527,6 +527,14 @@ SELECT id, CASE WHEN id = '3' THEN 'soft' ELSE 'hard' END AS verifier_type,
   CAST(count(*) AS BIGINT) AS n_checks, CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS n_passed,
   CAST(count(*) FILTER (WHERE ok) AS DOUBLE) / count(*) AS pass_rate
 FROM checks GROUP BY 1, 2""",
+    "pass_rate_rollup": f"""
+WITH checks AS (
+  SELECT *, CASE WHEN id = '3' THEN 'soft' ELSE 'hard' END AS verifier_type FROM ({ORACLES["rule_results"]}))
+SELECT verifier_type, id, turn_ix,
+  CAST(3 - grouping(verifier_type) - grouping(id) - grouping(turn_ix) AS BIGINT) AS level,
+  CAST(count(*) AS BIGINT) AS n_checks, CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS n_passed,
+  CAST(count(*) FILTER (WHERE ok) AS DOUBLE) / count(*) AS pass_rate
+FROM checks GROUP BY ROLLUP (verifier_type, id, turn_ix)""",
     "fanout": f"""
 WITH heads AS ({ORACLES["prompt_heads"]})
 SELECT conv_id, prompt, sample_ix FROM heads, range({SAMPLES}) AS r(sample_ix)""",

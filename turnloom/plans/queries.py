@@ -71,19 +71,19 @@ def bits(mask: Column) -> Column:
 
 
 def filter_turn_limit(spark, sf):
-    measures = keep.turn_measures(conversations(spark, sf), "conv_id", "turn")
+    measures = keep.turn_measures(conversations(spark, sf), "conv_id", "turn", wanted=("n_messages",))
     return measures.filter(F.col("n_messages") <= 2 * MAX_TURNS).select("conv_id", "n_messages")
 
 
 def filter_word_budget(spark, sf):
-    measures = keep.turn_measures(conversations(spark, sf), "conv_id", "turn")
+    measures = keep.turn_measures(conversations(spark, sf), "conv_id", "turn", wanted=("n_words_before_last",))
     return measures.filter(F.col("n_words_before_last") < BUDGET).select(
         "conv_id", "n_words_before_last"
     )
 
 
 def filter_role_alternation(spark, sf):
-    measures = keep.turn_measures(conversations(spark, sf), "conv_id", "turn")
+    measures = keep.turn_measures(conversations(spark, sf), "conv_id", "turn", wanted=("roles_ok",))
     return measures.filter("roles_ok").select("conv_id")
 
 
@@ -100,7 +100,8 @@ def untyped_turns(spark, sf) -> DataFrame:
 
 
 def filter_content_type(spark, sf):
-    measures = keep.turn_measures(untyped_turns(spark, sf), "conv_id", "turn", content="content")
+    wanted = ("n_messages", "content_ok")
+    measures = keep.turn_measures(untyped_turns(spark, sf), "conv_id", "turn", content="content", wanted=wanted)
     return measures.filter("content_ok").select("conv_id", "n_messages")
 
 
@@ -782,6 +783,11 @@ def pass_rate(spark, sf):
     return readouts.pass_rates(scored(spark, sf), "id", "verifier_type")
 
 
+def pass_rate_rollup(spark, sf):
+    """Pass rates by type of constraint, constraint and turn, and by every coarser grouping."""
+    return readouts.pass_rate_cube(scored(spark, sf), "verifier_type", "id", "turn_ix")
+
+
 SAMPLES = 4
 LONGEST = 300
 
@@ -965,6 +971,7 @@ QUERIES = {
     "record_reward": record_reward,
     "registered_verifier": registered_verifier,
     "pass_rate": pass_rate,
+    "pass_rate_rollup": pass_rate_rollup,
     "fanout": fanout,
     "group_advantage": group_advantage,
     "length_flag": length_flag,
