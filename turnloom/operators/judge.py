@@ -53,9 +53,9 @@ def judge_prompt(prompt: str, constraint: Column, response: Column) -> Column:
     return F.concat(F.lit(head), constraint, F.lit(middle), response, F.lit(end))
 
 
-def selected(keys: list[str], rate: float, seed: int = 0) -> Column:
+def selected(keys: list[str | Column], rate: float, seed: int = 0) -> Column:
     """True for a share ``rate`` of the keys; the same rows on every run."""
-    digest = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+    digest = F.md5(F.concat_ws(":", *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys], F.lit(str(seed))))
     share = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
     return share < F.lit(float(rate))
 

@@ -521,6 +521,11 @@ FROM spoken""",
 }
 
 ORACLES |= {
+    "array_reward": f"""
+SELECT sample_id, CASE WHEN sample_id % 10 = 3 AND EXISTS (
+    SELECT 1 FROM conversations c WHERE c.conv_id = r.sample_id AND c.role = 'assistant')
+  THEN 0.0::DOUBLE ELSE reward END AS reward
+FROM ({ORACLES["turn_reward"]}) r""",
     "pass_rate": f"""
 WITH checks AS ({ORACLES["rule_results"]})
 SELECT id, CASE WHEN id = '3' THEN 'soft' ELSE 'hard' END AS verifier_type,

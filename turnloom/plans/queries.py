@@ -17,6 +17,7 @@ from turnloom.functions.template import CHATML, ChatTemplate, payload_flags
 from turnloom.functions.text import judge_verdict, rule_verdict, tag_content, word_count
 from turnloom.functions.tokens import PIECES
 from turnloom.operators import keep, lossmask, order, pool, readouts, records, reward, trajectory, vocab
+from turnloom.operators.arrayreward import array_rewards
 from turnloom.operators.judge import CONSTRAINT, HELPFULNESS, judge_requests
 from turnloom.operators.packing import epochs, packs
 from turnloom.operators.rulekinds import catalogue, measures, verdicts
@@ -779,6 +780,33 @@ def record_reward(spark, sf):
     return record_rewards(samples, constraint_table(spark), rule_book())
 
 
+def array_reward(spark, sf):
+    """Rewards of whole conversations in their rows, judge replies beside them; every tenth
+    conversation lacks its last list."""
+    spoken = F.filter("messages", lambda m: m["role"] == "assistant")
+    lists = F.transform(spoken, lambda m, k: verifier_list(k))
+    fewer = F.slice(lists, F.lit(1), F.greatest(F.size(lists) - 1, F.lit(0)))
+
+    def reply(k: Column) -> Column:
+        draw = F.pmod(F.col("conv_id") * 7 + k * 3, F.lit(5))
+        text = F.when(draw == 0, "<answer>no</answer>").when(draw == 2, "none").when(draw > 2, "<answer> YES </answer>")
+        return F.struct(
+            k.cast("long").alias("turn_ix"), F.lit("3").alias("constraint_id"), F.lit(CONSTRAINT).alias("kind"), text.alias("verdict_text")
+        )
+
+    replies = F.filter(
+        F.transform(spoken, lambda m, k: reply(k)), lambda j: F.pmod(F.col("conv_id") + j["turn_ix"], F.lit(11)) != 0
+    )
+    samples = whole(spark, sf).select(
+        F.col("conv_id").alias("sample_id"),
+        CHATML.render(F.slice("messages", 1, 1)).alias("prompt"),
+        CHATML.render(F.slice("messages", F.lit(2), F.size("messages"))).alias("response"),
+        F.when(F.pmod("conv_id", F.lit(10)) == 3, fewer).otherwise(lists).alias("verifier"),
+        replies.alias("replies"),
+    )
+    return array_rewards(samples, constraint_table(spark), rule_book(), judgements="replies")
+
+
 def pass_rate(spark, sf):
     return readouts.pass_rates(scored(spark, sf), "id", "verifier_type")
 
@@ -970,6 +998,7 @@ QUERIES = {
     "conversation_reward": conversation_reward,
     "record_reward": record_reward,
     "registered_verifier": registered_verifier,
+    "array_reward": array_reward,
     "pass_rate": pass_rate,
     "pass_rate_rollup": pass_rate_rollup,
     "fanout": fanout,
