@@ -18,11 +18,19 @@ def connect(sf: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+def plain(value):
+    """None for what is missing, whole numbers without a fraction; frames differ in both."""
+    if pd.isna(value):
+        return None
+    value = value.item() if hasattr(value, "item") else value
+    return int(value) if isinstance(value, float) and value.is_integer() else value
+
+
 def canonical(frame: pd.DataFrame) -> pd.DataFrame:
     """Columns and rows sorted, every missing value None."""
     frame = frame[sorted(frame.columns)]
     rows = [
-        tuple(None if pd.isna(value) else value for value in row)
+        tuple(plain(value) for value in row)
         for row in frame.itertuples(index=False, name=None)
     ]
     return pd.DataFrame(sorted(rows, key=repr), columns=frame.columns, dtype=object)

@@ -87,3 +87,17 @@ def pieces_under_mask(tokens: Column, mask: Column) -> Column:
         )
 
     return let(F.struct(tokens.alias("tokens"), mask.alias("mask")), cut)
+
+
+def mask_runs(tokens: Column, mask: Column) -> Column:
+    """All maximal runs of equal mask bits, in order, as ``struct(bit, tokens)``."""
+
+    def cut(pair: Column) -> Column:
+        bit = lambda i: (F.get(pair["mask"], i) == 1).cast("int")
+        size = F.size(pair["mask"])
+        firsts = F.filter(indexes(size), lambda i: (i == 0) | (bit(i) != bit(i - 1)))
+        ends = F.concat(F.filter(firsts, lambda i: i > 0), F.array(size))
+        run = lambda s, e: F.struct(bit(s).alias("bit"), F.slice(pair["tokens"], s + 1, e - s).alias("tokens"))
+        return F.when(size > 0, F.zip_with(firsts, ends, run))
+
+    return let(F.struct(tokens.alias("tokens"), mask.alias("mask")), cut)

@@ -30,6 +30,11 @@ class PieceTokenizer:
 
     specials: tuple[str, ...] = (START, END)
 
+    #: Whether a token may hold parts of two turns.
+    @property
+    def crosses_turns(self) -> bool:
+        return False
+
     def _pattern(self, escape: Callable[[str], str]) -> str:
         heads = "".join(sorted({escape(s[0]) for s in self.specials}))
         branches = [escape(s) for s in self.specials]
@@ -63,10 +68,13 @@ class FunctionTokenizer:
 
     ``load`` is called once per Python worker and returns ``(encode, decode)``, which map
     a list of texts to a list of id lists and back; heavy models stay out of the plan.
+    ``crosses_turns`` says whether a token may hold parts of two turns, or depend on what
+    stands beside; loss masks then look at messages beside others.
     """
 
     load: Callable[[], tuple[Callable, Callable]]
     added_tokens: tuple[str, ...] = ()
+    crosses_turns: bool = True
 
     def _worker(self) -> Callable[[], tuple[Callable, Callable]]:
         load, held = self.load, []

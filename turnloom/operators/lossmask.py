@@ -23,6 +23,9 @@ QWEN = "qwen"
 QWEN3 = "qwen3"
 DISTILL = "distill_qwen"
 DISTILL_TOKEN = "<｜Assistant｜>"
+# The user turns that messages are rendered beside, where tokens may cross the border.
+BESIDE = "FOR CALCULATING LOSS MASK ONLY"
+BEFORE_ANSWER = "hello world"
 
 
 def mask_kind(kind: str, tokenizer) -> str:
@@ -41,8 +44,19 @@ def _overhead(kind: str, template: ChatTemplate, tokenizer) -> tuple[int, int]:
     return prefix, header
 
 
-def _segment(text: Column, lead: int, learn: Column) -> Column:
-    return F.struct(text.alias("text"), F.lit(lead).alias("lead"), learn.alias("learn"))
+def _segment(text: Column, lead: int, learn: Column, front: Column | int = 0, back: Column | int = 0) -> Column:
+    """``front`` and ``back`` are tokens at the text's ends that are not the message's own."""
+    whole = lambda n: n if isinstance(n, Column) else F.lit(n)
+    return F.struct(
+        text.alias("text"), F.lit(lead).alias("lead"), learn.alias("learn"), whole(front).alias("front"), whole(back).alias("back")
+    )
+
+
+def own_tokens(segment: Column, tokens: Column) -> Column:
+    """The segment's tokens without those of the turns it was rendered beside."""
+    length = F.greatest(F.size(tokens) - segment["front"] - segment["back"], F.lit(0))
+    cut = F.slice(tokens, segment["front"] + 1, length)
+    return F.when((segment["front"] == 0) & (segment["back"] == 0), tokens).otherwise(cut)
 
 
 def message_segment(
@@ -54,15 +68,21 @@ def message_segment(
     content: Column,
     step: Column | None = None,
     tools: Column | None = None,
+    tokenizer=PIECES,
 ) -> Column:
-    """One message as ``struct(text, lead, learn)``; ``header`` is the header's token count.
+    """One message as ``struct(text, lead, learn, front, back)``; ``header`` is the header's token count.
 
     The simple kind puts the assistant header at the end of the user turn, so that an
     assistant segment is its content and terminator only. The other two render each
     message whole and keep the header's tokens at 0. ``step`` is a per-message override:
     anything but 1 masks the message.
+
+    A tokenizer whose tokens may cross the border of two turns sees what stands beside a
+    message: the message is rendered next to a dummy turn, whose tokens are cut off again.
     """
     assistant = role == "assistant"
+    crosses = tokenizer.crosses_turns
+    size = tokenizer.size_of
     if kind == SIMPLE:
         turn = template.turn(role, content)
         text = (
@@ -79,10 +99,24 @@ def message_segment(
                 ).cast("string")
             )
         )
-        return _segment(text, 0, assistant)
+        if not crosses:
+            return _segment(text, 0, assistant)
+        before = template.render_text([("user", BEFORE_ANSWER)], generation=True)
+        text = F.when(assistant, F.concat(F.lit(before), text)).otherwise(text)
+        return _segment(text, 0, assistant, F.when(assistant, size(before)).otherwise(0))
     opening = template.opening(role, content, tools)
     text = F.when(position == 0, opening).otherwise(template.turn(role, content))
     learn = assistant if step is None else assistant & (F.coalesce(step, F.lit(1)) == 1)
+    first = position == 0
+    if crosses and kind == QWEN3:
+        beside = template.render_text([("user", BESIDE)])
+        text = F.when(first, F.concat(text, F.lit(beside))).otherwise(F.concat(F.lit(beside), text))
+        n = size(beside)
+        return _segment(text, header, learn, F.when(first, 0).otherwise(n), F.when(first, n).otherwise(0))
+    if crosses and kind == QWEN and template.prefix:
+        alone = ~first & (role != "system")
+        text = F.when(alone, F.concat(F.lit(template.prefix), text)).otherwise(text)
+        return _segment(text, header, learn, F.when(alone, template_overhead(template, tokenizer)[0]).otherwise(0))
     return _segment(text, header, learn)
 
 
@@ -144,6 +178,7 @@ def with_loss_mask(
                 m["content"],
                 m["step_loss_mask"] if has_step else None,
                 tool_text,
+                tokenizer,
             ),
         )
         if kind == SIMPLE and on_unsupported == "drop":
@@ -152,7 +187,8 @@ def with_loss_mask(
     split = (
         df.withColumn("_segments", segments)
         .withColumn("_texts", F.transform("_segments", lambda s: s["text"]))
-        .withColumn("_pieces", tokenizer.many(F.col("_texts")))
+        .withColumn("_all", tokenizer.many(F.col("_texts")))
+        .withColumn("_pieces", F.zip_with("_segments", "_all", own_tokens) if tokenizer.crosses_turns else F.col("_all"))
     )
     masks = F.zip_with("_segments", "_pieces", lambda s, p: segment_mask(s, F.size(p)))
     return split.select(
@@ -189,10 +225,11 @@ def with_turn_loss_mask(
         F.col(content),
         F.col(step) if step else None,
         F.col(tools) if tools else None,
+        tokenizer,
     )
-    split = turns.withColumn("_segment", segment).withColumn(
-        "tokens", tokenizer.one(F.col("_segment.text"))
-    )
+    split = turns.withColumn("_segment", segment).withColumn("tokens", tokenizer.one(F.col("_segment.text")))
+    if tokenizer.crosses_turns:
+        split = split.withColumn("tokens", own_tokens(F.col("_segment"), F.col("tokens")))
     return split.select(
         *turns.columns,
         "tokens",

@@ -521,6 +521,27 @@ FROM spoken""",
 }
 
 ORACLES |= {
+    "mask_span_rows": ORACLES["mask_text_spans"],
+    "trajectory_turns": f"""
+WITH {DRAWN},
+ended AS (
+  SELECT l.sample_id, head, coalesce(finish, '') AS finish
+  FROM lim l LEFT JOIN steps s ON s.sample_id = l.sample_id AND s.k = s.last_ix),
+laid AS (
+  SELECT sample_id, 0 AS place, 0 AS learned, {turn_text("'user'", 'head')} || {HEADER} AS text, NULL AS known FROM ended
+  UNION ALL SELECT sample_id, 2 * k + 1, 1, text, CASE WHEN known THEN true END FROM steps
+  UNION ALL SELECT sample_id, 2 * k + 2, 0, follow || {HEADER}, CASE WHEN known THEN true END FROM steps WHERE follow IS NOT NULL),
+split AS (SELECT laid.*, {pieces('text')} AS p FROM laid JOIN ended USING (sample_id) WHERE finish <> 'abort')
+SELECT sample_id, CAST(place AS BIGINT) AS place, CAST(learned AS BIGINT) AS learned, text, {joined('p', '|')} AS tokens,
+  CAST(coalesce(sum(len(p)) OVER (PARTITION BY sample_id ORDER BY place
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS token_offset,
+  CAST(CASE WHEN known THEN len(p) ELSE -1 END AS BIGINT) AS n_logprobs
+FROM split""",
+    "trajectory_totals": f"""
+WITH built AS ({TRAJECTORY})
+SELECT sample_id, CASE WHEN prompt IS NOT NULL THEN CAST(len({pieces('prompt')}) AS BIGINT) END AS prompt_length,
+  response_length, CASE WHEN status = 'ABORTED' THEN true ELSE logprobs_match END AS logprobs_match, status
+FROM built""",
     "array_reward": f"""
 SELECT sample_id, CASE WHEN sample_id % 10 = 3 AND EXISTS (
     SELECT 1 FROM conversations c WHERE c.conv_id = r.sample_id AND c.role = 'assistant')

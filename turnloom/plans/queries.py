@@ -16,7 +16,7 @@ from turnloom.functions.arrays import response_length, sublist_positions
 from turnloom.functions.template import CHATML, ChatTemplate, payload_flags
 from turnloom.functions.text import judge_verdict, rule_verdict, tag_content, word_count
 from turnloom.functions.tokens import PIECES
-from turnloom.operators import keep, lossmask, order, pool, readouts, records, reward, trajectory, vocab
+from turnloom.operators import keep, lossmask, order, pool, readouts, records, reward, spans, trajectory, trajectoryrows, vocab
 from turnloom.operators.arrayreward import array_rewards
 from turnloom.operators.judge import CONSTRAINT, HELPFULNESS, judge_requests
 from turnloom.operators.packing import epochs, packs
@@ -443,6 +443,12 @@ def mask_text_spans(spark, sf):
     )
 
 
+def mask_span_rows(spark, sf):
+    """The same from turns, without a row for a whole conversation."""
+    masked = lossmask.with_turn_loss_mask(conversations(spark, sf), "turn")
+    return spans.mask_span_rows(masked, "conv_id", "turn")
+
+
 def token_view(spark, sf):
     rows = lossmask.token_rows(lossmask.with_loss_mask(whole(spark, sf)), ["conv_id"])
     return rows.select(
@@ -564,6 +570,35 @@ def trajectories(spark, sf):
     )
 
 
+def recorded_turns(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """User turns as prompts and assistant turns as recorded outputs, one row each."""
+    turns = conversations(spark, sf)
+    prompts = ranked(turns, "user").select(
+        F.col("conv_id").alias("sample_id"), F.col("k").alias("turn_ix"), "role", F.col("text").alias("content")
+    )
+    said = ranked(turns, "assistant").select("conv_id", "k", recorded_output(F.col("k"), F.col("text"), True).alias("o"))
+    return prompts, said.select(F.col("conv_id").alias("sample_id"), F.col("k").alias("turn_ix"), "o.*")
+
+
+def trajectory_turns(spark, sf):
+    """Trajectories as rows of turns with their places in the token sequence."""
+    rows = trajectoryrows.trajectory_rows(*recorded_turns(spark, sf)).filter("place >= 0")
+    return rows.select(
+        "sample_id",
+        "place",
+        F.col("learned").cast("long").alias("learned"),
+        "text",
+        F.array_join("tokens", "|").alias("tokens"),
+        F.col("offset").alias("token_offset"),
+        F.coalesce(F.size("logprobs").cast("long"), F.lit(-1)).alias("n_logprobs"),
+    )
+
+
+def trajectory_totals(spark, sf):
+    """Lengths and status of trajectories from rows of turns."""
+    return trajectoryrows.trajectory_totals(trajectoryrows.trajectory_rows(*recorded_turns(spark, sf)))
+
+
 # Constraints and scoring
 
 CONSTRAINTS = (
@@ -983,9 +1018,12 @@ QUERIES = {
     "mask_lengths": mask_lengths,
     "sft_samples": samples,
     "mask_text_spans": mask_text_spans,
+    "mask_span_rows": mask_span_rows,
     "token_view": token_view,
     "multimodal_align": multimodal_align,
     "trajectory": trajectories,
+    "trajectory_turns": trajectory_turns,
+    "trajectory_totals": trajectory_totals,
     "constraint_index": constraint_index,
     "constraint_lookup": constraint_lookup,
     "unknown_constraints": unknown_constraints,
