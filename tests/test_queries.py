@@ -14,7 +14,9 @@ from turnloom.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 # By nature these write a table before they read it.
-WRITE = {"split_roundtrip", "jsonl_roundtrip", "token_ids", "detokenize"}
+WRITE = {"split_roundtrip", "jsonl_roundtrip", "token_ids", "detokenize", "untyped_jsonl", "balanced_packing"}
+# Users' rules and patterns, and ids.
+PYTHON = {"token_ids", "detokenize", "registered_verifier", "pattern_rules"}
 LONG = [
     "prompt_records",
     "split_roundtrip",
@@ -26,6 +28,10 @@ LONG = [
     "constraint_lookup",
     "sft_filter",
     "record_spans",
+    "mask_span_rows",
+    "trajectory_turns",
+    "trajectory_totals",
+    "array_reward",
 ]
 ORDERED = [
     "running_words",
@@ -34,6 +40,9 @@ ORDERED = [
     "conversation_reward",
     "mask_lengths",
     "helpfulness_veto",
+    "mask_span_rows",
+    "trajectory_turns",
+    "filter_role_alternation",
 ]
 
 
@@ -104,11 +113,21 @@ def test_row_local_queries_do_not_shuffle(spark, name):
     assert "Exchange" not in plan(spark, name)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"token_ids", "detokenize", "registered_verifier"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - PYTHON - WRITE))
 def test_no_python_in_plans(spark, name):
     assert not re.search("EvalPython|MapInPandas|PythonUDF", plan(spark, name))
 
 
+def test_epochs_are_one_exchange(spark):
+    text = plan(spark, "epoch_batches")
+    assert text.count("FileScan parquet") == 2  # rows, and their counts
+
+
+def test_turn_filters_are_one_exchange(spark):
+    for name in ("filter_turn_limit", "filter_word_budget", "filter_content_type"):
+        assert plan(spark, name).count("Exchange") == 1
+
+
 def test_flagship_shuffles_texts_once(spark):
     text = plan(spark, "conversation_reward")
     assert text.count("FileScan parquet") <= 3

@@ -10,14 +10,7 @@ from pyspark.sql import functions as F
 
 from turnloom.operators.joins import MAX_BYTES, MAX_ROWS, fits_broadcast
 from turnloom.operators.order import with_dense_index
-from turnloom.session import new_path
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows read back from a table in the shared folder."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from turnloom.session import stored
 
 
 def vocabulary(df: DataFrame, tokens: Column, specials: tuple[str, ...], seed: int = 0) -> DataFrame:
@@ -33,12 +26,12 @@ def vocabulary(df: DataFrame, tokens: Column, specials: tuple[str, ...], seed: i
         .distinct()
     )
     spark = df.sparkSession
-    found = _written(found, "tokens")
+    found = stored(found, "tokens")
     numbered = with_dense_index(found, ["token"], seed, name="id", start=len(specials))
     marks = spark.createDataFrame(
         [(token, i) for i, token in enumerate(specials)], "token string, id bigint"
     )
-    return _written(marks.unionByName(numbered), "vocabulary")
+    return stored(marks.unionByName(numbered), "vocabulary")
 
 
 def _map_lists(lists: pa.Array, change) -> pa.Array:

@@ -521,6 +521,11 @@ FROM spoken""",
 }
 
 ORACLES |= {
+    "untyped_jsonl": ORACLES["sft_filter_untyped"],
+    "balanced_packing": f"""
+SELECT count(DISTINCT conv_id) AS n_samples, CAST(sum({words("text")}) AS BIGINT) AS n_tokens, true AS budget_kept,
+  true AS ranks_level, true AS pack_in_one_rank, true AS no_more_packs
+FROM conversations""",
     "mask_span_rows": ORACLES["mask_text_spans"],
     "trajectory_turns": f"""
 WITH {DRAWN},

@@ -19,14 +19,14 @@ from turnloom.functions.tokens import PIECES
 from turnloom.operators import keep, lossmask, order, pool, readouts, records, reward, spans, trajectory, trajectoryrows, vocab
 from turnloom.operators.arrayreward import array_rewards
 from turnloom.operators.judge import CONSTRAINT, HELPFULNESS, judge_requests
-from turnloom.operators.packing import epochs, packs
+from turnloom.operators.packing import balanced_packs, epochs, packs
 from turnloom.operators.rulekinds import catalogue, measures, verdicts
 from turnloom.operators.rules import RuleBook
 from turnloom.operators.turns import gather, with_running_total
 from turnloom.plans.scoring import record_rewards
 from turnloom.plans.sft import sft_samples
-from turnloom.session import new_path
-from turnloom.sources.tables import read_dataset, read_jsonl, write_jsonl
+from turnloom.session import new_path, stored
+from turnloom.sources.tables import read_dataset, read_jsonl, read_untyped, untyped_messages, write_jsonl
 
 # The default limits reject nothing in the given table; these do.
 MAX_TURNS, BUDGET = 3, 300
@@ -119,6 +119,32 @@ def sft_filter_untyped(spark, sf):
     return found.select("conv_id", F.array_join(texts, "|").alias("texts"))
 
 
+def untyped_jsonl(spark, sf):
+    """The untyped turns as records in JSON lines, read back without a schema and filtered."""
+    message = F.struct("turn", "role", F.to_json("content").alias("content"))
+    turns = untyped_turns(spark, sf).groupBy("conv_id").agg(F.sort_array(F.collect_list(message)).alias("m"))
+    # As other programs write them: a content that is missing has no key.
+    part = lambda m: F.concat(
+        F.lit('{"role":'),
+        F.concat(F.lit('"'), m["role"], F.lit('"')),
+        F.coalesce(F.concat(F.lit(',"content":'), m["content"]), F.lit("")),
+        F.lit("}"),
+    )
+    line = F.concat(
+        F.lit('{"id":'), F.col("conv_id").cast("string"), F.lit(',"messages":['), F.array_join(F.transform("m", part), ","), F.lit("]}")
+    )
+    path = new_path(spark, "untyped")
+    turns.select(line.alias("value")).write.text(path)
+    records = read_untyped(spark, path)
+    found = keep.keep_records(
+        records.withColumn("messages", untyped_messages(F.col("record"))), max_turns=MAX_TURNS, budget=BUDGET
+    )
+    texts = F.transform("messages", lambda m: F.try_variant_get(m["content"], "$", "string"))
+    return found.select(
+        F.try_variant_get("record", "$.id", "bigint").alias("conv_id"), F.array_join(texts, "|").alias("texts")
+    )
+
+
 def sft_filter(spark, sf):
     return kept(spark, sf).select(
         "conv_id",
@@ -907,6 +933,37 @@ def token_packing(spark, sf):
     return packs(sizes, ["conv_id"], "n_tokens", PACK, seed=7)
 
 
+RANKS = 8
+
+
+def balanced_packing(spark, sf):
+    """What balanced packs promise, measured: every sample once, the budget kept, ranks level to
+    within a pack, and no more packs than samples packed in random order need."""
+    sizes = conversations(spark, sf).groupBy("conv_id").agg(F.sum(word_count(F.col("text"))).alias("n_tokens"))
+    placed = stored(balanced_packs(sizes, ["conv_id"], "n_tokens", PACK, RANKS, seed=7), "balanced")
+    whole = placed.groupBy("pack_id", "rank").agg(F.sum("n_tokens").alias("size"), F.count(F.lit(1)).alias("n"))
+    ranks = whole.groupBy("rank").agg(F.sum("size").alias("total"))
+    plain = token_packing(spark, sf).agg(F.count_distinct("pack_id").alias("n_plain"))
+    sides = ranks.agg((F.max("total") - F.when(F.count(F.lit(1)) == RANKS, F.min("total")).otherwise(0)).alias("apart"))
+    measured = whole.agg(
+        F.sum("n").alias("n_samples"),
+        F.sum("size").alias("n_tokens"),
+        F.bool_and((F.col("size") <= PACK) | (F.col("n") == 1)).alias("budget_kept"),
+        F.max("size").alias("largest"),
+        F.count(F.lit(1)).alias("n_packs"),
+        F.count_distinct("pack_id").alias("n_ids"),
+    )
+    joined = measured.join(sides, F.lit(True)).join(plain, F.lit(True))
+    return joined.select(
+        "n_samples",
+        "n_tokens",
+        "budget_kept",
+        (F.col("apart") <= F.col("largest")).alias("ranks_level"),
+        (F.col("n_packs") == F.col("n_ids")).alias("pack_in_one_rank"),
+        (F.col("n_packs") <= F.col("n_plain")).alias("no_more_packs"),
+    )
+
+
 # Fixed value: what JSON escapes in strings; the backslash comes first.
 ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t"}
 
@@ -992,6 +1049,7 @@ QUERIES = {
     "filter_content_type": filter_content_type,
     "sft_filter": sft_filter,
     "sft_filter_untyped": sft_filter_untyped,
+    "untyped_jsonl": untyped_jsonl,
     "sft_filter_counts": sft_filter_counts,
     "word_count": count_words,
     "running_words": running_words,
@@ -1044,6 +1102,7 @@ QUERIES = {
     "length_flag": length_flag,
     "epoch_batches": epoch_batches,
     "token_packing": token_packing,
+    "balanced_packing": balanced_packing,
     "rule_catalogue": rule_catalogue,
     "pattern_rules": pattern_rules,
 }

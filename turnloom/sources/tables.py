@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -54,3 +54,29 @@ def read_jsonl(
     if not keys:
         return df
     return df.select(*[F.col(source).alias(name) for name, source in keys.items()])
+
+
+def read_untyped(spark: SparkSession, path: str, name: str = "record") -> DataFrame:
+    """JSON lines as they are: each record one VARIANT, whatever its fields and their types."""
+    return spark.read.option("singleVariantColumn", name).json(path)
+
+
+def untyped_messages(record: Column, key: str = "messages") -> Column:
+    """The message list of a VARIANT record, contents untyped: NULL where the record has none or
+    something else in its place. A message without a role, or with one that is no text, has none."""
+    items = F.try_variant_get(record, f"$.{key}", "array<variant>")
+
+    def message(item: Column) -> Column:
+        role = F.try_variant_get(item, "$.role", "variant")
+        text = F.schema_of_variant(role).eqNullSafe("STRING")
+        return F.struct(
+            F.when(text, F.try_variant_get(role, "$", "string")).alias("role"),
+            F.try_variant_get(item, "$.content", "variant").alias("content"),
+        )
+
+    return F.transform(items, message)
+
+
+def write_untyped(df: DataFrame, path: str, record: str = "record") -> None:
+    """VARIANT records as JSON lines again."""
+    df.select(F.to_json(record).alias("value")).write.mode("overwrite").text(path)
