@@ -526,7 +526,17 @@ ORACLES |= {
 SELECT count(DISTINCT conv_id) AS n_samples, CAST(sum({words("text")}) AS BIGINT) AS n_tokens, true AS budget_kept,
   true AS ranks_level, true AS pack_in_one_rank, true AS no_more_packs
 FROM conversations""",
-    "mask_span_rows": ORACLES["mask_text_spans"],
+    "mask_span_rows": f"""
+WITH marked AS (
+  SELECT *, role = 'assistant' AS learned,
+    coalesce(lag(role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn), false) AS goes_on
+  FROM conversations),
+numbered AS (
+  SELECT *, sum(CASE WHEN learned AND NOT goes_on THEN 1 ELSE 0 END) OVER (
+    PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) - 1 AS span_ix
+  FROM marked)
+SELECT conv_id, CAST(span_ix AS BIGINT) AS span_ix, string_agg(text || {TERMINATOR}, '' ORDER BY turn) AS span
+FROM numbered WHERE learned GROUP BY conv_id, span_ix""",
     "trajectory_turns": f"""
 WITH {DRAWN},
 ended AS (
