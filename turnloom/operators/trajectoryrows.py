@@ -19,23 +19,29 @@ from turnloom.operators.turns import with_running_total
 
 
 def run_limits(prompts: DataFrame, outputs: DataFrame) -> DataFrame:
-    """``sample_id, n_turns, n_run, cut, finish``: how many outputs a sample's run has, which one ended
-    it early (NULL: none), and its last finish reason. Samples without a prompt have none."""
+    """``sample_id, n_run, cut, aborted, done``: how many outputs a sample's run has, which one ended it
+    early (NULL: none), whether by an abort, and whether the run came to its end. Samples
+    without a prompt have none."""
     stops = F.col("finish_reason").isin(LENGTH, ABORT)
-    n_turns = prompts.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_turns"))
+    asked = prompts.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_turns"))
     said = outputs.groupBy("sample_id").agg(
-        F.count(F.lit(1)).alias("n_outputs"), F.min(F.when(stops, F.col("turn_ix"))).alias("cut")
+        F.count(F.lit(1)).alias("n_outputs"),
+        F.min(F.when(stops, F.col("turn_ix"))).alias("cut"),
+        F.min_by(F.when(stops, F.col("finish_reason")), F.when(stops, F.col("turn_ix"))).alias("reason"),
     )
     n_outputs = F.coalesce("n_outputs", F.lit(0))
-    limits = n_turns.join(said, "sample_id", "left").select(
-        "sample_id", "n_turns", "cut", F.least("n_turns", n_outputs, F.coalesce(F.col("cut") + 1, n_outputs)).alias("n_run")
+    limits = asked.join(said, "sample_id", "left").withColumn(
+        "n_run", F.least("n_turns", n_outputs, F.coalesce(F.col("cut") + 1, n_outputs))
     )
     # An end early counts only where the run reaches it.
-    limits = limits.withColumn("cut", F.when(F.col("cut") + 1 == F.col("n_run"), F.col("cut")))
-    done = (F.col("n_run") == F.col("n_turns")) | F.col("cut").isNotNull()
-    last = outputs.select("sample_id", (F.col("turn_ix") + 1).alias("n_run"), F.col("finish_reason").alias("_finish"))
-    ended = limits.join(last, ["sample_id", "n_run"], "left")
-    return ended.select("sample_id", "n_turns", "n_run", "cut", F.when(done, F.col("_finish")).alias("finish"))
+    early = F.coalesce(F.col("cut") + 1 == F.col("n_run"), F.lit(False))
+    return limits.select(
+        "sample_id",
+        "n_run",
+        F.when(early, F.col("cut")).alias("cut"),
+        (early & (F.col("reason") == ABORT)).alias("aborted"),
+        (early | (F.col("n_run") == F.col("n_turns"))).alias("done"),
+    )
 
 
 def trajectory_rows(
@@ -46,16 +52,16 @@ def trajectory_rows(
     Prompt turn k has the even place 2k and the output to it the odd one after. ``offset`` is the
     turn's place in the sample's tokens. An output's tokens are its recorded ones where present;
     they are learned. Log-probabilities are those recorded, and zeros for a prompt turn that
-    follows recorded ones. An aborted sample keeps one row without text at place -1. The rows
-    of a sample, in order, are its record's fields.
+    follows recorded ones. ``finish`` is the reason of the output that ended the run. An aborted
+    sample keeps one row without text at place -1. The rows of a sample, in order, are its
+    record's fields.
     """
     limits = run_limits(prompts, outputs)
     columns = ("sample_id", "place", "learned", "text", "_own", "logprobs", "finish")
-    aborted = F.col("finish") == ABORT
-    runs = F.coalesce(~aborted, F.lit(True))
+    nothing = F.lit(None).cast("string")
     known = outputs.select("sample_id", "turn_ix", *output_fields(outputs))
     answered = known.select("sample_id", (F.col("turn_ix") + 1).alias("turn_ix"), F.col("logprobs").isNotNull().alias("_recorded"))
-    asked = prompts.join(limits.filter(runs), "sample_id").filter(
+    asked = prompts.join(limits.filter("NOT aborted"), "sample_id").filter(
         (F.col("turn_ix") <= F.col("n_run")) & ~F.coalesce(F.col("turn_ix") == F.col("cut") + 1, F.lit(False))
     )
     turn = F.when(F.col("turn_ix") == 0, template.opening(F.col("role"), F.col("content"))).otherwise(
@@ -69,20 +75,20 @@ def trajectory_rows(
         F.concat(turn, F.lit(template.generation_header)).alias("text"),
         tokens.alias("_own"),
         F.when((F.col("turn_ix") > 0) & F.col("_recorded"), F.array().cast("array<double>")).alias("logprobs"),
-        "finish",
+        nothing.alias("finish"),
     )
-    said = known.join(limits.filter(runs), "sample_id").filter(F.col("turn_ix") < F.col("n_run")).select(
+    said = known.join(limits.filter("NOT aborted"), "sample_id").filter(F.col("turn_ix") < F.col("n_run")).select(
         "sample_id",
         (F.col("turn_ix") * 2 + 1).cast("long").alias("place"),
         F.lit(1).alias("learned"),
         "text",
         F.col("token_ids").alias("_own"),
         "logprobs",
-        "finish",
+        F.when(F.col("done") & (F.col("turn_ix") + 1 == F.col("n_run")), F.col("finish_reason")).alias("finish"),
     )
-    lost = limits.filter(aborted).select(
-        "sample_id", F.lit(-1).cast("long").alias("place"), F.lit(0).alias("learned"), F.lit(None).cast("string").alias("text"),
-        tokens.alias("_own"), F.lit(None).cast("array<double>").alias("logprobs"), "finish",
+    lost = limits.filter("aborted").select(
+        "sample_id", F.lit(-1).cast("long").alias("place"), F.lit(0).alias("learned"), nothing.alias("text"),
+        tokens.alias("_own"), F.lit(None).cast("array<double>").alias("logprobs"), F.lit(ABORT).alias("finish"),
     )
     rows = sent.select(*columns).unionByName(said.select(*columns)).unionByName(lost.select(*columns))
     split = rows.withColumn("_split", tokenizer.one(F.col("text")))
