@@ -2,15 +2,20 @@
 
 Markup is stripped so that each block of text is a line; furniture (menus, adverts, forms,
 comments) becomes a gap of empty lines. The text lengths of sliding windows of lines,
-links not counted, rise at a surge and fall to nothing at a dive; a stretch between is
-kept, whole, if it is the page's main one or reaches a fair share of its peak. Of a page
-with article or main elements, all their lines that are not furniture are kept instead.
+links not counted, rise at a surge and fall to nothing at a dive. The stretches between
+are weighed by their highest window. A stretch is kept, whole, if it is the page's main one
+or reaches a fair share of its peak. On a page with article or main elements, whose borders
+are dives, the stretches of each element are weighed together and the others are left out.
+
+Pages are read forward only: whatever is broken in them, each character is looked at a
+bounded number of times.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -21,8 +26,8 @@ from turnloom.llm.texts import map_texts
 WINDOW, SHARE = 3, 0.3
 
 # Elements without readable text, furniture, blocks, and those never closed.
-SILENT = frozenset("script style noscript template svg math iframe object canvas head textarea select option button".split())
-FURNITURE = frozenset("nav header footer aside form dialog menu fieldset figcaption".split())
+SILENT = frozenset("script style noscript template svg iframe object canvas head select option button".split())
+FURNITURE = frozenset("nav header footer aside form dialog menu".split())
 MAIN = frozenset(("article", "main"))
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption "
@@ -41,45 +46,142 @@ MARKS = re.compile(
 # from headings.
 PARTS = frozenset("alert notice tag tags search header masthead dialog".split())
 HEADED = frozenset("h1 h2 h3 h4 h5 h6 p section li dt dd".split())
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|"
-    r"<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
+# Class names of reader comments, also where an element is an article; names that say
+# an element holds the content, whatever stands beside them; words before a mark that only speak of it.
+COMMENTS = re.compile(r"(?i)(?:^|\s)(?:(?:reader|user|post|article|entry)[_-]?)?(?:comments?|responses?|replies|respond|disqus)(?:$|[\s_-])")
+CONTENT = frozenset("post article entry content story page hentry main site".split())
+ABOUT = frozenset("has with no without is not".split())
 NAMES = re.compile(r"""(?is)(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 HIDDEN = re.compile(
     r"(?is)(?:^|\s)hidden(?=\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none"
 )
-CLOSERS = {name: re.compile(rf"(?i)</{name}\s*>") for name in SILENT}
+CLOSERS = {name: re.compile(rf"(?i)</{name}\s*+>") for name in (*SILENT, "textarea")}
+CLOSERS["head"] = re.compile(r"(?i)</head\s*+>|<body\b")
 SPACE, WORDS = re.compile(r"\s+"), re.compile(r"([\s_-]+)")
 
 
 class Line(NamedTuple):
     text: str
-    weight: int  # characters outside links
-    main: bool  # inside an article or main element
+    weight: int  # characters outside links; in an article or main element, all
+    main: int  # number of the outermost article or main element around it; 0 for none
+    marked: bool  # inside an element that only its names mark as furniture
+
+
+class Tag(NamedTuple):
+    start: int  # where the text before it ends
+    end: int
+    name: str  # empty for comments and the like
+    closing: bool = False
+    attributes: str = ""
+    text: str = ""  # of a CDATA section
+
+
+class Tags:
+    """The tags of a page, from left to right.
+
+    A tag ends at the first ``>`` outside quotes. Where there is none, the first ``>`` will do;
+    where there is not even one, the rest is text. A search that fails is not tried again:
+    ``dead`` are quotes from which no tag ends, ``lost`` what does not come any more.
+    """
+
+    OPEN = re.compile(r"</?[A-Za-z][A-Za-z0-9:-]*+")
+    PLAIN = re.compile(r"[^>\"']*+")
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.dead: set[int] = set()
+        self.lost: set[str] = set()
+        self.closers: dict[str, re.Match | None] = {}
 
+    def find(self, what: str, at: int) -> int:
+        if what in self.lost:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.lost.add(what)
+        return found
 
-def _furniture(name: str, attributes: str, in_main: bool) -> bool:
+    def closer(self, name: str, at: int) -> re.Match | None:
+        """The next closing tag of an element without markup inside."""
+        known = self.closers.get(name)
+        if name not in self.closers or (known is not None and known.start() < at):
+            known = self.closers[name] = CLOSERS[name].search(self.page, at)
+        return known
+
+    def _end(self, at: int) -> int:
+        """Where the tag ends whose name ends at ``at``: the place of its ``>``, or -1."""
+        page, opened = self.page, []
+        nearest = self.find(">", at)
+        if nearest < 0:
+            return -1
+        while True:
+            at = self.PLAIN.match(page, at).end()
+            if at >= len(page) or at in self.dead:
+                break
+            if page[at] == ">":
+                return at
+            opened.append(at)
+            close = self.find(page[at], at + 1)
+            at = at + 1 if close < 0 else close + 1
+        self.dead.update(opened)
+        return nearest
+
+    def after(self, at: int) -> Tag | None:
+        """The first tag from ``at`` on."""
+        page = self.page
+        while (start := self.find("<", at)) >= 0:
+            at = start + 1
+            if page.startswith("<!--", start):
+                end = self.find("-->", start + 4)
+                return Tag(start, len(page) if end < 0 else end + 3, "")
+            if page.startswith("<![CDATA[", start) and (end := self.find("]]>", start)) >= 0:
+                return Tag(start, end + 3, "", text=page[start + 9 : end])
+            if page.startswith(("<!", "<?"), start):
+                if (end := self.find(">", start)) >= 0:
+                    return Tag(start, end + 1, "")
+            elif opened := self.OPEN.match(page, start):
+                end = self._end(opened.end())
+                if end >= 0:
+                    name = opened[0].lstrip("</").lower()
+                    return Tag(start, end + 1, name, opened[0][1] == "/", page[opened.end() : end])
+        return None
+
+
+def _furniture(name: str, attributes: str, in_main: bool) -> str:
+    """``skip`` for furniture, ``mark`` where only class, id or role say so, else nothing."""
     if name in FURNITURE and not (name == "header" and in_main):
-        return True
+        return "skip"
     if not attributes:
-        return False
+        return ""
     if HIDDEN.search(attributes):
-        return True
+        return "skip"
+    names = [(kind.lower(), a or b or c) for kind, a, b, c in NAMES.findall(attributes)]
+    if name not in ("body", "html") and any(kind == "class" and COMMENTS.search(named) for kind, named in names):
+        return "skip"
     if name in MAIN or name in ("body", "html"):
-        return False
-    for kind, a, b, c in NAMES.findall(attributes):
-        named, kind = a or b or c, kind.lower()
+        return ""
+    for kind, named in names:
         if kind == "id" and (in_main or name in HEADED):
             if _only_marks(named):
-                return True
-        elif kind == "class" and in_main:
-            if MARKS.search("".join([w for w in WORDS.split(named) if w.lower() not in PARTS])):
-                return True
+                return "mark"
+        elif kind == "class":
+            if _marked_class(named, in_main):
+                return "mark"
         elif MARKS.search(named):
-            return True
-    return False
+            return "mark"
+    return ""
+
+
+def _marked_class(names: str, in_main: bool) -> bool:
+    """Whether class names mark furniture: not where one of them says that the element is the
+    content, nor by a name that only speaks of furniture (``has-sidebar``)."""
+    own = names.lower().split()
+    if not CONTENT.isdisjoint(own):
+        return False
+    named = " ".join(n for n in own if WORDS.split(n)[0] not in ABOUT)
+    if in_main:
+        named = "".join([w for w in WORDS.split(named) if w not in PARTS])
+    return bool(MARKS.search(named))
 
 
 def _only_marks(name: str) -> bool:
@@ -88,106 +190,121 @@ def _only_marks(name: str) -> bool:
 
 
 def lines_of(page: str) -> list[Line | None]:
-    """The page's blocks in order; None stands for a gap where furniture or a frame was."""
+    """The page's blocks in order; None stands for a gap where furniture or a frame was.
+
+    Lines of an article or main element inside a marked element (not inside other furniture)
+    are listed as such; ``main_text`` decides on them.
+    """
     lines: list[Line | None] = []
     pieces: list[str] = []
-    state = {"links": 0, "weight": 0}
+    state = {"links": 0}
     stack: list[tuple[str, str]] = []  # open elements: name, and what they are
-    skip = main = link = 0
+    opened: Counter[str] = Counter()
+    skip = marks = main = mains = link = 0
+
+    def hidden() -> bool:
+        return skip > 0 or (marks > 0 and main == 0)
 
     def close() -> None:
         text = SPACE.sub(" ", entities.unescape("".join(pieces))).strip()
         pieces.clear()
         if text:
-            lines.append(Line(text, max(len(text) - state["links"], 0), main > 0))
+            weight = len(text) if main else max(len(text) - state["links"], 0)
+            lines.append(Line(text, weight, mains if main else 0, marks > 0))
         state["links"] = 0
 
     def add(text: str) -> None:
-        if skip or not text:
+        if not text or hidden():
             return
         pieces.append(text)
         if link:
             state["links"] += len(SPACE.sub(" ", entities.unescape(text)))
 
-    at, end = 0, len(page)
-    while at < end:
-        tag = TOKEN.search(page, at)
-        if tag is None:
-            add(page[at:])
-            break
-        add(page[at : tag.start()])
-        at = tag.end()
-        if tag[1] is not None:
-            add(tag[1])
-        if tag[3] is None:
+    def leave(kind: str) -> None:
+        nonlocal skip, marks, main, link
+        if kind in ("skip", "mark"):
+            close()
+            skip, marks = skip - (kind == "skip"), marks - (kind == "mark")
+            if not hidden():
+                lines.append(None)
+        elif kind == "main":
+            close()
+            main -= 1
+            lines.append(None)
+        elif kind == "link":
+            link -= 1
+
+    at, tags = 0, Tags(page)
+    while (tag := tags.after(at)) is not None:
+        add(page[at : tag.start])
+        at = tag.end
+        add(tag.text)
+        name, attributes = tag.name, tag.attributes
+        if not name:
+            continue
+        single = attributes.endswith("/") or attributes.rstrip().endswith("/")
+        if name == "textarea" and not tag.closing:
+            closed = tags.closer(name, at)
+            add(" " + page[at : closed.start()] + " " if closed else " ")
+            at = closed.end() if closed else at
             continue
-        closing, name, attributes = tag[2], tag[3].lower(), tag[4]
-        if name in SILENT and not closing:
-            if name == "head":
-                closed = re.compile(r"(?i)</head\s*>|<body\b").search(page, at)
-                if closed and closed[0].lower().startswith("<body"):
+        if name in SILENT and not tag.closing:
+            if not single:
+                closed = tags.closer(name, at)
+                if name == "head" and closed and closed[0].lower().startswith("<body"):
                     at = closed.start()
                     continue
-            else:
-                closed = CLOSERS[name].search(page, at)
-            if not attributes.rstrip().endswith("/"):
-                at = closed.end() if closed else (end if name in ("script", "style") else at)
-            if name in BLOCKS or name in ("script", "style", "iframe"):
-                continue
-            add(" ")
+                at = closed.end() if closed else (len(page) if name in ("script", "style") else at)
+            if name not in BLOCKS and name not in ("script", "style", "iframe"):
+                add(" ")
             continue
-        if name == "br" or name == "hr" or name in VOID:
+        if name in VOID:
             if name == "hr":
                 close()
-            else:
-                add(" " if name == "br" else "")
+            elif name == "br":
+                add(" ")
             continue
-        if not closing:
+        if not tag.closing:
             if name in BLOCKS:
                 close()
                 if name == "p" and stack and stack[-1][0] == "p":
-                    stack.pop()
-            kind = ""
-            if _furniture(name, attributes, main > 0):
-                kind = "skip"
-                if not skip:
+                    opened["p"] -= 1
+                    leave(stack.pop()[1])
+            kind = _furniture(name, attributes, main > 0)
+            if kind:
+                if not hidden():
                     close()
                     lines.append(None)
-                skip += 1
+                kind = "skip" if main else kind
+                skip, marks = skip + (kind == "skip"), marks + (kind == "mark")
             elif name in MAIN:
                 kind = "main"
+                if not main:
+                    mains += 1
                 lines.append(None)
                 main += 1
             elif name == "a":
                 kind = "link"
                 link += 1
-            if attributes.rstrip().endswith("/") and name not in BLOCKS:
-                if kind == "link":
-                    link -= 1
-                elif kind == "skip":
-                    skip -= 1
+            if single and name not in BLOCKS:
+                leave(kind)
                 continue
             if name in BLOCKS or kind:
                 stack.append((name, kind))
+                opened[name] += 1
             continue
         if name in BLOCKS:
             close()
-        if not any(n == name for n, _ in stack):
+        if not opened[name]:
             continue
         while stack:
             open_name, kind = stack.pop()
-            if kind == "skip":
-                skip -= 1
-                if not skip:
-                    lines.append(None)
-            elif kind == "main":
-                close()
-                main -= 1
-                lines.append(None)
-            elif kind == "link":
-                link -= 1
+            opened[open_name] -= 1
+            leave(kind)
             if open_name == name:
                 break
+    else:
+        add(page[at:])
     close()
     return lines
 
@@ -229,25 +346,44 @@ def _peak(run: list[Line]) -> int:
     return max(sum(weights[k : k + WINDOW]) for k in range(len(weights)))
 
 
+def _by_element(lines: list[Line | None]) -> list[list[Line | None]]:
+    """The lines of each outermost article or main element, with their gaps. Elements that stand
+    inside a marked one count only on a page that has no others."""
+    plain = any(line is not None and line.main and not line.marked for line in lines)
+    found: dict[int, list[Line | None]] = {}
+    own: list[Line | None] = []
+    for line in lines:
+        if line is None:
+            own.append(None)
+        elif line.main and not (plain and line.marked):
+            own = found.setdefault(line.main, [])
+            own.append(line)
+    return list(found.values())
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, a line each; empty without any."""
     if not page:
         return ""
     lines = lines_of(page)
-    if any(line is not None and line.main for line in lines):
-        runs = [[line for line in lines if line is not None and line.main]]
-    else:
-        runs = stretches(lines)
-        highest = max(map(_peak, runs), default=0)
-        runs = [run for run in runs if _peak(run) >= SHARE * highest]
-    return "\n".join(line.text for run in runs for line in run)
+    # Of a page without such elements, each stretch stands for itself.
+    elements = [stretches(own) for own in _by_element(lines)] or [[run] for run in stretches(lines)]
+    peaks = [max(map(_peak, runs)) for runs in elements]
+    highest = max(peaks, default=0)
+    kept = [runs for runs, peak in zip(elements, peaks) if peak >= SHARE * highest]
+    return "\n".join(line.text for runs in kept for run in runs for line in run)
 
 
 def extract_text(df: DataFrame, keys: tuple[str, ...] = ("page_id", "url"), html: str = "html") -> DataFrame:
     """``keys, text, n_chars``: each page's main text and its code points.
 
     NULL and empty pages, and pages of furniture only, give the empty text. Pages of any
-    length are read whole. Repeated rows are extracted each; an empty table gives none;
+    length are read whole, in time that grows with their length whatever is broken in them.
+    An element is furniture by its name (``nav``, ``aside``, ``form`` ...), or by words of its class, id
+    or role (``sidebar``, ``related`` ...), unless one of its classes says that it is the content. An
+    article inside an element of the second kind is kept if the page has no other; one whose
+    class says that it is a reader's comment never is. Of several articles those are left out
+    whose highest window is below 0.3 of the page's highest. Repeated rows are extracted each; an empty table gives none;
     other columns are not read, whatever their names. No shuffle.
     """
 
