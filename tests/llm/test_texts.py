@@ -229,6 +229,24 @@ def test_contaminated_by_items_of_placeholders(spark):
     assert got == {(k, k % 4) for k in range(8)}
 
 
+def test_short_items_do_not_mark_every_text(spark):
+    items = ["yes", "Compute 7", "What is the capital", "What is the capital of France", "Name it", None, ""]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = ["He said yes and went home", "Compute 5 of them", "yes", "so what is the capital of spain or france", "Name It", "say: what is the capital of France", "Compute 9"]
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(frame(spark, texts), bench).collect()}
+    assert {(2, 0), (4, 4), (5, 3), (6, 1)} <= got and not got & {(0, 0), (1, 1), (3, 2), (5, 2), (0, 4), (1, 4)}
+
+
+def test_contaminated_rows_that_repeat_and_lack_ids(spark):
+    item = "the quick brown fox jumps over the lazy dog while seven sleepy cats watch from an old fence"
+    bench = spark.createDataFrame([(1, item), (1, item), (None, item)], "item_id long, text string")
+    rows = [(1, item, "a"), (1, item, "a"), (1, "other text", "b"), (None, item, "c"), (3, f"{'filler words ' * 20000}{item}", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item string").repartition(3)
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(docs, bench).collect()}
+    assert got == {(d, i) for d in (1, None, 3) for i in (1, None)}
+    assert contaminated(docs, spark.createDataFrame([], "item_id long, text string")).collect() == []
+
+
 @pytest.mark.parametrize("name", ["ids", "counts"])
 def test_lookahead_is_positive(name):
     with open(WORDS, "rb") as file:

@@ -28,6 +28,8 @@ from turnloom.llm.transducer import Memo
 
 #: Canonical words of a window, and of an aligned match at least (or the whole item).
 WINDOW, LEAST = 8, 13
+#: Words that must agree as they are where an item is shorter than a window.
+LITERAL = 5
 #: Bits of the bitmap, as a power of two: 2 MB whatever the benchmark's size.
 BITS = 24
 #: Placeholders a window may have at most, else it counts in its literal form only; the
@@ -260,7 +262,9 @@ def contaminated(
     windows, which cover at least LEAST words (or the item, where it is shorter), and that
     its ``n_slots`` distinct placeholder values stand for one value each. The best
     alignment of a pair is given, the first of equals. A window may match as it is, whatever
-    its letter case and however many numbers or names it holds, or by its template. Repeated rows of a document give one
+    its letter case and however many numbers or names it holds, or by its template. An item
+    shorter than a window is held only with LITERAL of its words as they are, or by a document
+    that has no other words: ``yes`` does not mark every text with that word. Repeated rows of a document give one
     row; the same id with several texts is one document that holds what any of them does. NULL and
     empty texts hold nothing, empty items are never held, an empty table gives none; other
     columns are not read, but keys and texts may have any name.
@@ -279,7 +283,10 @@ def contaminated(
     bitmap = spark.sparkContext.broadcast(_bitmap(items))
     found = _emit(docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")), "_k", "_t", sorted(short), bitmap, False)
     # Copies of a window within one text and repeated rows meet here; most windows have no partner.
-    matched = found.join(items, "window").select(
+    # An item of few words says little: unless the document is nothing but it, five must agree.
+    few = F.col("item_words") - F.size("item_slots") < LITERAL
+    enough = (F.col("item_words") >= WINDOW) | ~few | (F.col("n_words") == F.col("item_words"))
+    matched = found.join(items, "window").filter(enough).select(
         "id",
         "text_hash",
         "item",
