@@ -19,7 +19,7 @@ from turnloom.llm.decontam import contaminated
 from turnloom.llm.langid import language_ids
 from turnloom.llm.licenses import TEMPLATES, scan_licenses
 from turnloom.llm.secrets import Scanner, Span, checksum, find_secrets
-from turnloom.llm.sharding import shard, write_shards
+from turnloom.llm.sharding import borders, keyed, shard, write_shards
 from turnloom.llm.token_counts import count_tokens, counter
 
 SF = "/root/testdata/sf0.001"
@@ -165,6 +165,22 @@ def test_shards_hold_about_equal_bytes(spark):
     assert shard(frame(spark, [])).collect() == []
 
 
+def test_borders_are_in_order_and_split_exactly(spark):
+    """Against the places themselves, with a group of equal texts across several shards."""
+    texts = ["hot text of all " * 30] * 900 + [f"text {k} " * (k % 50) for k in range(900)]
+    rows = keyed(frame(spark, texts), "doc_id", "text")
+    places = sorted((r["place"], r["size"]) for r in rows.select("place", "size").collect())
+    total, largest = sum(size for _, size in places), max(size for _, size in places)
+    for shards, parts in ((5, 4), (24, 4), (3, 100)):
+        found, end = borders(rows, shards, parts, 0.0005)
+        assert len(found) == shards * parts - 1 and found == sorted(found) and (end.bytes, end.rows) == (total, len(places))
+        for k, border in enumerate(found):
+            below = [size for place, size in places if place < border.key]
+            assert (sum(below), len(below)) == (border.bytes, border.rows)
+            if (k + 1) % parts == 0:
+                assert abs(border.bytes - total * (k + 1) / shards / parts) <= max(0.0005 * total / shards, largest)
+
+
 def test_shards_hold_the_whole_rows(spark, tmp_path):
     texts = [None, "", *[f"text {k % 300} " * (k % 40) for k in range(900)]]
     df = frame(spark, texts).union(frame(spark, [None, "again", "again"])).repartition(3)

@@ -24,6 +24,8 @@ from turnloom.llm.transducer import Machine, Memo, lookahead
 
 #: Words whose tokens a worker keeps.
 WORDS = 120_000
+#: Words whose ids are held at a time.
+PART = 8192
 END = "</w>"
 # Fixed value: white space of the tokenizer's patterns (Unicode's White_Space).
 BLANK = r"\t-\r\x20\x85\xa0  -     　"
@@ -103,6 +105,21 @@ class Bpe:
         words = self.split.findall(self.normal(text))
         return [t for ids in map(self.ids.__getitem__, words) for t in ids]
 
+    def encoded(self, text: str | None) -> Iterator[list[int]]:
+        """The ids of ``encode`` in parts of a bounded number of words."""
+        at = 0
+        for mark in self.marks.finditer(text) if text and "<|" in text else ():
+            yield from self._parts(text[at : mark.start()])
+            yield [self.special[mark[0]]]
+            at = mark.end()
+        if text:
+            yield from self._parts(text[at:] if at else text)
+
+    def _parts(self, text: str) -> Iterator[list[int]]:
+        words = self.split.findall(self.normal(text))
+        for at in range(0, len(words), PART):
+            yield [t for ids in map(self.ids.__getitem__, words[at : at + PART]) for t in ids]
+
     def decode(self, ids: Iterable[int]) -> str:
         """As the tokenizer without a decoder gives it: token strings joined by one space."""
         names = self.names
@@ -122,6 +139,28 @@ class Bpe:
         yield machine.decode(b"", final=True)
 
 
+class Digests:
+    """The decoder as a machine that takes tokens part by part: it keeps how many there were, whether a
+    space is due, and the states of two hashes; neither ids nor text are held."""
+
+    def __init__(self, machine: Bpe, digits: dict[int, str]) -> None:
+        self.machine, self.digits = machine, digits
+        self.count = 0
+        self.started = False  # whether a token that has a string has come
+        self.ids, self.text = hashlib.sha256(), hashlib.sha256()
+
+    def push(self, part: list[int]) -> None:
+        if not part:
+            return
+        digits, names = self.digits, self.machine.names
+        self.ids.update(((" " if self.count else "") + " ".join([digits[t] for t in part])).encode())
+        self.count += len(part)
+        known = [names[t] for t in part if t in names]
+        if known:
+            self.text.update(((" " if self.started else "") + " ".join(known)).encode())
+            self.started = True
+
+
 @lru_cache(maxsize=2)
 def bpe(data: bytes) -> Bpe:
     return Bpe(data)
@@ -170,7 +209,8 @@ def decode(df: DataFrame, tokenizer: str, keys: tuple[str, ...] = ("doc_id",), i
 def round_trip(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_tokens, ids_sha256, decoded_sha256``: encode, decode, and digests of both.
 
-    Both directions run in one pass, so neither ids nor decoded texts leave the task.
+    Both directions run in one pass, part by part, so neither ids nor decoded texts leave the
+    task or are ever held whole.
     """
     shared = _shared(df, tokenizer)
 
@@ -179,15 +219,41 @@ def round_trip(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "
         digits = {t: str(t) for t in machine.names}
 
         def work(texts: list[str | None]) -> list:
-            n, ids_sha, text_sha = [], [], []
+            found = []
             for t in texts:
-                ids = machine.encode(t)
-                n.append(len(ids))
-                joined = " ".join([digits[x] for x in ids])
-                ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
-                text_sha.append(hashlib.sha256(machine.decode(ids).encode()).hexdigest())
-            return [n, ids_sha, text_sha]
+                digests = Digests(machine, digits)
+                for part in machine.encoded(t):
+                    digests.push(part)
+                found.append((digests.count, digests.ids.hexdigest(), digests.text.hexdigest()))
+            return list(map(list, zip(*found)))
 
         return work
 
     return map_texts(df, [key], text, make, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_decode(df: DataFrame, tokenizer: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """``keys``, ``ids`` (array<int>), and ``decoded_sha256`` of the text that the ids decode to.
+
+    NULL and empty texts, and texts of white space only, have no ids and decode to the empty text.
+    """
+    shared = _shared(df, tokenizer)
+
+    def make():
+        machine = _worker(shared)
+        digits = {t: str(t) for t in machine.names}
+
+        def work(texts: list[str | None]) -> list:
+            ids, shas = [], []
+            for t in texts:
+                own, digests = [], Digests(machine, digits)
+                for part in machine.encoded(t):
+                    digests.push(part)
+                    own += part
+                ids.append(own)
+                shas.append(digests.text.hexdigest())
+            return [ids, shas]
+
+        return work
+
+    return map_texts(df, keys, text, make, "ids array<int>, decoded_sha256 string")

@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 from turnloom.session import new_path
 
 #: Digits of the first candidates, and digits added each time they are refined.
-FIRST, MORE = 3, 2
-#: Ranges a shard is numbered in at least, and rows and bytes of one range at most, about.
-RANGES, ROWS, BYTES = 4, 500_000, 256 << 20
-#: A border may be off by this share of a shard's bytes, or by half a row.
-TOLERANCE = 0.0005
+FIRST, MORE = 3, 1
+#: Ranges a shard is numbered in at least, rows and bytes of one range about, and ranges of all
+#: shards at most: what the driver counts does not grow with the table beyond them.
+RANGES, ROWS, BYTES, MOST = 4, 500_000, 256 << 20, 4096
+#: A border may be off by this share of a shard's bytes, or by half a row; one inside a shard, which
+#: only says where a task ends, by this share of a range.
+TOLERANCE, INSIDE = 0.0005, 0.25
 
 
 class Border(NamedTuple):
@@ -74,11 +76,12 @@ def _histogram(rows: DataFrame, prefixes: list[str] | None, digits: int) -> list
     return sorted(Bin(*row) for row in counted.collect())
 
 
-def borders(rows: DataFrame, ranges: int, slack: float) -> tuple[list[Border], Border]:
-    """``ranges - 1`` borders between about equal byte sums, and the end.
+def borders(rows: DataFrame, shards: int, parts: int, tolerance: float) -> tuple[list[Border], Border]:
+    """Borders between ``shards`` of about equal byte sums, and between ``parts`` of each; and the end.
 
-    A round collects at most 4,096 bins, or 256 for each border that is still open.
+    A round collects at most 4,096 bins, or 16 for each border that is still open.
     """
+    ranges = shards * parts
     top = _histogram(rows, None, FIRST)
     total, count = sum(b.bytes for b in top), sum(b.rows for b in top)
     found: list[Border | None] = [None] * (ranges - 1)
@@ -95,6 +98,7 @@ def borders(rows: DataFrame, ranges: int, slack: float) -> tuple[list[Border], B
             else:  # no rows at all
                 found[k] = Border("g", total, count)
                 continue
+            slack = tolerance * total / shards if (k + 1) % parts == 0 else INSIDE * total / ranges
             if b.bytes <= slack or b.rows == 1 or b.low == b.high:
                 below = target - bytes_before <= b.bytes / 2
                 found[k] = (
@@ -113,6 +117,13 @@ def borders(rows: DataFrame, ranges: int, slack: float) -> tuple[list[Border], B
             for p in some:
                 below = [b for b in bins if b.prefix.startswith(p)]
                 todo |= {k: (below, *before[p][:2]) for k in again[p]}
+    # A border inside a shard is only about right: it stays between those of the shard.
+    for k in range(1, ranges - 1):
+        if (k + 1) % parts:
+            found[k] = max(found[k], found[k - 1])
+    for k in range(ranges - 3, -1, -1):
+        if (k + 1) % parts:
+            found[k] = min(found[k], found[k + 1])
     return found, Border("g", total, count)
 
 
@@ -133,8 +144,8 @@ def sharded(
     rows = keyed(df, key, text)
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     parts = max(RANGES, -(-count // (ROWS * shards)), -(-total // (BYTES * shards)))
-    measured = rows.select("place", "size")
-    found, end = borders(measured, shards * parts, tolerance * total / shards)
+    parts = min(parts, max(RANGES, MOST // shards))
+    found, end = borders(rows.select("place", "size"), shards, parts, tolerance)
     starts = [Border("", 0, 0), *found]
     # Which range: borders before the key's first digits, and those among its kind.
     keys = [b.key for b in found]
