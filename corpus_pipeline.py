@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm.bagminhash import near_texts, text_key
-from turnloom.llm.bpe import encode
+from turnloom.llm.bpe import encode_decode
 from turnloom.llm.components import written
 from turnloom.llm.decontam import contaminated
 from turnloom.llm.langid import UNKNOWN, held_out, identify, train
@@ -18,14 +18,12 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without any letter (or text) go."""
+    """Documents whose language can be told; those without any letter (or text) go. Documents that
+    came without a language get the one that their text has."""
     docs = docs.select(*COLUMNS)
     profiles = train(docs.filter(~held_out("doc_id")))
-    return (
-        identify(docs, profiles, COLUMNS, "text")
-        .filter(F.col("lang_pred") != UNKNOWN)
-        .select(*COLUMNS)
-    )
+    found = identify(docs, profiles, COLUMNS, "text").filter(F.col("lang_pred") != UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,9 +72,11 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their token ids."""
-    coded = encode(docs, public_tokenizers.path(TOKENIZER), (*COLUMNS,))
-    return coded.select(*COLUMNS, F.col("ids").alias("input_ids"), F.size("ids").cast("long").alias("n_tokens"))
+    """All documents with their token ids, and the digest of what these decode to."""
+    coded = encode_decode(docs, public_tokenizers.path(TOKENIZER), (*COLUMNS,))
+    return coded.select(
+        *COLUMNS, F.col("ids").alias("input_ids"), F.size("ids").cast("long").alias("n_tokens"), "decoded_sha256"
+    )
 
 
 STAGES = [
