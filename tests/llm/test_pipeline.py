@@ -1,6 +1,7 @@
 """The five stages, in a row, against what is planted; pages as rows of a table."""
 
 import random
+from hashlib import sha256
 from itertools import combinations
 
 import public_tokenizers
@@ -36,7 +37,8 @@ def test_stages_equal_a_plain_search(spark, tmp_path):
         text = texts[k].replace("password = hunter22hunter", "[secret]")
         assert (r["text"], r["n_chars"], r["source"]) == (text, len(text), None)
         assert r["input_ids"] == library.encode(text, add_special_tokens=False).ids
-        assert r["n_tokens"] == len(r["input_ids"])
+        assert r["n_tokens"] == len(r["input_ids"]) and r["lang"] == "aa"
+        assert r["decoded_sha256"] == sha256(library.decode(r["input_ids"], skip_special_tokens=False).encode()).hexdigest()
 
 
 def test_one_row_of_repeated_documents_stays(spark):
