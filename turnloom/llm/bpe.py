@@ -72,7 +72,6 @@ class Bpe:
         self.machine = Machine(spelling, lambda a, b: self.merges.get((a, b)), lambda s: ())
         self.lookahead = lookahead(spelling, ((k, a, b) for (a, b), (k, _) in self.merges.items()))
         self.ids = Memo(self.word, WORDS)
-        self.forms = Memo(self.form, WORDS)
         self.split = regex.compile(splits[0]["pattern"]["Regex"].replace(r"\s", BLANK))
         self.blanks = regex.compile(f"[{BLANK}]+")
         self.marks = regex.compile("|".join(map(regex.escape, self.special)) or "(?!)")
@@ -85,11 +84,6 @@ class Bpe:
     def word(self, word: str) -> tuple[int, ...]:
         return tuple(self.machine.run(self.symbols(word)))
 
-    def form(self, word: str) -> tuple[int, str, str]:
-        """A word's number of tokens, their ids and their strings, joined by spaces."""
-        ids = self.word(word)
-        return len(ids), " ".join(map(str, ids)), self.decode(ids)
-
     def normal(self, text: str) -> str:
         """NFC, runs of white space as one space, each character in lower case by itself."""
         text = unicodedata.normalize("NFC", text)
@@ -167,34 +161,6 @@ class Digests:
             self.started = True
 
 
-    def push_words(self, words: list[str]) -> None:
-        """As ``push`` with the tokens of words, each of which is spelled once and remembered."""
-        forms = [form for form in map(self.machine.forms.__getitem__, words) if form[0]]
-        if not forms:
-            return
-        lead = " " if self.count else ""
-        self.ids.update((lead + " ".join([digits for _, digits, _ in forms])).encode())
-        lead = " " if self.started else ""
-        self.text.update((lead + " ".join([names for _, _, names in forms])).encode())
-        self.count += sum([n for n, _, _ in forms])
-        self.started = True
-
-    def push_text(self, text: str | None) -> None:
-        """A whole text: strings of special tokens are these tokens, the rest is words."""
-        machine, at = self.machine, 0
-        for mark in machine.marks.finditer(text) if text and "<|" in text else ():
-            self._push_plain(text[at : mark.start()])
-            self.push([machine.special[mark[0]]])
-            at = mark.end()
-        if text:
-            self._push_plain(text[at:] if at else text)
-
-    def _push_plain(self, text: str) -> None:
-        words = self.machine.split.findall(self.machine.normal(text))
-        for at in range(0, len(words), PART):
-            self.push_words(words[at : at + PART] if len(words) > PART else words)
-
-
 @lru_cache(maxsize=2)
 def bpe(data: bytes) -> Bpe:
     return Bpe(data)
@@ -256,7 +222,8 @@ def round_trip(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "
             found = []
             for t in texts:
                 digests = Digests(machine, digits)
-                digests.push_text(t)
+                for part in machine.encoded(t):
+                    digests.push(part)
                 found.append((digests.count, digests.ids.hexdigest(), digests.text.hexdigest()))
             return list(map(list, zip(*found)))
 
