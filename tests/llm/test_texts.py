@@ -67,6 +67,8 @@ def test_ids_and_decoding_are_the_library_s(spark):
     words = [w for t in texts if t for w in machine.split.findall(machine.normal(t))]
     assert max(machine.machine.waiting(machine.symbols(w)) for w in words) <= machine.lookahead
     assert "".join(machine.text(machine.encode("Hello Wörld 日本"))) == "hello wörld 日本 "
+    for t in [*filter(None, texts), " \t\x1c\x85\u3000 a\x00'S \xa0b's1²ΣİA\u0301\n", "\x7f \u200b!\u2028x"]:
+        assert machine.words(t) == machine.split.findall(machine.normal(t))
 
 
 def test_spans_equal_a_plain_search(spark):

@@ -77,7 +77,8 @@ class Bpe:
         self.marks = regex.compile("|".join(map(regex.escape, self.special)) or "(?!)")
 
     def symbols(self, word: str) -> list[str]:
-        out = [self.letters[b] for b in word.encode()]
+        plain = word.isascii() and word.isprintable()  # such bytes are their own letters
+        out = list(word) if plain else [self.letters[b] for b in word.encode()]
         out[-1] += END
         return out
 
@@ -89,6 +90,10 @@ class Bpe:
         text = unicodedata.normalize("NFC", text)
         return self.blanks.sub(" ", text).replace("Σ", "σ").lower()
 
+    def words(self, text: str) -> list[str]:
+        """The words of ``normal``. None holds white space, so its runs need not become one space."""
+        return self.split.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+
     def encode(self, text: str | None) -> list[int]:
         """Token ids; strings of special tokens in the text become these tokens."""
         if not text:
@@ -102,7 +107,7 @@ class Bpe:
         return ids + self._plain(text[at:] if at else text)
 
     def _plain(self, text: str) -> list[int]:
-        words = self.split.findall(self.normal(text))
+        words = self.words(text)
         return [t for ids in map(self.ids.__getitem__, words) for t in ids]
 
     def encoded(self, text: str | None) -> Iterator[list[int]]:
@@ -116,7 +121,7 @@ class Bpe:
             yield from self._parts(text[at:] if at else text)
 
     def _parts(self, text: str) -> Iterator[list[int]]:
-        words = self.split.findall(self.normal(text))
+        words = self.words(text)
         for at in range(0, len(words), PART):
             yield [t for ids in map(self.ids.__getitem__, words[at : at + PART]) for t in ids]
 
