@@ -15,7 +15,7 @@ import tokenizers
 
 from turnloom.llm.blocks import main_text
 from turnloom.llm.bpe import bpe, encode, round_trip
-from turnloom.llm.decontam import contaminated
+from turnloom.llm.decontam import _emit, _targets, contaminated
 from turnloom.llm.langid import language_ids
 from turnloom.llm.licenses import TEMPLATES, scan_licenses
 from turnloom.llm.secrets import Scanner, Span, checksum, find_secrets
@@ -255,6 +255,33 @@ def test_short_items_do_not_mark_every_text(spark):
     assert {(2, 0), (4, 4), (5, 3), (6, 1)} <= got and not got & {(0, 0), (1, 1), (3, 2), (5, 2), (0, 4), (1, 4)}
 
 
+def test_items_of_one_stem(spark):
+    """Windows that many items share are joined once, and nothing changes in the result."""
+    stem = "Which of the following statements about the matter is true"
+    tail = "Choose the one answer that fits the text above best of all the four that are given here"
+    rnd = random.Random(2)
+    own = [" ".join(f"w{rnd.randrange(900)}x" for _ in range(12)) for _ in range(600)]
+    items = [f"{stem} {own[k]}" for k in range(300)]  # ten shared words: no item is held by them
+    items += [f"{own[k]}. {tail}" for k in range(300, 400)]  # all are held by the tail
+    items += [f"Tom has {k} apples and Ann has {k + 1} pears for the way home today" for k in range(60)]
+    items += [items[0], None, ""]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    bench = bench.union(bench.filter("item_id < 3")).union(bench.filter("item_id = 5").selectExpr("NULL", "text"))
+    texts = [f"x {stem} {own[7]}", f"{stem} is asked here", f"{own[1]} {stem}", f"so. {tail}", f"{own[310]}. {tail}", f"a {own[305]} {tail[:30]}"]
+    texts += ["They say Sam has 7 apples and Eve has 8 pears for the way home today", "Sam has 7 apples and Eve has 7 pears for the way home today", items[0], None, items[0]]
+    docs = frame(spark, texts).select("doc_id", "text").union(spark.createDataFrame([(None, items[9]), (3, items[8])], "doc_id long, text string"))
+    want = sorted(contaminated(docs, bench, common=1 << 30).collect(), key=repr)
+    held = Counter(r["doc_id"] for r in want)
+    assert held[3] == 101 and held[4] == 100 and held[6] == 60 and held[0] == held[None] == 1 and held[8] == 2 and not {1, 2} & {*held}
+    for common in (0, 5, 64):
+        assert sorted(contaminated(docs, bench, common=common).collect(), key=repr) == want
+    items = [f"{stem} {own[k % 600]} {k}" for k in range(5000)]
+    windows = _emit(spark.createDataFrame(list(enumerate(items)), "id long, text string"), "id", "text", [], None, True)
+    names = {"id": "item", "n_words": "item_words", "at": "item_at", "slots": "item_slots", "loose": "item_loose"}
+    targets, stems = _targets(windows.drop("text_hash").withColumnsRenamed(names), 64)
+    assert targets.filter("stem IS NOT NULL").select("stem").distinct().count() == 1 and stems.count() == 5000
+
+
 def test_contaminated_rows_that_repeat_and_lack_ids(spark):
     item = "the quick brown fox jumps over the lazy dog while seven sleepy cats watch from an old fence"
     bench = spark.createDataFrame([(1, item), (1, item), (None, item)], "item_id long, text string")

@@ -24,12 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.llm.bagminhash import mix
+from turnloom.llm.components import written
 from turnloom.llm.transducer import Memo
 
 #: Canonical words of a window, and of an aligned match at least (or the whole item).
 WINDOW, LEAST = 8, 13
 #: Words that must agree as they are where an item is shorter than a window.
 LITERAL = 5
+#: Items up to which a window is joined with each; what more items share is joined once, as their stem.
+COMMON = 64
 #: Bits of the bitmap, as a power of two: 2 MB whatever the benchmark's size.
 BITS = 24
 #: Placeholders a window may have at most, else it counts in its literal form only; the
@@ -198,7 +201,7 @@ def _emit(df: DataFrame, key: str, text: str, sizes: list[int], bitmap, whole: b
             for row, text in enumerate(texts):
                 words = maker.canonical(text or "")
                 n = len(words.value)
-                own = sizes
+                own, sha = sizes, None
                 if whole:
                     own = [min(n, WINDOW)] if n else []
                 for size in own:
@@ -208,12 +211,14 @@ def _emit(df: DataFrame, key: str, text: str, sizes: list[int], bitmap, whole: b
                         if bits is not None:
                             place = form.hash >> np.uint64(64 - BITS)
                             good = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                        if sha is None and good.any():
+                            sha = xxhash.xxh3_64_intdigest(text) >> 1
                         for at, h in zip(form.at[good].tolist(), form.hash[good]):
                             owner.append(row)
                             n_words.append(n)
                             ats.append(at)
                             hashes.append(h)
-                            digest.append(xxhash.xxh3_64_intdigest(text) >> 1)
+                            digest.append(sha)
                             where = np.flatnonzero(form.slot[at : at + size]) + at
                             slots.append(words.value[where].astype(np.int64).tolist())
                             loose.append(form.loose)
@@ -248,75 +253,149 @@ def _bitmap(windows: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def contaminated(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    item: str = "item_id",
-    item_text: str = "text",
-) -> DataFrame:
-    """``key, item, n_windows, n_words, n_slots``: documents that hold a benchmark item.
+def _targets(items: DataFrame, common: int) -> tuple[DataFrame, DataFrame]:
+    """What documents' windows are joined with, and the items of each stem.
 
-    A row says that one alignment of the document with the item has so many matching
-    windows, which cover at least LEAST words (or the item, where it is shorter), and that
-    its ``n_slots`` distinct placeholder values stand for one value each. The best
-    alignment of a pair is given, the first of equals. A window may match as it is, whatever
-    its letter case and however many numbers or names it holds, or by its template. An item
-    shorter than a window is held only with LITERAL of its words as they are, or by a document
-    that has no other words: ``yes`` does not mark every text with that word. Repeated rows of a document give one
-    row; the same id with several texts is one document that holds what any of them does. NULL and
-    empty texts hold nothing, empty items are never held, an empty table gives none; other
-    columns are not read, but keys and texts may have any name.
+    A window of at most ``common`` items is joined with these. An item's windows that more items
+    share are its stem, which all items with the same ones at the same distances have together: a
+    stem is one target, however many items have it, and its places count from its first window.
     """
-    spark = docs.sparkSession
-    items = _emit(benchmark.select(F.col(item).alias("_i"), F.col(item_text).alias("_t")), "_i", "_t", [], None, True)
-    items = items.select(
-        F.col("id").alias("item"),
-        F.col("n_words").alias("item_words"),
-        F.col("at").alias("item_at"),
-        "window",
-        F.col("slots").alias("item_slots"),
-        F.col("loose").alias("item_loose"),
+    many = items.select("window", "item", "item_words").distinct().groupBy("window").count()
+    many = many.filter(F.col("count") > common).select("window", F.lit(True).alias("many"))
+    marked = items.join(many, "window", "left")
+    spot = F.struct("item_at", "window", "item_slots", "item_loose")
+    spots = F.sort_array(F.collect_set(spot))
+    # Only up to LEAST does an item's length matter to what holds it.
+    length = F.least("item_words", F.lit(LEAST))
+    stems = (
+        marked.filter("many")
+        .groupBy("item", "item_words")
+        .agg(F.min("item_at").alias("begin"), spots.alias("spots"))
+        .withColumn("spots", F.transform("spots", lambda x: x.withField("item_at", x["item_at"] - F.col("begin"))))
+        .withColumn("stem", F.sha2(F.to_json(F.struct(length.alias("length"), "spots")), 256))
     )
-    short = [r["n"] for r in items.select(F.least("item_words", F.lit(WINDOW)).alias("n")).distinct().collect()]
-    bitmap = spark.sparkContext.broadcast(_bitmap(items))
-    found = _emit(docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")), "_k", "_t", sorted(short), bitmap, False)
+    shared = stems.groupBy("stem").agg(F.first("spots").alias("spots"), F.first(length).alias("item_words"))
+    shared = shared.select("stem", "item_words", F.inline("spots"))
+    alone = marked.filter("many IS NULL").drop("many").withColumn("stem", F.lit(None).cast("string"))
+    return alone.unionByName(shared, allowMissingColumns=True), stems.select("item", "item_words", "begin", "stem")
+
+
+def _aligned(found: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row per document's text, target and shift, with the matches: ``sure``, and ``all``."""
     # Copies of a window within one text and repeated rows meet here; most windows have no partner.
     # An item of few words says little: unless the document is nothing but it, five must agree.
     few = F.col("item_words") - F.size("item_slots") < LITERAL
     enough = (F.col("item_words") >= WINDOW) | ~few | (F.col("n_words") == F.col("item_words"))
-    matched = found.join(items, "window").filter(enough).select(
+    matched = found.join(targets, "window").filter(enough).select(
         "id",
         "text_hash",
         "item",
+        "stem",
         "item_words",
         "item_at",
         (F.col("at") - F.col("item_at")).alias("shift"),
         F.arrays_zip(F.col("item_slots").alias("theirs"), F.col("slots").alias("ours")).alias("pairs"),
         (~(F.col("loose") | F.col("item_loose"))).alias("sure"),
     )
-    group = ["id", "text_hash", "item", "item_words", "shift"]
     sure = F.when(F.col("sure"), F.struct("item_at", "pairs"))
-    aligned = matched.groupBy(*group).agg(
+    return matched.groupBy("id", "text_hash", "item", "stem", "item_words", "shift").agg(
         F.collect_set(sure).alias("sure"), F.collect_set(F.struct("item_at", "pairs")).alias("all")
     )
+
+
+def _whole(aligned: DataFrame, stems: DataFrame) -> DataFrame:
+    """Alignments with items only. A stem's matches go to the items that match elsewhere, too, and, where
+    the stem alone is enough to hold an item, to all that have it: no other item can be held."""
+    group = ["id", "text_hash", "item", "item_words", "shift"]
+    own, shared = aligned.filter("stem IS NULL").drop("stem"), aligned.filter("stem IS NOT NULL")
+    shared = shared.drop("item", "item_words")
+    of = stems.select(F.col("item").alias("_item"), F.col("item_words").alias("_words"), "begin", "stem")
+
+    def placed(matches: str):
+        return F.transform(matches, lambda m: m.withField("item_at", m["item_at"] + F.col("begin"))).alias(matches)
+
+    at = own.select(*group).join(of, F.col("item").eqNullSafe(F.col("_item")) & (F.col("item_words") == F.col("_words")))
+    at = at.select(
+        F.col("id").alias("_id"), "text_hash", "item", "item_words", (F.col("shift") + F.col("begin")).alias("shift"), "stem", "begin"
+    )
+    beside = shared.join(at, ["text_hash", "stem", "shift"]).filter(F.col("id").eqNullSafe(F.col("_id")))
+    enough = _held(aligned.filter("stem IS NOT NULL").drop("item").withColumnRenamed("stem", "item"))
+    enough = enough.select(F.col("id").alias("_id"), "text_hash", F.col("item").alias("stem"), "shift").distinct()
+    alone = shared.join(enough, ["text_hash", "stem", "shift"]).filter(F.col("id").eqNullSafe(F.col("_id")))
+    alone = alone.join(of.withColumnsRenamed({"_item": "item", "_words": "item_words"}), "stem")
+    columns = ["id", "text_hash", "item", "item_words", (F.col("shift") - F.col("begin")).alias("shift"), placed("sure"), placed("all")]
+    parts = own.select(*group, "sure", "all").union(beside.select(*columns)).union(alone.select(*columns))
+    joined = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("sure", "all")]
+    return parts.groupBy(*group).agg(*joined)
+
+
+def _held(aligned: DataFrame) -> DataFrame:
+    """The alignments that hold their item."""
     # Matches that need possible names may add to an alignment; if their values clash, it
     # stands or falls by the others.
     aligned = aligned.withColumn("matches", F.explode(F.array("sure", "all"))).select(
-        *group,
+        "id",
+        "text_hash",
+        "item",
+        "item_words",
+        "shift",
         F.size(F.array_distinct(F.transform("matches", lambda m: m["item_at"]))).cast("long").alias("n_windows"),
         F.array_distinct(F.flatten(F.transform("matches", lambda m: m["pairs"]))).alias("pairs"),
     )
     theirs = F.array_distinct(F.transform("pairs", lambda p: p["theirs"]))
     covered = F.col("n_windows") + F.least("item_words", F.lit(WINDOW)) - 1
-    held = aligned.filter(
+    return aligned.filter(
         (F.col("n_windows") > 0)
         & (covered >= F.least("item_words", F.lit(LEAST)))
         & (F.size("pairs") == F.size(theirs))
     ).select(
-        "id", "item", "n_windows", covered.alias("n_words"), F.size("pairs").cast("long").alias("n_slots"), "shift"
+        "id", "text_hash", "item", "n_windows", covered.alias("n_words"), F.size("pairs").cast("long").alias("n_slots"), "shift"
+    )
+
+
+def contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+    common: int = COMMON,
+) -> DataFrame:
+    """``key, item, n_windows, n_words, n_slots``: documents that hold a benchmark item.
+
+    A row says that one alignment of the document with the item has so many matching
+    windows, which cover at least LEAST words (or the item, where it is shorter), and that
+    its ``n_slots`` distinct placeholder values stand for one value each. The best
+    alignment of a pair is given, the first of equals. A window may match as it is, whatever
+    its letter case and however many numbers or names it holds, or by its template. An item
+    shorter than a window is held only with LITERAL of its words as they are, or by a document
+    that has no other words: ``yes`` does not mark every text with that word. Windows that more than
+    ``common`` items share are joined once for all items that have the same ones, and their matches
+    go to items only where these match elsewhere or are held by them; ``common`` changes no result. Repeated rows of a document give one
+    row; the same id with several texts is one document that holds what any of them does. NULL and
+    empty texts hold nothing, empty items are never held, an empty table gives none; other
+    columns are not read, but keys and texts may have any name.
+    """
+    spark = docs.sparkSession
+    items = _emit(benchmark.select(F.col(item).alias("_i"), F.col(item_text).alias("_t")), "_i", "_t", [], None, True)
+    items = written(
+        items.select(
+            F.col("id").alias("item"),
+            F.col("n_words").alias("item_words"),
+            F.col("at").alias("item_at"),
+            "window",
+            F.col("slots").alias("item_slots"),
+            F.col("loose").alias("item_loose"),
+        ),
+        "items",
     )
+    short = [r["n"] for r in items.select(F.least("item_words", F.lit(WINDOW)).alias("n")).distinct().collect()]
+    bitmap = spark.sparkContext.broadcast(_bitmap(items))
+    found = _emit(docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")), "_k", "_t", sorted(short), bitmap, False)
+    targets, stems = _targets(items, common)
+    aligned = written(_aligned(found, targets), "aligned")
+    held = _held(_whole(aligned, stems))
     best = held.groupBy("id", "item").agg(
         F.max(F.struct("n_windows", -F.col("shift"), F.col("n_words"), F.col("n_slots"))).alias("best")
     )
