@@ -1,13 +1,15 @@
 """License scans by a positional index of rare words, in DataFrame functions only.
 
-A template is a run of words of a licence with mandatory key phrases. Its anchor is the
-key-phrase word that fewest documents hold (the highest IDF, measured over all
-documents). Wherever a file has an anchor, the template's other words are expected at
-fixed distances from it; the key phrases must all stand there, and a share of the words.
+A template is a run of words of a licence with mandatory key phrases. Its anchors are the
+two key-phrase words that fewest documents hold (the highest IDF, measured over all
+documents). The places of both in a file, less their places in the template, are two postings
+of starts, which are intersected. At a start left over the key phrases must all stand, and a
+share of the words.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -88,8 +90,9 @@ def _words(words) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
-def anchors(words: DataFrame, column: str, templates=TEMPLATES) -> list[int]:
-    """For each template the place of its anchor, by how many rows hold each word.
+def anchors(words: DataFrame, column: str, templates=TEMPLATES) -> list[list[int]]:
+    """For each template the places of its two rarest key words (of its only one), by how many rows
+    hold each word.
 
     Collects one count per distinct template word, whatever the size of the table.
     """
@@ -100,16 +103,15 @@ def anchors(words: DataFrame, column: str, templates=TEMPLATES) -> list[int]:
         .count()
     )
     rows = {r["word"]: r["count"] for r in counted.collect()}
-    return [
-        min(
-            (at + k for at, n in t.keys for k in range(n)),
-            key=lambda place: (rows.get(t.words[place], 0), t.words[place], place),
-        )
-        for t in templates
-    ]
+    found = []
+    for t in templates:
+        places = {t.words[at + k]: at + k for at, n in reversed(t.keys) for k in reversed(range(n))}
+        rarest = sorted(places, key=lambda word: (rows.get(word, 0), word))[:2]
+        found.append([places[word] for word in rarest])
+    return found
 
 
-def _found(t: Template, place: int) -> Column:
+def _found(t: Template, places: list[int]) -> Column:
     """Structs of start and share for each place where the template stands."""
     phrase = _words(t.words)
 
@@ -123,12 +125,10 @@ def _found(t: Template, place: int) -> Column:
             test &= F.slice("words", F.greatest(start, F.lit(0)) + at + 1, n) == _words(t.words[at : at + n])
         return test
 
-    starts = F.filter(
-        F.transform(
-            F.filter("hits", lambda h: h["word"] == t.words[place]), lambda h: h["at"] - place
-        ),
-        verified,
-    )
+    def posting(place: int) -> Column:
+        return F.transform(F.filter("hits", lambda h: h["word"] == t.words[place]), lambda h: h["at"] - place)
+
+    starts = F.filter(reduce(F.array_intersect, map(posting, places)), verified)
     if t.keys == ((0, len(t.words)),):
         return F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(1.0).alias("share")))
     scored = F.transform(starts, lambda s: F.struct(s.alias("start"), share(s).alias("share")))
@@ -148,7 +148,7 @@ def scan_licenses(
     """
     words = df.select(key, words_of(F.col(text)).alias("words"))
     places = anchors(words, "words", templates)
-    rare = _words(sorted({t.words[p] for t, p in zip(templates, places)}))
+    rare = _words(sorted({t.words[p] for t, own in zip(templates, places) for p in own}))
     none = F.array().cast("array<struct<word:string,at:int>>")
     indexed = F.filter(
         F.transform("words", lambda w, at: F.struct(w.alias("word"), at.alias("at"))),
@@ -156,10 +156,10 @@ def scan_licenses(
     )
     hits = words.withColumn("hits", F.when(F.arrays_overlap("words", rare), indexed).otherwise(none))
     columns = [
-        F.when(F.size("hits") > 0, _found(t, p)).otherwise(
+        F.when(F.size("hits") > 0, _found(t, own)).otherwise(
             F.array().cast("array<struct<start:int,share:double>>")
         )
-        for t, p in zip(templates, places)
+        for t, own in zip(templates, places)
     ]
     found = hits.select(
         key,
