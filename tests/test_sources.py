@@ -11,7 +11,7 @@ from turnloom.functions.tokens import PIECES
 from turnloom.operators.keep import keep_records
 from turnloom.operators.order import batches, shuffled
 from turnloom.operators.records import first_and_rest, prompt_records
-from turnloom.operators.vocab import decode, encode, vocabulary
+from turnloom.operators.vocab import _asked, _common, decode, encode, vocabulary
 from turnloom.plans.prompts import prepare_prompts
 from turnloom.plans.scoring import record_rewards
 from turnloom.session import new_path, shared_dir
@@ -125,6 +125,38 @@ def test_vocabulary_round_trip(spark):
         assert {r.id: r.tokens for r in unknown.collect()}[0].count(-1) == 2
 
 
+def test_large_vocabulary_asks_for_rare_tokens_only(spark):
+    rows = [(k % 7 if k % 5 else None, ["a", " ", "a", f"w{k // 2}", " ", f"v{k}", "<|im_end|>"]) for k in range(60)]
+    rows += [rows[3], rows[3], (1, ["a", None, "w1"]), (2, []), (None, None)]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>")
+    words = vocabulary(df.filter("NOT exists(tokens, t -> t IS NULL)"), F.col("tokens"), PIECES.specials)
+    ids = {r.token: r.id for r in words.collect()}
+    counts = {r.token: r.n for r in words.collect()}
+    assert (counts["a"], counts["<|im_start|>"], counts["w1"], counts["v3"]) == (62, 0, 4, 3)
+
+    def as_set(rows):
+        return sorted((str(r[0]), str(r[1])) for r in rows)
+
+    coded = [(i, None if t is None else [ids.get(x) for x in t]) for i, t in rows]
+    missing = [(i, None if t is None else [-1 if x in ("w1", "a", None) else ids[x] for x in t]) for i, t in rows]
+    for table in (words, words.drop("n")):
+        counted, common = _common(table, F.col("tokens"), df, "token", 5, 10_000)
+        copied = {r.token for r in counted.filter(common).collect()}
+        assert {"a", " ", "<|im_end|>"} <= copied and len(copied) <= 5
+        shared = spark.sparkContext.broadcast(dict.fromkeys(copied))
+        asked = _asked(df, "tokens", ["id"], shared).collect()
+        once = [{x for x in t or [] if x is not None} - copied for _, t in rows]
+        assert len(asked) == sum(map(len, once))
+        for max_rows in (0, 5, 40):
+            limits = {"max_rows": max_rows}
+            there = encode(df, "tokens", table, ["id"], **limits)
+            assert as_set(there.collect()) == as_set(coded)
+            part = table.filter("token NOT IN ('w1', 'a')")
+            found = encode(df, "tokens", part, ["id"], unknown=-1, **limits)
+            assert as_set(found.collect()) == as_set(missing)
+        assert as_set(decode(there, "tokens", table, ["id"], **limits).collect()) == as_set(rows)
+
+
 def test_shared_folder(spark):
     folder = shared_dir(spark)
     first, second = new_path(spark, "a"), new_path(spark, "a")
