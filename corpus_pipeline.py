@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from turnloom.llm.bagminhash import near_texts, text_key
 from turnloom.llm.bpe import encode_decode
-from turnloom.llm.components import written
+from turnloom.llm.components import possibly, written
 from turnloom.llm.decontam import contaminated
 from turnloom.llm.langid import UNKNOWN, held_out, identify, train
 from turnloom.llm.secrets import redact_secrets
@@ -38,13 +38,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     )
     marked = written(counted.filter("NOT kept OR n > 1"), "near-marked")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & text_key("text").eqNullSafe(F.col("_key"))
-    single = docs.join(marked.select("_id", "_key"), same, "left_anti")
+    suspect = possibly(marked, "_id", "_key")(F.col("doc_id"), text_key("text"))
+    suspects = docs.filter(suspect)
+    single = docs.filter(~suspect).union(suspects.join(marked.select("_id", "_key"), same, "left_anti"))
     heads = marked.filter("kept").select("_id", "_key")
     if heads.isEmpty():
         return single
     others = [c for c in COLUMNS if c not in ("doc_id", "text")]
     repeated = (
-        docs.join(heads, same, "left_semi")
+        suspects.join(heads, same, "left_semi")
         .groupBy("doc_id", text_key("text").alias("_key"))
         .agg(F.first("text").alias("text"), F.min(F.struct(*others)).alias("rest"))
     )

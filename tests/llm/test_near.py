@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from turnloom.llm.bagminhash import REGISTERS, Shingler, near_texts, signatures
-from turnloom.llm.components import components
+from turnloom.llm.components import components, possibly
 from turnloom.llm.pivots import near_vectors
 
 DOCS = "doc_id long, text string, n_chars long, class_id string, key int"
@@ -27,6 +27,15 @@ def roots_of(nodes, edges):
     return {n: find(n) for n in nodes}
 
 
+def test_possible_rows_hold_all_wanted_and_few_others(spark):
+    rows = [(k if k % 10 else None, f"t{k}" if k % 15 else None, "payload") for k in range(20_000)]
+    df = spark.createDataFrame(rows, "id long, name string, text string").repartition(3)
+    wanted = spark.createDataFrame([r[:2] for r in rows[::20]] * 2, "i long, n string")
+    found = df.filter(possibly(wanted, "i", "n")("id", "name")).select("id", "name").collect()
+    assert {r[:2] for r in rows[::20]} <= {tuple(r) for r in found} and len(found) < 1000 + 600
+    assert df.filter(possibly(wanted.limit(0), "i", "n")("id", "name")).count() == 0
+
+
 @pytest.mark.parametrize("shape", ["chain", "star", "random"])
 def test_components(spark, shape):
     rnd = random.Random(5)

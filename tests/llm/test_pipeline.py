@@ -54,6 +54,21 @@ def test_one_row_of_repeated_documents_stays(spark):
     assert [tuple(r) for r in got] == [rows[6]]
 
 
+def test_unmarked_documents_are_not_shuffled(spark):
+    texts = [" ".join(f"w{k}x{j}" for j in range(40)) for k in range(300)]
+    rows = [(k, t, "aa", "s", 1) for k, t in enumerate([*texts, texts[5]])]
+    docs = spark.createDataFrame(rows, DOCS.replace(", class_id string, ids int", ""))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = corpus_pipeline.near_duplicates(spark, docs, "")
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert {r["doc_id"] for r in found.collect()} == set(range(300))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.lstrip().startswith("Union") and "Join" not in plan.split("SortMergeJoin")[0]
+
+
 def test_stages_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

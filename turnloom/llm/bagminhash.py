@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.components import components, forest, written
+from turnloom.llm.components import components, forest, possibly, written
 from turnloom.llm.transducer import Memo
 
 #: Words of a shingle and the least overlap.
@@ -327,12 +327,13 @@ def _estimated_links(reps: DataFrame, banded: DataFrame) -> DataFrame:
     between texts that share a band."""
     signed = reps.select("key", "signature")
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = written(banded.join(sizes, "band").select("key", "band", "n"), "shared-bands")
     small = (
-        banded.join(sizes.filter(F.col("n") <= BLOCK).select("band"), "band")
+        shared.filter(F.col("n") <= BLOCK)
         .join(signed, "key")
         .select("band", F.lit(False).alias("settled"), F.lit(0).alias("low"), F.lit(0).alias("high"), "key", "signature")
     )
-    large = written(banded.join(sizes.filter(F.col("n") > BLOCK).select("band"), "band"), "large-bands")
+    large = shared.filter(F.col("n") > BLOCK).select("key", "band")
     centers = large.groupBy("band").agg(F.min("key").alias("center"))
     centers = centers.join(
         signed.select(F.col("key").alias("center"), F.col("signature").alias("center_signature")), "center"
@@ -368,7 +369,9 @@ def text_classes(df: DataFrame, key: str, text: str, least: float = LEAST) -> Da
     # Texts of the groups, once each, from the row of the least id: copies stay apart. From
     # here on all tables are of suspects only.
     wanted = groups.join(reps.select("key", "id"), "key").select(F.col("key").alias("k"), F.col("id").alias("i"), "root")
-    suspects = rows.join(wanted, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")))
+    wanted = written(wanted, "wanted")
+    asked = rows.filter(possibly(wanted, "k", "i")("key", "id"))
+    suspects = asked.join(wanted, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")))
     suspects = suspects.groupBy("key", "root").agg(F.first("text").alias("text"))
     suspects = written(suspects, "suspects")
     centers = suspects.filter("key = root").select("root", F.col("text").alias("center"))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.session import new_path
 
+#: Bits of a filter for each row that it stands for, at least, and its size at most (16 MB).
+FILTER_BITS, FILTER_LOG = 16, 27
+
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: cuts lineage and survives lost executors."""
@@ -15,6 +22,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def possibly(table: DataFrame, *columns: str) -> Callable[..., Column]:
+    """A condition on columns of the same types: true where their values are those of a row of
+    ``table`` (NULLs alike), and for some one in a hundred of the others. An exact join that
+    follows then moves few rows; beyond eight million rows of ``table`` it moves more."""
+    log = min(max(FILTER_BITS * table.count(), 64).bit_length(), FILTER_LOG)
+    mask = (1 << log) - 1
+
+    def places(h: Column) -> list[Column]:
+        return [h.bitwiseAND(F.lit(mask)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(mask))]
+
+    words = (
+        table.select(F.explode(F.array(*places(F.xxhash64(*columns)))).alias("place"))
+        .groupBy(F.shiftright("place", 6).alias("word"))
+        .agg(F.expr("bit_or(shiftleft(1L, CAST(place & 63 AS INT)))").alias("bits"))
+        .toArrow()
+    )
+    bitmap = np.zeros(1 << (log - 6), np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = table.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.arrow_udf("boolean")
+    def hit(hashes: pa.Array) -> pa.Array:
+        h = hashes.to_numpy(zero_copy_only=False).view(np.uint64)
+        bitmap, out = shared.value, np.ones(len(h), bool)
+        for shift in (0, 32):
+            place = ((h >> np.uint64(shift)) & np.uint64(mask)).astype(np.int64)
+            out &= (bitmap[place >> 6] >> (place & 63)) & 1 == 1
+        return pa.array(out)
+
+    return lambda *values: hit(F.xxhash64(*values))
+
+
 def _smallest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("low"))
 
@@ -57,8 +96,6 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 def forest(linked) -> list[int]:
     """The least row reachable from each row of a square boolean matrix of links."""
-    import numpy as np
-
     n = len(linked)
     root = np.arange(n)
     reach = linked | np.eye(n, dtype=bool)
