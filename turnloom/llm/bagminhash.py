@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.llm.components import components, forest, possibly, written
+from turnloom.llm.texts import map_texts, strings
 from turnloom.llm.transducer import Memo
 
 #: Words of a shingle and the least overlap.
@@ -143,7 +144,6 @@ def bands_of(signature: np.ndarray) -> np.ndarray:
 
 def sign(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """``keys`` and ``signature`` (binary, two bytes per register; NULL without words)."""
-    from turnloom.llm.texts import map_texts
 
     def make():
         bag = Shingler().bag
@@ -235,7 +235,7 @@ def _with_center(least: float):
         last: tuple[str | None, tuple] = (None, ())
         for batch in batches:
             flags = []
-            for own, center in zip(batch.column("text").to_pylist(), batch.column("center").to_pylist()):
+            for own, center in zip(strings(batch.column("text")), strings(batch.column("center"))):
                 if last[0] != center:
                     last = (center, bag(center))
                 flags.append(own == center or _overlap(bag(own), last[1]) >= least)

@@ -13,13 +13,12 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from turnloom.llm.texts import map_texts
+from turnloom.llm.texts import kept, map_texts
 from turnloom.llm.transducer import Machine, Memo, lookahead
 
 #: Words whose tokens a worker keeps.
@@ -166,9 +165,8 @@ class Digests:
             self.started = True
 
 
-@lru_cache(maxsize=2)
 def bpe(data: bytes) -> Bpe:
-    return Bpe(data)
+    return kept((Bpe, data), lambda: Bpe(data))
 
 
 def _worker(shared: Broadcast) -> Bpe:
@@ -193,7 +191,7 @@ def encode(df: DataFrame, tokenizer: str, keys: tuple[str, ...] = ("doc_id",), t
         one = _worker(shared).encode
         return lambda texts: [[one(t) for t in texts]]
 
-    return map_texts(df, keys, text, make, "ids array<int>")
+    return map_texts(df, keys, text, make, "ids array<int>", keeps=True)
 
 
 def decode(df: DataFrame, tokenizer: str, keys: tuple[str, ...] = ("doc_id",), ids: str = "ids", readable: bool = False) -> DataFrame:
@@ -208,7 +206,7 @@ def decode(df: DataFrame, tokenizer: str, keys: tuple[str, ...] = ("doc_id",), i
         one = (lambda x: "".join(machine.text(x))) if readable else machine.decode
         return lambda rows: [[one(x or ()) for x in rows]]
 
-    return map_texts(df, keys, ids, make, "decoded string")
+    return map_texts(df, keys, ids, make, "decoded string", keeps=True)
 
 
 def round_trip(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -234,7 +232,7 @@ def round_trip(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "
 
         return work
 
-    return map_texts(df, [key], text, make, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(df, [key], text, make, "n_tokens long, ids_sha256 string, decoded_sha256 string", keeps=True)
 
 
 def encode_decode(df: DataFrame, tokenizer: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -261,4 +259,4 @@ def encode_decode(df: DataFrame, tokenizer: str, keys: tuple[str, ...] = ("doc_i
 
         return work
 
-    return map_texts(df, keys, text, make, "ids array<int>, decoded_sha256 string")
+    return map_texts(df, keys, text, make, "ids array<int>, decoded_sha256 string", keeps=True)

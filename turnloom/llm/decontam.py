@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from turnloom.llm.bagminhash import mix
 from turnloom.llm.components import written
+from turnloom.llm.texts import forget, strings
 from turnloom.llm.transducer import Memo
 
 #: Canonical words of a window, and of an aligned match at least (or the whole item).
@@ -193,12 +194,12 @@ def _emit(df: DataFrame, key: str, text: str, sizes: list[int], bitmap, whole: b
     schema = f"id {key_type}, text_hash long, n_words int, at int, window long, slots array<long>, loose boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         maker = Templater()
         bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             owner, digest, n_words, ats, hashes, slots, loose = [], [], [], [], [], [], []
-            for row, text in enumerate(texts):
+            for row, text in enumerate(strings(batch.column(1))):
                 words = maker.canonical(text or "")
                 n = len(words.value)
                 own, sha = sizes, None
@@ -235,6 +236,8 @@ def _emit(df: DataFrame, key: str, text: str, sizes: list[int], bitmap, whole: b
                     ],
                     ["id", "text_hash", "n_words", "at", "window", "slots", "loose"],
                 )
+        batch = None
+        pa.default_memory_pool().release_unused()
 
     return df.select(key, text).mapInArrow(run, schema)
 

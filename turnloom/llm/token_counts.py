@@ -13,14 +13,13 @@ counted in chunks. Words seen before are one transition, from start to start.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 from typing import NamedTuple
 
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from turnloom.llm.pieces import SPACE, Pieces, read_pieces
-from turnloom.llm.texts import map_texts
+from turnloom.llm.texts import kept, map_texts
 from turnloom.llm.transducer import Machine, Memo
 
 #: Characters of a chunk, and words whose counts a worker keeps.
@@ -84,9 +83,8 @@ class Counter:
         return maps[0].count + self.sum(list(maps[0].open))
 
 
-@lru_cache(maxsize=2)
 def counter(model: bytes) -> Counter:
-    return Counter(model)
+    return kept((Counter, model), lambda: Counter(model))
 
 
 def _worker(shared: Broadcast):
@@ -115,4 +113,4 @@ def count_tokens(
 
         return work
 
-    return map_texts(df, [key], text, make, "n_bytes long, n_tokens long, over_limit boolean")
+    return map_texts(df, [key], text, make, "n_bytes long, n_tokens long, over_limit boolean", keeps=True)
