@@ -4,8 +4,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from turnloom.llm import bagminhash
 from turnloom.llm.bagminhash import REGISTERS, Shingler, near_texts, signatures
 from turnloom.llm.components import components, possibly
 from turnloom.llm.pivots import near_vectors
@@ -205,3 +207,27 @@ def test_signatures_estimate_the_weighted_overlap():
 def test_signatures_do_not_depend_on_the_batch():
     bags = [Shingler().bag(t) for t in texts() if t and t.split()][:80]
     assert (signatures(bags) == np.concatenate([signatures([b]) for b in bags])).all()
+
+
+def test_texts_that_share_many_bands_are_compared_once(spark, monkeypatch):
+    def groups(table):
+        keys = sorted(table.column("key").to_pylist())
+        return pa.table({"a": pa.array(keys[:1], pa.binary()), "b": pa.array([b"".join(keys)], pa.binary())})
+
+    monkeypatch.setattr(bagminhash, "_candidates", groups)
+    words = [f"w{k}" for k in range(200)]
+    copies = [" ".join([*words[:at], f"v{at}", *words[at + 1 :]]) for at in (20, 90, 160)]
+    signed = signatures([Shingler().bag(t) for t in copies])
+    reps = spark.createDataFrame([(bytes([k]), s.tobytes()) for k, s in enumerate(signed)], "key binary, signature binary")
+    banded = reps.mapInArrow(bagminhash._explode_bands, "key binary, band long")
+    compared = [bytes(r["b"]) for r in bagminhash._estimated_links(reps, banded).collect()]
+    assert b"\0\1\2" in compared and len(compared) == len(set(compared)) <= 4
+
+
+def test_few_points_are_drawn(monkeypatch):
+    bags = [b for b in (Shingler().bag(t) for t in texts() if t) if 40 < len(b[0]) < 200]
+    drawn, mix = [], bagminhash.mix
+    monkeypatch.setattr(bagminhash, "mix", lambda x: (drawn.append(x.size), mix(x))[1])
+    signatures(bags)
+    # Seeds, points, registers and values; 120 registers are all met after 640 points on average.
+    assert sum(drawn) / len(bags) < 1900

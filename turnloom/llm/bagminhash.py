@@ -5,7 +5,7 @@ levels [0,1), [1,2), [2,4), [4,8) and so on, a Poisson process in time drops poi
 point counts for a text if it lies below the shingle's weight there, and names one register.
 A register keeps its first point, so two texts agree in a register with a chance that is
 their weighted Jaccard overlap. Points are drawn in order of time up to a limit at which
-nearly all registers are met; texts with open registers go on.
+most registers are met; texts with open registers go on from there.
 
 Bands of registers give candidates. An estimate from whole signatures drops most false
 ones, and links the others into groups; in each group exact overlaps decide. In large
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from turnloom.llm.components import components, forest, possibly, written
 from turnloom.llm.texts import map_texts, strings
-from turnloom.llm.transducer import Memo
 
 #: Words of a shingle and the least overlap.
 WORDS, LEAST = 5, 0.8
@@ -34,10 +33,13 @@ BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 #: Estimates below this are dropped: four standard errors under the least overlap.
 ESTIMATE = 0.65
-#: Texts of a block.
-BLOCK = 192
+#: Texts of a block, and up to how many are compared in all registers at once.
+BLOCK, FEW = 192, 16
 #: Shingles whose points are drawn at a time.
 BATCH = 80_000
+#: Points of a text are drawn up to the time at which as many as e^-FIRST registers are open on
+#: average, then in steps of NEXT; no signature depends on either.
+FIRST, NEXT = 1.0, 1.5
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -46,23 +48,23 @@ _STEP = np.uint64(0xA0761D6478BD642F)
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers whose every output bit depends on every input bit."""
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= _M1
+    x ^= x >> np.uint64(27)
+    x *= _M2
+    x ^= x >> np.uint64(31)
+    return x
 
 
 class Shingler:
     """Texts to multisets of hashed shingles; words are what white space separates."""
 
-    def __init__(self) -> None:
-        self.words = Memo(xxhash.xxh3_64_intdigest, 120_000)
-
     def bag(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingles in order, and counts. A text of fewer words is one shingle;
         one without words has none."""
         words = text.split()
         n = len(words)
-        h = np.fromiter(map(self.words.__getitem__, words), np.uint64, n)
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
         if not n:
             return h, np.empty(0, np.int64)
         size = min(n, WORDS)
@@ -99,38 +101,50 @@ def _signatures(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     base = np.where(level > 0, 2.0 ** (level - 1), 0.0)
     width = np.where(level > 0, base, 1.0)
     seed = mix(shingle[which] + level.astype(np.uint64) * _GOLD)
-    doc, bound = owner[which], weight[which]
+    doc, bound, rate = owner[which], weight[which], m * width
+    # Only in cells that the weight ends within does it matter where a point lies.
+    ends = base + width > bound
     best = np.full(len(bags) * m, np.inf)
     value = np.zeros(len(bags) * m, np.uint16)
-    limit = (np.log(m) + 3) / totals
-    time = np.zeros(len(seed))
-    number = np.zeros(len(seed), np.uint64)
-    live = np.arange(len(seed))
+    limit = (np.log(m) + FIRST) / totals
+
+    def waits(point: np.ndarray, cells) -> np.ndarray:
+        return np.log(((point >> np.uint64(11)) + 0.5) * 2.0**-53) / rate[cells]
+
+    # Each cell's next point, which lies beyond the limit so far.
+    number = np.ones(len(seed), np.uint64)
+    point = mix(seed + _ODD)
+    time = -waits(point, slice(None))
     while True:
+        live = np.flatnonzero(time <= limit[doc])
         while len(live):
-            number[live] += np.uint64(1)
-            x = mix(seed[live] + number[live] * _ODD)
-            time[live] -= np.log(((x >> np.uint64(11)) + 0.5) * 2.0**-53) / (m * width[live])
-            d = doc[live]
-            due = time[live] <= limit[d]
-            live, x, d = live[due], x[due], d[due]
+            x, t, d = point[live], time[live], doc[live]
             y = mix(x ^ _STEP)
-            position = base[live] + (y & np.uint64(0xFFFFFFFF)) * 2.0**-32 * width[live]
-            hit = position < bound[live]
             register = ((y >> np.uint64(48)) * np.uint64(m)) >> np.uint64(16)
-            place = d[hit] * m + register[hit].astype(np.int64)
-            t = time[live][hit]
-            np.minimum.at(best, place, t)
-            won = best[place] == t
-            value[place[won]] = (mix(x[hit][won] + _GOLD) >> np.uint64(40)).astype(np.uint16)
+            place, hx, ht = d * m + register.astype(np.int64), x, t
+            some = np.flatnonzero(ends[live])
+            if len(some):
+                cells = live[some]
+                position = base[cells] + (y[some] & np.uint64(0xFFFFFFFF)) * 2.0**-32 * width[cells]
+                hit = np.ones(len(live), bool)
+                hit[some] = position < bound[cells]
+                place, hx, ht = place[hit], x[hit], t[hit]
+            np.minimum.at(best, place, ht)
+            won = best[place] == ht
+            value[place[won]] = (mix(hx[won] + _GOLD) >> np.uint64(40)).astype(np.uint16)
+            number[live] += np.uint64(1)
+            x = mix(seed[live] + number[live] * _ODD)
+            t = t - waits(x, live)
+            point[live], time[live] = x, t
+            live = live[t <= limit[d]]
         open_ = np.isinf(best.reshape(len(bags), m)).any(axis=1)
         if not open_.any():
             return value.reshape(len(bags), m)
-        # Texts with open registers start again, up to twice the time.
-        limit = np.where(open_, limit * 2, 0)
-        live = np.flatnonzero(open_[doc])
-        time[live], number[live] = 0, 0
-        best[np.repeat(open_, m)] = np.inf
+        limit += NEXT / totals
+        more = open_[doc]
+        doc, seed, bound, rate, base, width, ends, number, point, time = (
+            a[more] for a in (doc, seed, bound, rate, base, width, ends, number, point, time)
+        )
 
 
 def bands_of(signature: np.ndarray) -> np.ndarray:
@@ -177,25 +191,31 @@ def _explode_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             )
 
 
+def _agreeing(sig: np.ndarray) -> np.ndarray:
+    """In how many registers each two of the signatures agree."""
+    if len(sig) <= FEW:
+        return (sig[:, None] == sig).sum(axis=2)
+    same = np.zeros((len(sig), len(sig)), np.int16)
+    for k in range(REGISTERS):
+        same += sig[:, k, None] == sig[None, :, k]
+    return same
+
+
 def _candidates(table: pa.Table) -> pa.Table:
     """Estimated links of one pair of blocks of one bucket, as links to local roots.
 
     Settled texts are linked with the bucket's center already, so not with each other.
     """
-    band = table.column("band")[0].as_py()
     keys = table.column("key").to_pylist()
     settled = table.column("settled").to_numpy(zero_copy_only=False)
     sig = _registers(table.column("signature"))
     bands = bands_of(sig).view(np.int64)
     n = len(keys)
-    same = np.zeros((n, n), np.int16)
-    for k in range(REGISTERS):
-        same += sig[:, k, None] == sig[None, :, k]
-    link = same >= ESTIMATE * REGISTERS
-    for k in range(BANDS):  # an earlier band in common answers for the pair
-        if (bands[:, k] == band).all():
-            break
-        link &= bands[:, k, None] != bands[None, :, k]
+    link = _agreeing(sig) >= ESTIMATE * REGISTERS
+    # A band in common before the first that all have in common answers for the pair.
+    first = int((bands == bands[0]).all(axis=0).argmax())
+    if first:
+        link &= (bands[:, None, :first] != bands[:, :first]).all(axis=2)
     link &= ~(settled[:, None] & settled[None, :])
     np.fill_diagonal(link, False)
     roots = forest(link)
@@ -328,8 +348,14 @@ def _estimated_links(reps: DataFrame, banded: DataFrame) -> DataFrame:
     signed = reps.select("key", "signature")
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = written(banded.join(sizes, "band").select("key", "band", "n"), "shared-bands")
+    # Near copies share many bands: the same texts are compared once, not in each of these.
     small = (
         shared.filter(F.col("n") <= BLOCK)
+        .groupBy("band")
+        .agg(F.sort_array(F.collect_list("key")).alias("keys"))
+        .groupBy("keys")
+        .agg(F.min("band").alias("band"))
+        .select("band", F.explode("keys").alias("key"))
         .join(signed, "key")
         .select("band", F.lit(False).alias("settled"), F.lit(0).alias("low"), F.lit(0).alias("high"), "key", "signature")
     )
