@@ -8,14 +8,16 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 import tokenizers
 
+from turnloom.llm import decontam
 from turnloom.llm.blocks import main_text
 from turnloom.llm.bpe import bpe, encode, round_trip
-from turnloom.llm.decontam import _emit, _targets, contaminated
+from turnloom.llm.decontam import Templater, _emit, _targets, contaminated
 from turnloom.llm.langid import language_ids
 from turnloom.llm.licenses import TEMPLATES, scan_licenses
 from turnloom.llm.secrets import Scanner, Span, checksum, find_secrets
@@ -210,6 +212,35 @@ def test_contaminated_documents(spark):
     assert contaminated(frame(spark, []), bench).collect() == []
 
 
+def test_words_of_letters_are_not_looked_at_one_by_one(monkeypatch):
+    seen, token = [], decontam.token
+    monkeypatch.setattr(decontam, "token", lambda raw: (seen.append(raw), token(raw))[1])
+    words = [f"{a}{b}ß{c}{m}" for a in "AaÉй" for b in "bBñ" for c in "xyz" for m in ("", ",", ".", "!")]
+    found = Templater().canonical(" ".join([*words, "12", "mm", "don't"]) + "\n")
+    assert seen == ["12", "don't"] and len(found.value) == len(words) + 3 and len(np.unique(found.value)) == 3 * 2 * 3 + 3
+    assert found.kind[-3:].tolist() == [decontam.NUMBER, decontam.UNIT, decontam.WORD]
+
+
+def test_tokens_are_those_of_single_words(monkeypatch):
+    rnd = random.Random(9)
+    chars = "aAbBéÉßẞσςΣİıǅªº²12.,;:!?\"'()$%*_|-–\t\r\x1c\u3000日本йЙ\u0301\u0307😀𐐀ﬁŉ" + " " * 12 + "\n" * 3
+    texts = ["".join(rnd.choices(chars, k=rnd.randrange(90))) for _ in range(1500)]
+    texts += [" ".join(rnd.choices(["ΟΔΟΣ.", "Miles", "5", "ok!", "(hello)", "Hello", "BERLIN,", "\n"], k=30)) for _ in range(200)]
+    texts += [f"{q}{'a' * k}{m}" for k in (63, 64, 65) for m in ("", ".", "')") for q in ("", "'")] + ["", " ", "\n", " \n \n"]
+
+    def word(code):
+        return code - decontam.UNIT if code & 7 == decontam.UNIT else code
+
+    for piece in (decontam.PIECE, 7):
+        monkeypatch.setattr(decontam, "PIECE", piece)
+        maker = Templater()
+        for text in texts:
+            got = [c for part in maker.pieces(text) for c in part.tolist()]
+            want = [Templater._token(w) for w in text.replace("\n", " \n ").split(" ") if w]
+            # Units are told from words by what stands before, later.
+            assert [word(c) for c in got] == [word(c) for c in want], text
+
+
 def test_contaminated_by_names_at_starts_and_other_case(spark):
     tom = "Tom has 5 apples and Ann has 3 pears. Ann gives Tom 2 apples. How many apples does Tom have now"
     anna = "If Anna buys 12 apples for 3 dollars each and gives 12 to Bob how much money did Anna spend in total on the fruit"

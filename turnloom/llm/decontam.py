@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.bagminhash import mix
+from turnloom.llm.bagminhash import _M1, _M2, mix
 from turnloom.llm.components import written
 from turnloom.llm.texts import forget, strings
 from turnloom.llm.transducer import Memo
@@ -54,6 +54,57 @@ NUMERIC = re.compile(r"[^\w]*\d[\d.,:/-]*(?:st|nd|rd|th|%)?[^\w]*|[^\w]*[$€£]
 NO_LETTER = re.compile(r"[\W_]+")
 HOLDER = {NUMBER: np.uint64(0x1B873593A1), UNIT: np.uint64(0x2545F4914F), NAME: np.uint64(0x38495AB5C7)}
 _STEP = np.uint64(0xA0761D6478BD642F)
+_ALL = (1 << 64) - 1
+
+#: Longer words, and words with characters beyond the first TABLE, are looked at one by one.
+LONGEST, TABLE = 64, 0x800
+#: Characters of a text that are looked at together.
+PIECE = 1 << 16
+
+
+class Letters:
+    """What is known of the first TABLE characters, and in the last place, of all others."""
+
+    def __init__(self) -> None:
+        self.value = np.zeros(TABLE + 1, np.uint64)
+        self.upper, self.mark, self.stop = np.zeros((3, TABLE + 1), bool)
+        # A letter counts 1 in the lower half, and if it is none of capitals only, 1 in the upper.
+        self.count = np.zeros(TABLE + 1, np.int64)
+        hashes = mix(np.arange(1, TABLE + 1, dtype=np.uint64) * _STEP)
+        for code, c in enumerate(map(chr, range(TABLE))):
+            low = c.lower()
+            # A capital sigma has two small forms; what has several letters' form stands alone.
+            if c.isalpha() and c != "Σ" and len(low) == 1 and ord(low) < TABLE and low.isalpha() and low.lower() == low:
+                self.value[code] = hashes[ord(low)]
+                self.upper[code] = c.isupper()
+                self.count[code] = 1 + ((c.islower() or (c.istitle() and not c.isupper())) << 32)
+        for c in ".,;:!?":
+            self.mark[ord(c)], self.stop[ord(c)] = True, c in ".!?:"
+        small = [chr(k) for k in range(TABLE) if self.value[k] and chr(k).lower() == chr(k)]
+        self.small = {c: int(self.value[ord(c)]) for c in small}
+
+
+LETTERS = Letters()
+
+
+def hashed(low: str) -> int:
+    """64 bits that stand for a word in small letters: as ``Templater.pieces`` makes them of many
+    words at once, where it can."""
+    total = 0
+    if len(low) <= LONGEST:
+        for c in reversed(low):
+            value = LETTERS.small.get(c)
+            if value is None:
+                break
+            total = (total * int(_STEP) + value) & _ALL
+        else:
+            total = (total ^ total >> 30) * int(_M1) & _ALL
+            total = (total ^ total >> 27) * int(_M2) & _ALL
+            return total ^ total >> 31
+    return xxhash.xxh3_64_intdigest(low)
+
+
+UNIT_VALUES = frozenset(hashed(u) >> 5 for u in UNITS)
 
 
 def token(raw: str) -> tuple[int, int, bool, bool]:
@@ -66,7 +117,7 @@ def token(raw: str) -> tuple[int, int, bool, bool]:
     if stem.isalpha() and (stem is raw or raw[-1] in ".,;:!?"):
         low = stem.lower()
         capital = stem[0].isupper() and (len(stem) == 1 or not stem.isupper())
-        return (UNIT if low in UNITS else WORD), xxhash.xxh3_64_intdigest(low), capital, raw[-1] in ".!?:"
+        return (UNIT if low in UNITS else WORD), hashed(low), capital, raw[-1] in ".!?:"
     ends = raw.rstrip("\"')]”’»*_#$&%!|")[-1:] in ".!?:" or raw[-1] in ".!?:"
     if NUMERIC.fullmatch(raw):
         return NUMBER, xxhash.xxh3_64_intdigest(raw.strip(".,;:!?()\"'")), False, ends
@@ -76,7 +127,7 @@ def token(raw: str) -> tuple[int, int, bool, bool]:
     low = word.lower()
     # Words all in capitals are shouted, not names.
     capital = word[0].isupper() and (len(word) == 1 or not word.isupper())
-    return (UNIT if low in UNITS else WORD), xxhash.xxh3_64_intdigest(low), capital, ends
+    return (UNIT if low in UNITS else WORD), hashed(low), capital, ends
 
 
 class Canonical(NamedTuple):
@@ -106,12 +157,53 @@ class Templater:
     @staticmethod
     def _token(raw: str) -> int:
         """The hash's upper 59 bits and five bits of what is known of the token."""
-        kind, digest, capital, ends = token(raw)
-        return digest >> 5 << 5 | kind | capital << 3 | ends << 4
+        kind, value, capital, ends = token(raw)
+        return value >> 5 << 5 | kind | capital << 3 | ends << 4
+
+    def pieces(self, text: str) -> Iterator[np.ndarray]:
+        """For each token between spaces, what ``_token`` gives for it; lines' ends are tokens, too."""
+        begin = 0
+        while begin < len(text):
+            end = len(text)
+            if end - begin > PIECE:
+                cut = text.rfind(" ", begin, begin + PIECE)
+                if cut < 0:
+                    cut = text.find(" ", begin + PIECE)
+                end = cut + 1 or end
+            yield self.codes(text[begin:end])
+            begin = end
+
+    def codes(self, text: str) -> np.ndarray:
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        code = np.minimum(code, TABLE).astype(np.intp)
+        line = code == ord("\n")
+        inside = (code != ord(" ")) & ~line
+        starts, lasts = inside.copy(), inside.copy()
+        starts[1:] &= ~inside[:-1]
+        lasts[:-1] &= ~inside[1:]
+        start, last = np.flatnonzero(starts | line), np.flatnonzero(lasts | line)
+        if not len(start):
+            return np.empty(0, np.uint64)
+        # Nearly all tokens are letters only, or letters and a mark; the rest take longer.
+        up, down = self.powers(len(code))
+        hashes = mix(np.add.reduceat(LETTERS.value[code] * up, start) * down[start])
+        count = np.add.reduceat(LETTERS.count[code], start)
+        letters, length, final = count & 0xFFFFFFFF, last + 1 - start, code[last]
+        plain = (letters == length) | ((letters == length - 1) & LETTERS.mark[final] & (length > 1))
+        plain &= length <= LONGEST
+        capital = LETTERS.upper[code[start]] & ((letters == 1) | (count >> 32 > 0))
+        known = capital.astype(np.uint64) << np.uint64(3) | LETTERS.stop[final].astype(np.uint64) << np.uint64(4)
+        out = hashes >> np.uint64(5) << np.uint64(5) | known
+        line = line[start]
+        out[line] = END | 1 << 4
+        others = np.flatnonzero(~plain & ~line)
+        if len(others):
+            raw = [text[a:b] for a, b in zip(start[others].tolist(), (last[others] + 1).tolist())]
+            out[others] = np.fromiter(map(self.tokens.__getitem__, raw), np.uint64, len(raw))
+        return out
 
     def canonical(self, text: str) -> Canonical:
-        words = text.replace("\n", " \n ").split(" ")
-        code = np.fromiter(map(self.tokens.__getitem__, words), np.uint64, len(words))
+        code = np.concatenate([np.empty(0, np.uint64), *self.pieces(text)])
         low = code.astype(np.uint8) & 31
         kind = low & 7
         ends = (low & 16) > 0
@@ -124,6 +216,9 @@ class Templater:
         after = np.zeros(len(code), bool)
         after[1:] = kind[:-1] == NUMBER
         kind = np.where((kind == UNIT) & ~after, WORD, kind)
+        for k in np.flatnonzero(after & (kind == WORD)).tolist():
+            if int(code[k]) >> 5 in UNIT_VALUES:
+                kind[k] = UNIT
         capital &= kind == WORD
         kind = np.where(capital & ~starts, NAME, kind)
         return Canonical(code[real] >> np.uint64(5), kind[real], (capital & starts)[real])
