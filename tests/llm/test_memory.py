@@ -2,6 +2,7 @@
 
 import gc
 import re
+import tracemalloc
 
 import public_tokenizers
 import pyarrow as pa
@@ -77,3 +78,24 @@ def test_windows_are_cut_from_a_few_texts_at_a_time(spark):
     assert {r["id"] for r in rows} == set(range(1000)) and {r["n_words"] for r in rows} == {9}
     first = next(Templater().windows(Templater().canonical(texts[700]), 8)).hash.view("int64").tolist()
     assert set(first) <= {r["window"] for r in rows if r["id"] == 700}
+
+
+def test_tables_of_merges_and_remembered_words_are_small():
+    with open(WORDS, "rb") as file:
+        data = file.read()
+    tracemalloc.start()
+    try:
+        machine = Bpe(data)
+        gc.collect()
+        tables = tracemalloc.get_traced_memory()[0]
+        words = [f"{a}{b}" for a in "stnr" for b in ("and", "ing", "able", "to")]
+        kept = [machine.word(w) for w in words]
+    finally:
+        tracemalloc.stop()
+    assert tables < 50e6  # 67 MB when each token had its own spelling, edges and leaf
+    assert all(isinstance(k, bytes) for k in kept)
+    assert machine.numbers(words) == [t for w in words for t in machine.machine.run(machine.symbols(w))]
+    for w in words:
+        tokens = machine.machine.run(machine.symbols(w))
+        assert [s for t in tokens for s in machine.machine.spelled(t)] == machine.symbols(w)
+        assert tokens == machine.machine.merge(machine.symbols(w))

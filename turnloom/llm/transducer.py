@@ -20,6 +20,7 @@ MOST_STATES, MOST_PAIRS = 25_000, 200_000
 #: Unemitted tokens after which a scan without compiled states looks for shared ones.
 HELD = 64
 TOKEN = 0  # the key of a trie node's token; symbols are strings
+NONE = -1  # what stands left of a word's first token
 
 
 class Memo(dict):
@@ -51,7 +52,7 @@ class State(dict):
 
     __slots__ = ("last", "live")
 
-    def __init__(self, last: int | None, live: list) -> None:
+    def __init__(self, last: int, live: list) -> None:
         self.last, self.live = last, live
 
 
@@ -67,18 +68,27 @@ class Machine:
         unknown: Callable[[str], tuple[int, ...]],
     ) -> None:
         self.rank, self.unknown = rank, unknown
-        self.spelling = spelling
         self.single = {s[0]: t for t, s in spelling.items() if len(s) == 1}
         self._edges(spelling)
+        # A node that nothing follows is its token alone; most are.
         self.trie: dict = {}
-        for token in self.left:
+        for token, symbols in spelling.items():
+            if self.left[token] is None:
+                continue
             node = self.trie
-            for s in spelling[token]:
-                node = node.setdefault(s, {})
-            node[TOKEN] = token
-        self._pairs: dict[tuple[int | None, int], bool] = {}
+            for s in symbols[:-1]:
+                below = node.get(s)
+                if type(below) is not dict:
+                    below = node[s] = {} if below is None else {TOKEN: below}
+                node = below
+            last = symbols[-1]
+            if type(node.get(last)) is dict:
+                node[last][TOKEN] = token
+            else:
+                node[last] = token
+        self._pairs: dict[int, bool] = {}
         self._states: dict[tuple, State] = {}
-        self.start = self._state(None, [(self.trie, ())])
+        self.start = self._state(NONE, [(self.trie, ())])
 
     def merge(self, symbols: Iterable[str]) -> list[int]:
         """The definition: merge the best pair, the leftmost of equals, until none is left."""
@@ -96,91 +106,112 @@ class Machine:
         return tokens
 
     def _edges(self, spelling: dict[int, Sequence[str]]) -> None:
-        """``left`` and ``right``: the tokens at either edge of a token while it is merged from
-        its symbols, each with the priority of the merge that takes it up. A token that its
-        own symbols do not merge into is never an answer, and has no entry. ``irregular``
-        are tokens with a merge that comes before the merges of its parts."""
+        """``left`` and ``right``: the part at either edge that a token is merged from (a symbol:
+        itself), by token, and ``made``: the priority of that merge. A token that its own symbols
+        do not merge into is never an answer, and has None. ``irregular`` are tokens with a merge
+        that comes before the merges of its parts."""
         by_symbols = {tuple(s): t for t, s in spelling.items()}
-        made: dict[int, float] = {}
-        self.left, self.right, self.irregular = {}, {}, set()
+        size = max(spelling, default=-1) + 1
+        self.left, self.right, self.made = [None] * size, [None] * size, [None] * size
+        self.symbol = {t: s for s, t in self.single.items()}
+        self.irregular = set()
+        left, right, made = self.left, self.right, self.made
         for symbols, token in sorted(by_symbols.items(), key=lambda x: len(x[0])):
             if len(symbols) == 1:
                 made[token] = -math.inf
-                self.left[token] = self.right[token] = ((token, math.inf),)
+                left[token] = right[token] = token
                 continue
             if any(s not in self.single for s in symbols):
                 raise ValueError(f"no token for one of the symbols {symbols} alone")
             for k in range(1, len(symbols)):
                 a, b = by_symbols.get(symbols[:k]), by_symbols.get(symbols[k:])
-                if a not in made or b not in made:
+                if a is None or b is None or made[a] is None or made[b] is None:
                     continue
                 merge = self.rank(a, b)
                 if merge is None or merge[1] != token or not self._meet(a, b, merge[0]):
                     continue
                 if max(made[a], made[b]) >= merge[0] or {a, b} & self.irregular:
                     self.irregular.add(token)
-                made[token] = merge[0]
-                for edges, part in ((self.left, a), (self.right, b)):
-                    edges[token] = (*edges[part][:-1], (part, merge[0]), (token, math.inf))
+                left[token], right[token], made[token] = a, b, merge[0]
                 break
 
+    def spelled(self, token: int) -> list[str]:
+        """The symbols of a token, from its parts."""
+        out, due = [], [token]
+        while due:
+            token = due.pop()
+            if token in self.symbol:
+                out.append(self.symbol[token])
+            else:
+                due += (self.right[token], self.left[token])
+        return out
+
     def _meet(self, left: int, right: int, until: float = math.inf) -> bool:
         """Whether both come to stand side by side: no merge across them, before the one of
         priority ``until``, comes before the merges that take up its parts."""
-        a, b = iter(self.right[left]), iter(self.left[right])
-        (x, taken_x), (y, taken_y) = next(a), next(b)
+        # What stands at the edges while both are merged from their symbols, those last.
+        a, b, made = [left], [right], self.made
+        while (part := self.right[a[-1]]) != a[-1]:
+            a.append(part)
+        while (part := self.left[b[-1]]) != b[-1]:
+            b.append(part)
+        x, y = a.pop(), b.pop()
+        taken_x, taken_y = made[a[-1]] if a else math.inf, made[b[-1]] if b else math.inf
         while True:
             merge = self.rank(x, y)
             if merge and merge[0] < min(taken_x, until) and merge[0] <= taken_y:
                 return False
-            if taken_x == taken_y == math.inf:
+            if not a and not b:
                 return True
             if taken_x <= taken_y:
-                x, taken_x = next(a)
+                x = a.pop()
+                taken_x = made[a[-1]] if a else math.inf
             else:
-                y, taken_y = next(b)
+                y = b.pop()
+                taken_y = made[b[-1]] if b else math.inf
 
-    def agree(self, left: int | None, token: int) -> bool:
+    def agree(self, left: int, token: int) -> bool:
         if token in self.irregular or left in self.irregular:
-            pair = [token] if left is None else [left, token]
-            known = self.merge(s for t in pair for s in self.spelling[t]) == pair
+            pair = [token] if left == NONE else [left, token]
+            known = self.merge(s for t in pair for s in self.spelled(t)) == pair
         else:
-            known = left is None or self._meet(left, token)
+            known = left == NONE or self._meet(left, token)
         if len(self._pairs) >= MOST_PAIRS:
             self._pairs.clear()
-        self._pairs[left, token] = known
+        self._pairs[left * len(self.left) + token] = known
         return known
 
-    def _state(self, last: int | None, live: list) -> State:
+    def _state(self, last: int, live: list) -> State:
         key = (last, tuple((id(node), due) for node, due in live))
         state = self._states.get(key)
         if state is None:
             state = self._states[key] = State(last, live)
         return state
 
-    def _follow(self, last: int | None, live: list, symbol: str) -> list | None:
+    def _follow(self, last: int, live: list, symbol: str) -> list | None:
         """What is live after one more symbol; None if no token holds it."""
-        below, best, pairs = [], None, self._pairs
-        for node, due in live:
+        below, rest, size = [], iter(live), len(self.left)
+        for node, due in rest:
             node = node.get(symbol)
             if node is None:
                 continue
-            if best is None:
+            if type(node) is dict:
+                below.append((node, due))
                 token = node.get(TOKEN)
-                if token is not None:
-                    left = due[-1] if due else last
-                    known = pairs.get((left, token))
-                    if known or (known is None and self.agree(left, token)):
-                        best = (*due, token)
-            below.append((node, due))
-        if best is None:
-            return None
-        below.append((self.trie, best))
-        return below
-
-    def _settle(self, last: int | None, live: list) -> tuple[int | None, list, tuple[int, ...]]:
+                if token is None:
+                    continue
+            else:
+                token = node
+            left = due[-1] if due else last
+            known = self._pairs.get(left * size + token)
+            if known or (known is None and self.agree(left, token)):
+                below += [(n, d) for node, d in rest if type(n := node.get(symbol)) is dict]
+                below.append((self.trie, (*due, token)))
+                return below
+        return None
+
+    def _settle(self, last: int, live: list) -> tuple[int, list, tuple[int, ...]]:
         """Takes off the tokens that all live encodings share."""
-        live = [x for x in live if len(x[0]) > (TOKEN in x[0])]
         first, shared = live[0][1], 0
         for due in zip(*(due for _, due in live)):
             if due.count(due[0]) < len(due):
@@ -262,7 +293,7 @@ class Machine:
         """The most symbols that were ever read but not yet emitted as tokens."""
         held = most = 0
         for emitted in self.steps(symbols):
-            held += 1 - sum(len(self.spelling.get(t, "?")) for t in emitted)
+            held += 1 - sum(len(self.spelled(t)) if t < len(self.left) and self.left[t] is not None else 1 for t in emitted)
             most = max(most, held)
         return most
 
